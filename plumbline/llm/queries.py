@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe, linededup, mixing, quality, secrets, sharding, simhash
+from plumbline.llm import bpe, linededup, mixing, neardup, quality, secrets, sharding, simhash
 
 #: The vocabulary of the BPE query; a file that the tokenizers' package brings.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -22,6 +22,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, quality.learn(docs, _table(spark, sf_dir, "labels")))
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
+        "op2_minhash": op2_minhash,
         "op5_sharding": op5_sharding,
         "op6_simhash": op6_simhash,
         "op7_bpe": op7_bpe,

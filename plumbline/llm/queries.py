@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe, divergence, linededup, mixing, neardup, quality, secrets, sharding, simhash
+from plumbline.llm import bpe, divergence, linededup, mixing, neardup, quality, repeats, secrets, sharding, simhash
 
 #: The vocabulary of the BPE query; a file that the tokenizers' package brings.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -26,6 +26,10 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents")).drop("content")
+
+
 def op4_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
         "op2_minhash": op2_minhash,
+        "op3_repeats": op3_repeats,
         "op4_divergence": op4_divergence,
         "op5_sharding": op5_sharding,
         "op6_simhash": op6_simhash,

@@ -1 +1 @@
-""""""
+"""Whole plans: queries, reports, settings, command line."""

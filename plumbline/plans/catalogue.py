@@ -1,4 +1,6 @@
-"""The queries of the library, and the same in DuckDB's SQL."""
+"""The queries of the library by name, and the same in DuckDB's SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from plumbline.plans.oracles import ORACLES
+from plumbline.plans.queries import QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -1 +1 @@
-""""""
+"""Readers and stores."""

@@ -96,7 +96,7 @@ def fit(described: list, labels: np.ndarray, rounds: int = 10, batches: int = 8,
     stats = np.array([d[2] for d in described]).reshape(n, len(STATISTICS))
     edges = np.quantile(stats, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T if n else np.zeros((len(STATISTICS), BINS - 1))
     model = FactorisationMachine(float(np.log(prior / (1 - prior))), np.zeros(width, np.float32), np.zeros((width, RANK), np.float32), edges)
-    if labels.min(initial=1) == labels.max(initial=0):
+    if not n or labels.min() == labels.max():
         return model
     model.factors = rng.normal(0, 0.05, (width, RANK)).astype(np.float32)
     found = [model.features(d) for d in described]

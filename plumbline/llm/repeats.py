@@ -23,6 +23,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +33,10 @@ LENGTH, KEY = 100, 32
 REACH = LENGTH - KEY + 1  # places of a trigger in a string
 #: Bytes hashed at a time, and the longest stretch of one text; a longer text is cut, with LENGTH - 1 bytes shared.
 BUFFER, STRETCH = 1 << 19, 1 << 20
-#: Items that a task packs before it sends them.
-PACK = 1 << 20
-#: Distinct phrases of a trigger above which its strings are dealt out one by one.
-HOT = 20_000
+#: Items that a task packs before it sends them; phrases with their bytes are packed fewer at a time.
+PACK, PACK_BYTES = 1 << 20, 1 << 16
+#: Distinct phrases of a trigger above which its strings are dealt out one by one, as hashes of 128 bits.
+HOT = 4096
 #: Bytes that a Bloom filter may take; above, the filter lets more through than it need.
 BLOOM = 32 << 20
 #: Where a row without doc_id stands: after all others.
@@ -210,7 +211,7 @@ def _scan(docs: DataFrame, collected: Callable, wholes: bool) -> DataFrame:
             columns = collected(parse)
             held.append(columns)
             size += len(columns[0])
-            if size >= PACK:
+            if size >= collected.pack:
                 yield from map(_rows, _sliced(collected.send([np.concatenate(c) for c in zip(*held, strict=True)])))
                 held, size = [], 0
         if size:
@@ -235,6 +236,8 @@ def _sliced(pairs: Iterator[tuple[int, bytes]]) -> Iterator[list[tuple[int, byte
 class _Triggers:
     """All triggers; each at most twice from a task."""
 
+    pack = PACK
+
     def __init__(self, bits: int):
         self.bits = bits
 
@@ -258,6 +261,8 @@ class _Phrases:
     Of equal ones in a task the first is sent for all; the others are covered, and are sent as such (whole 0).
     """
 
+    pack = PACK
+
     def __init__(self, bits: int, bloom):
         self.bits, self.bloom = bits, bloom
 
@@ -290,7 +295,12 @@ def _place_key(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 
 class _Suffixes:
-    """Bytes of the chosen phrases, by trigger; of hot triggers the strings themselves, by their hash."""
+    """Bytes of the chosen phrases, by trigger; of hot triggers the strings themselves, by their hash.
+
+    Parts of hashes are numbered after those of phrases.
+    """
+
+    pack = PACK_BYTES
 
     def __init__(self, bits: int, chosen, hot):
         self.bits, self.chosen, self.hot = bits, chosen, hot
@@ -309,13 +319,23 @@ class _Suffixes:
         hot = columns[4]
         plain = [c[~hot] for c in columns[:4]] + [columns[5][~hot]]
         yield from _dealt(plain[0], self.bits, plain)
-        if hot.any():
-            for row in zip(*(c[hot] for c in columns), strict=True):
-                strings = [row[5][i : i + LENGTH] for i in range(int(row[3]) - LENGTH + 1)]
-                one = [np.full(len(strings), row[0]), np.full(len(strings), row[1]), row[2] + np.arange(len(strings), dtype=np.int32), np.full(len(strings), LENGTH, np.int32), np.zeros((len(strings), LENGTH + REACH - 1), np.uint8)]
-                one[4][:, :LENGTH] = strings
-                key = np.array([int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little") for s in strings], np.uint64)
-                yield from _dealt(key, self.bits, one)
+        own = np.flatnonzero(hot)
+        for at in range(0, len(own), 4096):
+            rows = own[at : at + 4096]
+            row, shift = _strings_of(columns[3][rows])
+            cells = columns[5][rows]
+            digests = b"".join(xxhash.xxh3_128_digest(cells[i, j : j + LENGTH].tobytes()) for i, j in zip(row.tolist(), shift.tolist(), strict=True))
+            a, b = np.frombuffer(digests, np.uint64).reshape(-1, 2).T
+            start = (columns[2][rows][row] + shift).astype(np.int32)
+            for part, packed in _dealt(a, self.bits, [a, b, columns[1][rows][row], start, start + np.int32(LENGTH)]):
+                yield part + (1 << self.bits), packed
+
+
+def _strings_of(width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, shift) of every string of LENGTH bytes in rows of these widths."""
+    counts = width.astype(np.int64) - LENGTH + 1
+    row = np.repeat(np.arange(len(counts)), counts)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
 def _equal_strings(columns: list[np.ndarray]) -> list[np.ndarray]:
@@ -334,15 +354,15 @@ def _equal_strings(columns: list[np.ndarray]) -> list[np.ndarray]:
         at = last
         if own.stop - own.start < 2:
             continue
-        counts = width[own] - LENGTH + 1
-        row = np.repeat(np.arange(own.start, own.stop), counts)
-        shift = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-        strings = np.lib.stride_tricks.sliding_window_view(cells[own], LENGTH, axis=1)[row - own.start, shift]
+        row, shift = _strings_of(width[own])
+        strings = np.lib.stride_tricks.sliding_window_view(cells[own], LENGTH, axis=1)[row, shift]
+        row += own.start
         strings = np.ascontiguousarray(strings).view(f"S{LENGTH}").ravel()
         where = start[row] + shift
         suffix = np.argsort(strings, kind="stable")  # neighbours in order of place, too, since rows are
+        strings = strings[suffix]
         same = np.zeros(len(suffix), bool)
-        same[1:] = strings[suffix[1:]] == strings[suffix[:-1]]
+        same[1:] = strings[1:] == strings[:-1]
         head = np.maximum.accumulate(np.where(same, 0, np.arange(len(suffix))))
         d, w = doc[row][suffix], where[suffix]
         # Rows of a trigger are in order of doc and start, but suffixes of one document's phrases may not be.
@@ -427,6 +447,10 @@ def covered_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
     filters = [sent(_bloom(chosen.where(F.col("hot") == which).select("doc", "start").mapInArrow(keyed, "part int, packed binary"), bits, members)) for which in (False, True)]
 
     def suffixes(rows: pd.DataFrame) -> pd.DataFrame:
+        if rows["part"].iloc[0] >> bits:
+            own, later = _first_and_later(_unpacked(rows["packed"], _PHRASE))
+            doc, start, end = _joined(*[c[later] for c in own[2:]])
+            return pd.DataFrame({"doc": doc, "start": start, "end": end})
         types = [np.uint64, np.int64, np.int32, np.int32, np.dtype((np.uint8, (LENGTH + REACH - 1,)))]
         doc, start, end = _equal_strings(_unpacked(rows["packed"], types))
         return pd.DataFrame({"doc": doc, "start": start, "end": end})

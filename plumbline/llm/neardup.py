@@ -1,10 +1,11 @@
 """Near-duplicates: MinHash bands propose links, odd sketches sift them, full shingle sets confirm them.
 
 Documents of equal shingle sets form a class first, and only classes are compared. A band's bucket ties each
-member to its least and its greatest member; what these links leave in different components of one bucket is
-then compared member by member, so a link is lost only if no band has it. An odd sketch folds the MinHash
-samples into parity bits, of which the differing ones estimate high similarities closely; it drops pairs far
-below the threshold before their sets are read.
+member to its least and its greatest member. Where these links leave a bucket in several components, its members
+are compared across them, so a link is lost only if no band has it: such members make up clusters, and a cluster's
+sets are compared in blocks, of which nothing but links comes out. An odd sketch folds the MinHash samples into
+parity bits, of which the differing ones estimate high similarities closely; it drops pairs far below the threshold
+before their sets are compared.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -32,8 +34,9 @@ _PLACE = _RNG.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _MEMO = 200_000
 _WORDS: dict[bytes, int] = {}
-#: Shingles hashed at a time.
-CHUNK = 2048
+#: Shingles hashed at a time; shingles and rows of a block of a cluster on average; pairs and columns of sets compared
+#: at a time.
+CHUNK, BLOCK_SHINGLES, BLOCK_ROWS, PAIRS, COLUMNS = 2048, 1 << 20, 1 << 11, 1 << 14, 1 << 13
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -121,7 +124,7 @@ def _differing(x: str, y: str):
     return sum((F.bit_count(F.get(x, i).bitwiseXOR(F.get(y, i))) for i in range(SKETCH_BITS // 64)), F.lit(0))
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sketches are near and whose full sets are similar enough, as a table."""
     marks = classes.select("id", "sketch")
     near = (
@@ -129,13 +132,70 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int
         .join(marks.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
         .where(_differing("sa", "sb") <= APART).select("a", "b").distinct()
     )
-    near = written(near, "near-pairs")
-    sets = written(_sets(docs, near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), width), "shingle-sets")
     full = near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("xb")), "b")
     shared = full.select("a", "b", F.size("xa").alias("na"), F.size("xb").alias("nb"), F.size(F.array_intersect("xa", "xb")).alias("both"))
-    links = written(shared.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b").distinct(), "links")
-    forget(near)
-    forget(sets)
+    return written(shared.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b").distinct(), "links")
+
+
+def block_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links (a, b) across components of a block's rows (id, component, side, sketch, shingles), or between its sides.
+
+    Sizes and sketches sift pairs; sets of those left are compared as bits, some columns at a time, a column being
+    a shingle that several rows have.
+    """
+    ids, component, side = (rows[c].to_numpy(np.int64) for c in ("id", "component", "side"))
+    sketch = np.stack(rows["sketch"].to_list()).view(np.uint64)
+    sizes = np.array([len(x) for x in rows["shingles"]], np.int64)
+    found, column, often = np.unique(np.concatenate(rows["shingles"].to_list()), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(ids)), sizes)
+    several = often[column] > 1
+    row, column = row[several], (np.cumsum(often > 1) - 1)[column[several]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    left, right = (np.flatnonzero(side == k) for k in (0, 1)) if side.any() else (np.arange(len(ids)),) * 2
+    out = [(left[:0], right[:0])]
+    for at in range(0, len(left), 64):
+        own = left[at : at + 64]
+        apart = np.zeros((len(own), len(right)), np.int64)
+        for word in range(sketch.shape[1]):
+            apart += np.bitwise_count(sketch[own, None, word] ^ sketch[None, right, word])
+        least, most = np.minimum(sizes[own, None], sizes[None, right]), np.maximum(sizes[own, None], sizes[None, right])
+        near = (apart <= APART) & (component[own, None] != component[None, right]) & (100 * least >= percent * most)
+        if not side.any():
+            near &= own[:, None] < right[None, :]
+        i, j = np.nonzero(near)
+        out.append((own[i], right[j]))
+    i, j = (np.concatenate(x) for x in zip(*out, strict=True))
+    both = np.zeros(len(i), np.int64)
+    for first in range(0, int(column[-1]) + 1 if len(column) and len(i) else 0, COLUMNS):
+        low, high = np.searchsorted(column, (first, first + COLUMNS))
+        bits = np.zeros((len(ids), COLUMNS), np.uint8)
+        bits[row[low:high], column[low:high] - first] = 1
+        bits = np.packbits(bits, axis=1).view(np.uint64)
+        for at in range(0, len(i), PAIRS):
+            both[at : at + PAIRS] += np.bitwise_count(bits[i[at : at + PAIRS]] & bits[j[at : at + PAIRS]]).sum(axis=1, dtype=np.int64)
+    linked = 100 * both >= percent * (sizes[i] + sizes[j] - both)
+    return pd.DataFrame({"a": np.minimum(ids[i], ids[j])[linked], "b": np.maximum(ids[i], ids[j])[linked]})
+
+
+def _across(members: DataFrame, component: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components that share a bucket, of members (key, id) of the buckets, as a table."""
+    placed = members.join(component, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("id").alias("low")).where("x < y").select("key", "low")
+    keys = written(keys, "open-buckets")
+    left = written(placed.join(keys, "key").select("id", "component", "low").distinct(), "open-members")
+    cluster = connected_components(left.select(F.col("id").alias("a"), F.col("low").alias("b")))
+    whole = left.select("id", "component").distinct().join(cluster.select("id", F.col("component").alias("cluster")), "id")
+    whole = written(whole.join(classes.select("id", "sketch", "n"), "id"), "clusters")
+    blocks = whole.groupBy("cluster").agg((1 + F.floor(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count(F.lit(1)) / BLOCK_ROWS))).cast("int").alias("blocks"))
+    dealt = whole.drop("n").join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # Each block meets every other one of its cluster, and itself.
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("cluster", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).cast("long").alias("side"), "id", "component", "sketch")
+    full = dealt.join(sets.withColumnRenamed("id", "of"), F.col("id") == F.col("of")).drop("of")
+    links = written(full.groupBy("cluster", "x", "y").applyInPandas(lambda rows: block_links(rows, percent), "a long, b long"), "links")
+    for table in (keys, left, whole):
+        forget(table)
     return links
 
 
@@ -148,7 +208,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     linked if one of its texts is; rows without doc_id get no component and are kept.
     """
     own = written(sketches(docs, width), "sketches")
-    classes = own.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("a", "b").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = own.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("a", "b").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = written(classes, "classes")
     banded = classes.select("id", F.explode("bands").alias("key"))
     ends = banded.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
@@ -157,24 +217,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     pair = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     stars = members.select(F.explode(F.array(pair("id", "low"), pair("id", "high"))).alias("p")).select("p.*")
     first = written(ends.select(F.col("low").alias("a"), F.col("high").alias("b")).unionByName(stars).where("a < b").distinct(), "pairs")
-    links = _confirmed(docs, first, classes, width, percent)
+    sets = written(_sets(docs, first.select(F.explode(F.array("a", "b")).alias("id")).distinct(), width), "shingle-sets")
+    links = _confirmed(first, classes, sets, percent)
     # A document of several texts is in several classes, which it links.
     held = own.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "a", "b")
     several = held.distinct().groupBy("doc_id").count().where("count > 1").select("doc_id")
     own_links = held.join(several, "doc_id").join(classes.select("a", "b", "id"), ["a", "b"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    links = links.unionByName(own_links)
-    component = connected_components(links)
-    # Buckets that still hold several components: their members are compared across, unless they were.
-    placed = members.select("key", "id").join(component, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    left = written(placed.join(open_keys, "key", "left_semi").join(classes.select("id", "sketch"), "id"), "open-members")
-    x = left.select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("sketch").alias("sa"))
-    y = left.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("sketch").alias("sb"))
-    across = x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (_differing("sa", "sb") <= APART)).select("a", "b").distinct()
-    more = written(across.join(first, ["a", "b"], "left_anti"), "pairs")
+    component = connected_components(links.unionByName(own_links))
+    more = _across(members.select("key", "id"), component, classes, sets, percent)
     if not more.isEmpty():
-        component = connected_components(component.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(_confirmed(docs, more, classes, width, percent)))
-    for table in (ends, members, first, left, more):
+        component = connected_components(component.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+    for table in (ends, members, first, sets):
         forget(table)
     named = written(classes.select("a", "b", "id").join(component, "id", "left").select("a", "b", F.coalesce("component", "id").alias("component")), "class-components")
     found = own.select("doc_id", "n", "a", "b").join(named, ["a", "b"], "left")

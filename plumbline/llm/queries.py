@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import bpe, divergence, linededup, mixing, neardup, quality, repeats, secrets, sharding, simhash
+from plumbline.llm.oracles import ORACLES
 
 #: The vocabulary of the BPE query; a file that the tokenizers' package brings.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -31,7 +32,7 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return divergence.quality_rules(_table(spark, sf_dir, "documents"))
+    return divergence.quality_rules(_table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

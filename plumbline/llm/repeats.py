@@ -102,7 +102,8 @@ class Parse:
         self.low = starts[runs]
         self.high = starts[np.append(runs[1:], len(starts)) - 1] + LENGTH if len(runs) else self.low
         trigger_at, of = at[runs], of[runs]
-        self.trigger = grams[trigger_at]
+        # The least hashes are small numbers; mixed again, they are dealt evenly.
+        self.trigger = _mixed(grams[trigger_at] + np.uint64(1))
         offset = bases[of] - (ends - sizes)[of]
         self.doc, self.start, self.end = docs[of], self.low + offset, self.high + offset
         if wholes:

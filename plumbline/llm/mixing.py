@@ -52,8 +52,8 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return levels.withColumn("target", target).select("source", "source_size", "target", F.floor(F.col("target") + 0.5).alias("quota"))
 
 
-def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 23) -> DataFrame:
-    """(row, size, source_size, target, taken, copies) of every row; row has all columns of docs.
+def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 23, keep: list[str] | None = None) -> DataFrame:
+    """(row, size, source_size, target, taken, copies) of every row; row has all columns of docs, or those to keep.
 
     copies is an array of (round, words, block, shard, place), one for each time that the mix reads the row;
     taken is their words. A source's taken words are its target rounded, so the last row it reads may be read
@@ -61,7 +61,7 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 23) -> DataFrame:
     are read on their own. An empty table gives an empty mix.
     """
     key = F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), F.col("source").cast("string")))
-    rows = docs.select(F.struct("*").alias("row"), word_count().alias("size"), F.col("source").cast("string").alias("source"), key.alias("stream"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("id"))
+    rows = docs.select(F.struct(*(keep or docs.columns)).alias("row"), word_count().alias("size"), F.col("source").cast("string").alias("source"), key.alias("stream"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("id"))
     rows = rows.withColumn("order", F.md5(F.concat(F.lit(f"{seed}:"), F.col("id")).cast("binary")))
     total = docs.count()
     parts = 1 + total // PART_ROWS

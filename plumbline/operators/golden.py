@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -199,9 +199,10 @@ def missing_anchors(facts: DataFrame, composed: DataFrame) -> DataFrame:
     return facts.join(composed.select("doc_id", "text"), "doc_id").where(~F.contains("text", "anchor")).select("doc_id", "fact_id")
 
 
-def anchor_leaked(query: Column, anchor: Column, n: int = LEAK, compose: bool = True) -> Column:
-    """Whether a query tells n characters in a row of its anchor, both normalised."""
-    return F.coalesce(F.arrays_overlap(ngrams(normalise(query, compose), n), ngrams(normalise(anchor, compose), n)), F.lit(False))
+def leaked_anchors(pairs: DataFrame, n: int = LEAK, compose: bool = True) -> DataFrame:
+    """pairs of (query, anchor) with leaked: whether the query tells n characters in a row of its anchor, both normalised."""
+    near = pairs.withColumns({"nq": normalise(F.col("query"), compose), "na": normalise(F.col("anchor"), compose)})
+    return near.withColumn("leaked", F.coalesce(F.arrays_overlap(ngrams(F.col("nq"), n), ngrams(F.col("na"), n)), F.lit(False))).drop("nq", "na")
 
 
 def relocate(samples: DataFrame, facts: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -42,7 +42,7 @@ def evaluate(spark: SparkSession, settings: Settings, golden_path: str, response
         base = store.load_totals(baseline_run_id)
         if base is None:
             raise ValueError(f"no baseline {baseline_run_id!r}")
-        same = aggregate.incomparable(snapshot, store.load_snapshot(baseline_run_id, snapshot.schema.simpleString().removeprefix("struct<").removesuffix(">"))).isEmpty()
+        same = aggregate.incomparable(snapshot, store.load_snapshot(baseline_run_id, snapshot.schema)).isEmpty()
         deltas = aggregate.diff(whole, base, same)
     html = report.retrieval_html(f"{dataset} {run_id}", saved, quality, aggregate.median_latency(diagnostics), deltas)
     report.write_text(spark, html, f"{settings.store_path}/reports/{run_id}.html")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 from plumbline.operators.aggregate import ALL
@@ -54,7 +55,7 @@ class Store:
         rows = self.load_baseline(run_id)
         return None if rows is None else rows.where((F.col("type_bucket") == ALL) & (F.col("domain_bucket") == ALL))
 
-    def load_snapshot(self, run_id: str, schema: str) -> DataFrame | None:
+    def load_snapshot(self, run_id: str, schema: str | StructType) -> DataFrame | None:
         runs = self._read("runs")
         return None if runs is None else runs.where(F.col("run_id") == run_id).select(F.from_json("snapshot", schema).alias("s")).select("s.*")
 

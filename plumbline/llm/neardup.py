@@ -27,6 +27,8 @@ BANDS, ROWS = 36, 5
 SAMPLES = BANDS * ROWS
 #: Bits of an odd sketch, and how many may differ. At similarity 0.8, 55 do on average, with a deviation of 9.
 SKETCH_BITS, APART = 256, 100
+#: Ids of 8 bytes up to which they are broadcast.
+SENT_IDS = 1 << 20
 _RNG = np.random.default_rng(20)
 _A = _RNG.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
@@ -110,14 +112,15 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, shingles) of the documents with these ids."""
+    """(id, shingles) of the documents with these ids, a table; up to SENT_IDS ids go to the texts, else texts to the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, texts in with_columns(batches):
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([shingle_set(t, width).view(np.int64) for t in texts], pa.list_(pa.int64()))], ["id", "shingles"])
 
     named = docs.select(F.col("doc_id").cast("long").alias("id"), text_bytes().alias("content"))
-    return named.join(ids, "id", "left_semi").mapInArrow(run, "id long, shingles array<long>")
+    few = ids.count() <= SENT_IDS
+    return named.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(run, "id long, shingles array<long>")
 
 
 def _differing(x: str, y: str):
@@ -217,7 +220,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     pair = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     stars = members.select(F.explode(F.array(pair("id", "low"), pair("id", "high"))).alias("p")).select("p.*")
     first = written(ends.select(F.col("low").alias("a"), F.col("high").alias("b")).unionByName(stars).where("a < b").distinct(), "pairs")
-    sets = written(_sets(docs, first.select(F.explode(F.array("a", "b")).alias("id")).distinct(), width), "shingle-sets")
+    ids = written(first.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "paired-ids")
+    sets = written(_sets(docs, ids, width), "shingle-sets")
     links = _confirmed(first, classes, sets, percent)
     # A document of several texts is in several classes, which it links.
     held = own.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "a", "b")
@@ -227,7 +231,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     more = _across(members.select("key", "id"), component, classes, sets, percent)
     if not more.isEmpty():
         component = connected_components(component.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
-    for table in (ends, members, first, sets):
+    for table in (ends, members, first, ids, sets):
         forget(table)
     named = written(classes.select("a", "b", "id").join(component, "id", "left").select("a", "b", F.coalesce("component", "id").alias("component")), "class-components")
     found = own.select("doc_id", "n", "a", "b").join(named, ["a", "b"], "left")

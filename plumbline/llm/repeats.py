@@ -291,6 +291,14 @@ def _first_and_later(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.nd
     return columns, later
 
 
+def _among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted table."""
+    at = np.searchsorted(table, values)
+    found = at < len(table)
+    found[found] = table[at[found]] == values[found]
+    return found
+
+
 def _place_key(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
     return _mixed(_mixed(doc.view(np.uint64)) + start.astype(np.uint64))
 
@@ -298,18 +306,20 @@ def _place_key(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
 class _Suffixes:
     """Bytes of the chosen phrases, by trigger; of hot triggers the strings themselves, by their hash.
 
-    Parts of hashes are numbered after those of phrases.
+    Which triggers are hot is known exactly, so all phrases of a trigger go the same way; what filters let through
+    too much is only looked into in vain. Parts of hashes are numbered after those of phrases.
     """
 
     pack = PACK_BYTES
 
-    def __init__(self, bits: int, chosen, hot):
-        self.bits, self.chosen, self.hot = bits, chosen, hot
+    def __init__(self, bits: int, chosen, of_hot, hot):
+        """Filters of the phrases of other triggers and of hot ones, and the hot triggers, sorted."""
+        self.bits, self.chosen, self.of_hot, self.hot = bits, chosen, of_hot, hot
 
     def __call__(self, parse: Parse) -> list[np.ndarray]:
         key = _place_key(parse.doc, parse.start)
-        hot = self.hot.value.holds(key)
-        kept = np.flatnonzero(self.chosen.value.holds(key) | hot)
+        hot = _among(parse.trigger, self.hot.value)
+        kept = np.flatnonzero(np.where(hot, self.of_hot.value.holds(key), self.chosen.value.holds(key)))
         width = parse.high[kept] - parse.low[kept]
         cells = np.zeros((len(kept), LENGTH + REACH - 1), np.uint8)
         for i, (low, n) in enumerate(zip(parse.low[kept].tolist(), width.tolist(), strict=True)):
@@ -446,6 +456,8 @@ def covered_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
         return pd.DataFrame({"part": rows["part"].iloc[:1], "filter": [Bloom.made(found, most)]})
 
     filters = [sent(_bloom(chosen.where(F.col("hot") == which).select("doc", "start").mapInArrow(keyed, "part int, packed binary"), bits, members)) for which in (False, True)]
+    # Each has more than so many phrases, so these are few.
+    hot_triggers = sent(np.sort(several.where(F.col("count") > hot).select("trigger").toArrow()["trigger"].to_numpy().astype(np.int64).view(np.uint64)))
 
     def suffixes(rows: pd.DataFrame) -> pd.DataFrame:
         if rows["part"].iloc[0] >> bits:
@@ -456,7 +468,7 @@ def covered_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
         doc, start, end = _equal_strings(_unpacked(rows["packed"], types))
         return pd.DataFrame({"doc": doc, "start": start, "end": end})
 
-    inner = written(_per_part(_scan(source, _Suffixes(bits, *filters), True), "doc long, start int, end int", suffixes), "covered-strings")
+    inner = written(_per_part(_scan(source, _Suffixes(bits, *filters, hot_triggers), True), "doc long, start int, end int", suffixes), "covered-strings")
     for table in (several, chosen):
         forget(table)
     return phrases.where("covered").select("doc", "start", "end").unionByName(inner)

@@ -236,6 +236,21 @@ def test_repeats_edges(spark, empty):
     assert [r["n_removed"] for r in repeats.remove_repeats(twice).collect()] == [0, 0]
 
 
+def test_repeats_with_a_full_filter(spark, monkeypatch):
+    """Triggers above and below hot, where the filter of hot phrases lets much through."""
+    monkeypatch.setattr(repeats, "BLOOM", 1)
+    rng = random.Random(31)
+    noise = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    frequent = [noise(90) for _ in range(12)]
+    texts = ["".join(noise(90) + x for x in frequent) for _ in range(1200)]
+    for _ in range(150):
+        shared = noise(130)
+        texts += [noise(80) + shared + noise(80) for _ in range(2)]
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: r["kept_sha256"] for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 200).collect()}
+    assert got == {i: r[3] for i, r in brute_repeats(rows).items()}
+
+
 def test_phrases_hold_each_string_once(monkeypatch):
     """Also where a long text is cut into stretches."""
     monkeypatch.setattr(repeats, "STRETCH", 700)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -147,19 +148,63 @@ def gate_rates(decided: DataFrame) -> DataFrame:
     return decided.agg(F.count(F.lit(1)).alias("n"), *[F.bround(F.try_divide(F.count_if(F.col("decision") == d), F.count(F.lit(1))), 4).alias(f"{d}_rate") for d in ("passed", "hard", "dropped")])
 
 
+def _common(masks: dict[str, int], full: int, window: str) -> int:
+    """The length of the longest common subsequence, from the bits at which a text has each character."""
+    row = full
+    for c in window:
+        both = row & masks.get(c, 0)
+        row = ((row + both) | (row - both)) & full
+    return (full ^ row).bit_count()
+
+
+def most_alike(a: str, t: str, least: float = 0.0, enough: float = 1.0) -> float:
+    """The greatest ratio of a and a part of t of its length, at every offset; parts at the end of t may be shorter.
+
+    What is under least is told as 0, and of several from enough on any may be told. Matching blocks make up a
+    common subsequence, and that is made up of common characters, so offsets where these are too few are skipped.
+    """
+    if not a or not t:
+        return 0.0
+    n = len(a)
+    spare = Counter(a)
+    shared, bounds = 0, []
+    # From the last offset on, a character comes in on the left, and one goes out on the right of a whole window.
+    for i in range(len(t) - 1, -1, -1):
+        shared += spare[t[i]] > 0
+        spare[t[i]] -= 1
+        if i + n < len(t):
+            shared -= spare[t[i + n]] >= 0
+            spare[t[i + n]] += 1
+        bound = 2.0 * shared / (n + min(n, len(t) - i))
+        if bound >= least:
+            bounds.append((bound, i))
+    masks: dict[str, int] = {}
+    for at, c in enumerate(a):
+        masks[c] = masks.get(c, 0) | 1 << at
+    closer = []
+    for _, i in bounds:
+        window = t[i : i + n]
+        bound = 2.0 * _common(masks, (1 << n) - 1, window) / (n + len(window))
+        if bound >= least:
+            closer.append((bound, i))
+    best = 0.0
+    for bound, i in sorted(closer, reverse=True):
+        if bound <= best or best >= enough:
+            break
+        best = max(best, ratio(a, t[i : i + n]))
+    return best if best >= least else 0.0
+
+
 @F.pandas_udf(T.DoubleType())
 def best_window(anchor: pd.Series, text: pd.Series) -> pd.Series:
     """How alike an anchor is to the part of a text of its length that is most like it, both normalised."""
-    def most(a: str, t: str) -> float:
-        a, t = a or "", t or ""
-        if not a or not t:
-            return 0.0
-        step = max(1, len(a) // 4)
-        places = range(0, max(1, len(t) - len(a) + 1), step)
-        near = max(places, key=lambda i: ratio(a, t[i : i + len(a)]))
-        return max(ratio(a, t[i : i + len(a)]) for i in range(max(0, near - step), min(len(t), near + step + 1)))
+    return pd.Series([most_alike(a or "", t or "") for a, t in zip(anchor, text, strict=True)], dtype="float64")
+
 
-    return pd.Series([most(a, t) for a, t in zip(anchor, text, strict=True)], dtype="float64")
+@F.pandas_udf(T.BooleanType())
+def has_window(anchor: pd.Series, text: pd.Series) -> pd.Series:
+    """Whether best_window is FUZZY or more; far fewer parts are compared than it takes to find the best."""
+    return pd.Series([most_alike(a or "", t or "", FUZZY, FUZZY) >= FUZZY for a, t in zip(anchor, text, strict=True)], dtype="bool")
 
 
 def match_tiers(pairs: DataFrame, fuzzy: bool = True, compose: bool = True) -> DataFrame:
@@ -169,7 +214,7 @@ def match_tiers(pairs: DataFrame, fuzzy: bool = True, compose: bool = True) -> D
     tier = F.when(F.contains("content", "anchor"), 0).when((F.col("na") != "") & F.contains("nc", "na"), 1)
     if fuzzy:
         near = near.withColumn("tier", tier)
-        found = near.where("tier is not null").unionByName(near.where("tier is null").withColumn("tier", F.when(best_window("na", "nc") >= FUZZY, 2).otherwise(3)))
+        found = near.where("tier is not null").unionByName(near.where("tier is null").withColumn("tier", F.when(has_window("na", "nc"), 2).otherwise(3)))
     else:
         found = near.withColumn("tier", F.coalesce(tier, F.lit(3)))
     return found.drop("na", "nc")

@@ -1,6 +1,7 @@
 """Golden sets: readers, conversion, sampling, gate, anchors."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,6 +99,30 @@ def test_anchors(spark):
     assert {r["fact_id"] for r in golden.distinct_facts(nested).collect()} == {"f1", "f3"}
 
 
+def test_near_copy_between_decoys_is_found(spark):
+    """Decoys lie on the offsets that a quarter of the anchor's length gives, and the copy between them."""
+    anchor = "abcdefghijklmnopqrstuvwxyz0123456789ABCD"
+    decoy = anchor[:17] + "#######" + anchor[24:]
+    copy = anchor[:10] + "##" + anchor[12:30] + "##" + anchor[32:]
+    content = decoy + "=" * 45 + copy + "=" * 35 + decoy
+    found = spark.createDataFrame([(anchor, content)], "anchor string, content string")
+    assert found.select(golden.best_window("anchor", "content").alias("x")).first()["x"] == pytest.approx(0.9)
+    facts, chunks = spark.createDataFrame([("f", 1, anchor)], "fact_id string, doc_id long, anchor string"), spark.createDataFrame([(1, "c", content.replace("=", "一").replace("#", "二"))], "doc_id long, chunk_id string, content string")
+    assert golden.locate(facts, chunks, compose=False).first()["tier"] == "fuzzy"
+
+
+def test_best_part_is_that_of_all_offsets():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, t = ("".join(rng.choices("abcd "[: rng.randint(1, 5)], k=rng.randint(0, n))) for n in (14, 40))
+        if rng.random() < 0.5:
+            at = rng.randint(0, len(t))
+            t = t[:at] + a[: len(a) // 2] + "x" + a[len(a) // 2 :] + t[at:]
+        want = max((text.ratio(a, t[i : i + len(a)]) for i in range(len(t))), default=0.0) if a else 0.0
+        assert golden.most_alike(a, t) == want
+        assert (golden.most_alike(a, t, golden.FUZZY, golden.FUZZY) >= golden.FUZZY) == (want >= golden.FUZZY)
+
+
 def test_specs_render_and_models(spark):
     matrix = golden.spec_matrix(spark)
     assert matrix.where("key = 'pdfxmineru-headings-long-scattered'").first()["n_facts"] == 10

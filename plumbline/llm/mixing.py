@@ -91,11 +91,14 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 23, keep: list[str] |
 
 
 def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 23) -> DataFrame:
-    """The documents that the mix reads, as often as it does, with the columns of docs.
+    """The documents that the mix reads, as often as it does, with the columns of docs, in order of shard and place.
 
-    Rows stay whole, also a source's last, of which the quota may need a part only. Rows of no words are read
-    by no mix of words and cost it nothing: they stay, once.
+    Shards follow each other, each with the blocks drawn for it, shuffled; partitions are ranges of that order. Rows
+    stay whole, also a source's last, of which the quota may need a part only. Rows of no words are read by no mix
+    of words and cost it nothing: they stay, once, in a shard by hash.
     """
     mixed = mix(docs, shards, seed)
-    times = F.when(F.col("size") == 0, 1).otherwise(F.size("copies"))
-    return mixed.where(times > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), times))).select("row.*")
+    place = F.xxhash64(F.lit(seed), F.coalesce(F.col("row.doc_id").cast("string"), F.lit("null")))
+    wordless = F.array(F.struct(F.pmod(place, F.lit(shards)).cast("int").alias("shard"), place.alias("place")))
+    places = F.when(F.col("size") == 0, wordless).otherwise(F.transform("copies", lambda c: F.struct(c["shard"].alias("shard"), c["place"].alias("place"))))
+    return mixed.select("row", F.explode(places).alias("to")).orderBy("to.shard", "to.place").select("row.*")

@@ -539,3 +539,12 @@ def test_mix_deals_blocks_to_shards_evenly(docs, monkeypatch):
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns
     assert set(collections.Counter(r["doc_id"] for r in mixed.collect()).values()) <= {1, 2, 3}
+
+
+def test_mixed_documents_lie_by_shard_and_place(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 50)
+    rows = mixing.mix(docs, shards=4).select("row.doc_id", F.explode("copies").alias("c")).select("doc_id", "c.shard", "c.place").collect()
+    want = [r["doc_id"] for r in sorted(rows, key=lambda r: (r["shard"], r["place"]))]
+    got = [r["doc_id"] for r in mixing.mixed_documents(docs, shards=4).collect()]
+    empty = [i for i, t in TEXTS.items() if not WORD.search(t)]
+    assert [i for i in got if i not in empty] == want and sorted(map(str, (i for i in got if i in empty))) == sorted(map(str, empty))

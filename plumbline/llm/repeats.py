@@ -41,6 +41,8 @@ HOT = 4096
 BLOOM = 32 << 20
 #: Where a row without doc_id stands: after all others.
 LAST = (1 << 63) - 1
+#: A document: its id, and a hash of its text, since ids may be missing or shared.
+DOC = np.dtype([("id", np.int64), ("text", np.uint64)])
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _POS = np.uint64(21)
 
@@ -73,7 +75,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 class Parse:
     """The phrases of a buffer of texts: arrays with one entry for each, in order.
 
-    trigger: hash of the trigger; whole: hash of the phrase, of another kind; doc, start, end: where it is.
+    trigger: hash of the trigger; whole: hash of the phrase, of another kind; of, start, end: where it is; doc: the id alone.
     """
 
     def __init__(self, data: np.ndarray, docs: np.ndarray, bases: np.ndarray, sizes: np.ndarray, wholes: bool = True):
@@ -105,7 +107,8 @@ class Parse:
         # The least hashes are small numbers; mixed again, they are dealt evenly.
         self.trigger = _mixed(grams[trigger_at] + np.uint64(1))
         offset = bases[of] - (ends - sizes)[of]
-        self.doc, self.start, self.end = docs[of], self.low + offset, self.high + offset
+        self.of, self.start, self.end = docs[of], self.low + offset, self.high + offset
+        self.doc = self.of["id"]
         if wholes:
             np.cumsum(data * down2[:n], out=summed[1:])
             shape = (self.high - self.low).astype(np.uint64) << np.uint64(32) | (trigger_at - self.low).astype(np.uint64)
@@ -114,15 +117,16 @@ class Parse:
 
 def parses(batches: Iterator[pa.RecordBatch], wholes: bool = True) -> Iterator[Parse]:
     """Parses of (doc_id, content) batches, some texts at a time; texts under LENGTH bytes have no phrases."""
-    held: list[tuple[int, int, bytes]] = []
+    held: list[tuple[tuple[int, int], int, bytes]] = []
     size = 0
 
     def parse() -> Parse:
         data = np.frombuffer(b"".join(x for _, _, x in held), np.uint8)
-        return Parse(data, np.array([d for d, _, _ in held], np.int64), np.array([b for _, b, _ in held], np.int64), np.array([len(x) for _, _, x in held], np.int64), wholes)
+        return Parse(data, np.array([d for d, _, _ in held], DOC), np.array([b for _, b, _ in held], np.int64), np.array([len(x) for _, _, x in held], np.int64), wholes)
 
     for ids, texts in with_columns(batches):
-        for doc, text in zip(ids, texts, strict=True):
+        for doc_id, text in zip(ids, texts, strict=True):
+            doc = (doc_id, xxhash.xxh64_intdigest(text, 42))  # as Spark's xxhash64 has it
             for base in range(0, max(1, len(text) - LENGTH + 1), STRETCH - LENGTH + 1):
                 part = text[base : base + STRETCH]
                 if len(part) < LENGTH:
@@ -251,7 +255,7 @@ class _Triggers:
         return _dealt(found, self.bits, [found])
 
 
-_PHRASE = [np.uint64, np.uint64, np.int64, np.int32, np.int32]
+_PHRASE = [np.uint64, np.uint64, DOC, np.int32, np.int32]
 #: Marks the packed rows of phrases that their own task has found covered.
 _COVERED = np.uint64(0)
 
@@ -269,19 +273,19 @@ class _Phrases:
 
     def __call__(self, parse: Parse) -> list[np.ndarray]:
         kept = self.bloom.value.holds(parse.trigger)
-        return [parse.trigger[kept], parse.whole[kept] | np.uint64(1), parse.doc[kept], parse.start[kept].astype(np.int32), parse.end[kept].astype(np.int32)]
+        return [parse.trigger[kept], parse.whole[kept] | np.uint64(1), parse.of[kept], parse.start[kept].astype(np.int32), parse.end[kept].astype(np.int32)]
 
     def send(self, columns: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
         columns, later = _first_and_later(columns)
         columns[1][later] = _COVERED
         # Copies of a hot phrase are dealt out by where they are.
-        key = np.where(later, _mixed(columns[2].view(np.uint64)), _mixed(columns[0] ^ columns[1] * np.uint64(_B1)))
+        key = np.where(later, _mixed(columns[2]["id"].view(np.uint64) ^ columns[2]["text"]), _mixed(columns[0] ^ columns[1] * np.uint64(_B1)))
         return _dealt(key, self.bits, columns)
 
 
 def _first_and_later(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     """Phrases sorted so that equal ones are neighbours, and which of them come later than the first of their kind."""
-    order = np.lexsort((columns[3], columns[2], columns[1], columns[0]))
+    order = np.lexsort((columns[3], columns[2]["text"], columns[2]["id"], columns[1], columns[0]))
     columns = [c[order] for c in columns]
     new = np.ones(len(order), bool)
     new[1:] = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])
@@ -300,7 +304,7 @@ def _among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def _place_key(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    return _mixed(_mixed(doc.view(np.uint64)) + start.astype(np.uint64))
+    return _mixed(_mixed(_mixed(doc["id"].view(np.uint64)) ^ doc["text"]) + start.astype(np.uint64))
 
 
 class _Suffixes:
@@ -317,14 +321,14 @@ class _Suffixes:
         self.bits, self.chosen, self.of_hot, self.hot = bits, chosen, of_hot, hot
 
     def __call__(self, parse: Parse) -> list[np.ndarray]:
-        key = _place_key(parse.doc, parse.start)
+        key = _place_key(parse.of, parse.start)
         hot = _among(parse.trigger, self.hot.value)
         kept = np.flatnonzero(np.where(hot, self.of_hot.value.holds(key), self.chosen.value.holds(key)))
         width = parse.high[kept] - parse.low[kept]
         cells = np.zeros((len(kept), LENGTH + REACH - 1), np.uint8)
         for i, (low, n) in enumerate(zip(parse.low[kept].tolist(), width.tolist(), strict=True)):
             cells[i, :n] = parse.data[low : low + n]
-        return [parse.trigger[kept], parse.doc[kept], parse.start[kept].astype(np.int32), width.astype(np.int32), hot[kept], cells]
+        return [parse.trigger[kept], parse.of[kept], parse.start[kept].astype(np.int32), width.astype(np.int32), hot[kept], cells]
 
     def send(self, columns: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
         hot = columns[4]
@@ -352,7 +356,7 @@ def _strings_of(width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _equal_strings(columns: list[np.ndarray]) -> list[np.ndarray]:
     """(doc, start, end) that are covered, of (trigger, doc, start, width, cells): sorts suffixes of the cells."""
     trigger, doc, start, width, cells = columns
-    order = np.lexsort((start, doc, trigger))
+    order = np.lexsort((start, doc["text"], doc["id"], trigger))
     trigger, doc, start, width, cells = (c[order] for c in (trigger, doc, start, width, cells))
     cuts = np.append(np.flatnonzero(np.diff(trigger, prepend=~trigger[:1])), len(trigger))
     out: list[list[np.ndarray]] = [[], [], []]
@@ -379,21 +383,21 @@ def _equal_strings(columns: list[np.ndarray]) -> list[np.ndarray]:
         # Rows of a trigger are in order of doc and start, but suffixes of one document's phrases may not be.
         first_d, first_w = d.copy(), w.copy()
         groups = np.flatnonzero(~same)
-        least = np.lexsort((w, d, head))
+        least = np.lexsort((w, d["text"], d["id"], head))
         first_d[groups], first_w[groups] = d[least[np.searchsorted(head[least], groups)]], w[least[np.searchsorted(head[least], groups)]]
         covered = (d != first_d[head]) | (w != first_w[head])
         for held, x in zip(out, _joined(d[covered], w[covered], w[covered] + LENGTH), strict=True):
             held.append(x)
-    return [np.concatenate(h) if h else np.zeros(0, k) for h, k in zip(out, (np.int64, np.int32, np.int32), strict=True)]
+    return [np.concatenate(h) if h else np.zeros(0, k) for h, k in zip(out, (DOC, np.int32, np.int32), strict=True)]
 
 
 def _joined(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
     """Ranges of equal documents that meet or overlap, as one."""
     if not len(doc):
-        return [doc.astype(np.int64), start.astype(np.int32), end.astype(np.int32)]
-    order = np.lexsort((start, doc))
+        return [doc, start.astype(np.int32), end.astype(np.int32)]
+    order = np.lexsort((start, doc["text"], doc["id"]))
     doc, start, end = doc[order], start[order], end[order]
-    own = np.cumsum(np.diff(doc, prepend=doc[0]) != 0).astype(np.int64) << 33
+    own = np.append(0, np.cumsum(doc[1:] != doc[:-1])).astype(np.int64) << 33
     reach = np.maximum.accumulate(own + end)
     new = np.ones(len(doc), bool)
     new[1:] = own[1:] + start[1:] > reach[:-1]
@@ -401,6 +405,10 @@ def _joined(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndar
     return [doc[heads], start[heads].astype(np.int32), (reach[np.append(heads[1:], len(doc)) - 1] - own[heads]).astype(np.int32)]
 
 
+def _named(doc: np.ndarray) -> dict[str, np.ndarray]:
+    return {"doc": doc["id"], "text": doc["text"].view(np.int64)}
+
+
 def _per_part(df: DataFrame, schema: str, fn: Callable) -> DataFrame:
     """Each part's packed rows as one group; parts are many, and their number grows with the shuffle's."""
     return df.groupBy("part").applyInPandas(fn, schema)
@@ -413,7 +421,7 @@ def _bloom(df: DataFrame, bits: int, hashed: Callable) -> Bloom:
 
 
 def covered_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """(doc, start, end): ranges of bytes that strings of LENGTH bytes with an earlier copy cover; they may overlap."""
+    """(doc, text, start, end), text the hash of the text: ranges of bytes that strings of LENGTH bytes with an earlier copy cover; they may overlap."""
     spark = docs.sparkSession
     bits = max(6, int(np.ceil(np.log2(max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))))))
     most = max(64, BLOOM >> bits)
@@ -436,18 +444,21 @@ def covered_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
         kept = [o[~later] for o in own]
         return pd.DataFrame({
             "trigger": np.concatenate([kept[0].view(np.int64), np.zeros(len(gone[0]), np.int64)]), "covered": np.repeat([False, True], [len(kept[0]), len(gone[0])]),
-            "doc": np.concatenate([kept[2], gone[0]]), "start": np.concatenate([kept[3], gone[1]]), "end": np.concatenate([kept[4], gone[2]]),
+            **_named(np.concatenate([kept[2], gone[0]])), "start": np.concatenate([kept[3], gone[1]]), "end": np.concatenate([kept[4], gone[2]]),
         })
 
-    phrases = written(_per_part(_scan(source, _Phrases(bits, triggers), True), "trigger long, covered boolean, doc long, start int, end int", first_phrases), "phrases")
-    dictionary = phrases.where("not covered").select("trigger", "doc", "start")
+    phrases = written(_per_part(_scan(source, _Phrases(bits, triggers), True), "trigger long, covered boolean, doc long, text long, start int, end int", first_phrases), "phrases")
+    dictionary = phrases.where("not covered").select("trigger", "doc", "text", "start")
     several = written(dictionary.groupBy("trigger").count().where("count > 1"), "triggers")
     # Only phrases whose trigger has other phrases are looked into.
-    chosen = written(dictionary.join(several, "trigger").select("doc", "start", (F.col("count") > hot).alias("hot")), "chosen-phrases")
+    chosen = written(dictionary.join(several, "trigger").select("doc", "text", "start", (F.col("count") > hot).alias("hot")), "chosen-phrases")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = _place_key(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1).to_numpy(zero_copy_only=False))
+            doc, text, start = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            docs = np.zeros(len(doc), DOC)
+            docs["id"], docs["text"] = doc, text.view(np.uint64)
+            key = _place_key(docs, start)
             if len(key):
                 yield _rows(list(_dealt(key, bits, [key])))
 
@@ -455,7 +466,7 @@ def covered_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
         (found,) = _unpacked(rows["packed"], [np.uint64])
         return pd.DataFrame({"part": rows["part"].iloc[:1], "filter": [Bloom.made(found, most)]})
 
-    filters = [sent(_bloom(chosen.where(F.col("hot") == which).select("doc", "start").mapInArrow(keyed, "part int, packed binary"), bits, members)) for which in (False, True)]
+    filters = [sent(_bloom(chosen.where(F.col("hot") == which).select("doc", "text", "start").mapInArrow(keyed, "part int, packed binary"), bits, members)) for which in (False, True)]
     # Each has more than so many phrases, so these are few.
     hot_triggers = sent(np.sort(several.where(F.col("count") > hot).select("trigger").toArrow()["trigger"].to_numpy().astype(np.int64).view(np.uint64)))
 
@@ -463,27 +474,28 @@ def covered_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
         if rows["part"].iloc[0] >> bits:
             own, later = _first_and_later(_unpacked(rows["packed"], _PHRASE))
             doc, start, end = _joined(*[c[later] for c in own[2:]])
-            return pd.DataFrame({"doc": doc, "start": start, "end": end})
-        types = [np.uint64, np.int64, np.int32, np.int32, np.dtype((np.uint8, (LENGTH + REACH - 1,)))]
+            return pd.DataFrame({**_named(doc), "start": start, "end": end})
+        types = [np.uint64, DOC, np.int32, np.int32, np.dtype((np.uint8, (LENGTH + REACH - 1,)))]
         doc, start, end = _equal_strings(_unpacked(rows["packed"], types))
-        return pd.DataFrame({"doc": doc, "start": start, "end": end})
+        return pd.DataFrame({**_named(doc), "start": start, "end": end})
 
-    inner = written(_per_part(_scan(source, _Suffixes(bits, *filters, hot_triggers), True), "doc long, start int, end int", suffixes), "covered-strings")
+    inner = written(_per_part(_scan(source, _Suffixes(bits, *filters, hot_triggers), True), "doc long, text long, start int, end int", suffixes), "covered-strings")
     for table in (several, chosen):
         forget(table)
-    return phrases.where("covered").select("doc", "start", "end").unionByName(inner)
+    return phrases.where("covered").select("doc", "text", "start", "end").unionByName(inner)
 
 
 def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, content) of every row: its text as bytes without what is covered.
 
     A null text is an empty one; texts under LENGTH bytes lose nothing. Order is by doc_id, rows without one come
-    last. Rows that share a doc_id are one document: neither is the other's earlier copy.
+    last. Rows that share a doc_id are in order of a hash of their texts; those that share a text, too, are one
+    document: neither is the other's earlier copy.
     """
-    ranges = covered_ranges(docs, hot).select("doc", F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("end").cast("long")).alias("range"))
-    by_doc = ranges.groupBy("doc").agg(F.collect_list("range").alias("ranges"))
+    ranges = covered_ranges(docs, hot).select("doc", "text", F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("end").cast("long")).alias("range"))
+    by_doc = ranges.groupBy("doc", "text").agg(F.collect_list("range").alias("ranges"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), text_bytes().alias("content"))
-    both = rows.join(by_doc, "doc", "left").select("doc_id", "content", "ranges")
+    both = rows.withColumn("text", F.xxhash64("content")).join(by_doc, ["doc", "text"], "left").select("doc_id", "content", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -493,7 +505,7 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
                 for doc, text, packed in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     place = np.array(packed or [], np.int64)
                     low, high = place >> 32, np.minimum(place & 0xFFFFFFFF, len(text))
-                    _, low, high = _joined(np.zeros(len(place), np.int64), low, high)
+                    _, low, high = _joined(np.zeros(len(place), DOC), low, high)
                     kept, so_far = [], 0
                     for a, b in zip(low.tolist(), high.tolist(), strict=True):
                         kept.append(text[so_far:a])

@@ -236,6 +236,18 @@ def test_repeats_edges(spark, empty):
     assert [r["n_removed"] for r in repeats.remove_repeats(twice).collect()] == [0, 0]
 
 
+@pytest.mark.parametrize("hot", [repeats.HOT, 1])
+def test_repeats_of_rows_that_share_an_id(spark, hot):
+    """Each row loses what it repeats, and nothing that another row of its id repeats."""
+    rng = random.Random(17)
+    noise = lambda n: "".join(rng.choices("abcdefghijklmnop", k=n))
+    once, both = noise(150), noise(120)
+    texts = [(1, once + noise(80)), (None, once + noise(200)), (None, noise(400)), (None, noise(150)), (7, noise(200) + both), (7, noise(200) + both), (9, once), (9, noise(160))]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_removed"]) for r in repeats.remove_repeats(rows, hot).collect())
+    assert got == [(-1, 150, 0), (-1, 350, 150), (-1, 400, 0), (1, 230, 0), (7, 320, 0), (7, 320, 120), (9, 150, 150), (9, 160, 0)]
+
+
 def test_repeats_with_a_full_filter(spark, monkeypatch):
     """Triggers above and below hot, where the filter of hot phrases lets much through."""
     monkeypatch.setattr(repeats, "BLOOM", 1)

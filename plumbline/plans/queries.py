@@ -266,14 +266,19 @@ def anchor_locate(spark, d):
     """Benchmark items as anchors, sought in all documents exactly: documents share a word run with each item they hold.
 
     Candidates are documents that hold the item's first words in a row, found by a join on that run; each is then
-    compared in full.
+    compared in full. Items of fewer words, whose run may not end with a word of theirs, are compared with all documents.
     """
     first = lambda c: F.array_join(F.slice(F.split(c, r"[\x20\x09-\x0D]+"), 2, 4), " ")
-    items = fx.table(spark, d, "benchmark").select(F.col("item_id").alias("fact_id"), F.col("text").alias("anchor"), first("text").alias("run"))
-    words = fx.table(spark, d, "documents").select("doc_id", "text", F.split("text", r"[\x20\x09-\x0D]+").alias("w"))
+    anchors = fx.table(spark, d, "benchmark").select(F.col("item_id").alias("fact_id"), F.col("text").alias("anchor"), first("text").alias("run"))
+    # The fifth word has an end in the item only if a sixth follows.
+    long = F.size(F.split("anchor", r"[\x20\x09-\x0D]+")) >= 6
+    items, short = anchors.where(long), anchors.where(~long).select("fact_id", "anchor")
+    docs = fx.table(spark, d, "documents").select("doc_id", "text")
+    words = docs.select("doc_id", "text", F.split("text", r"[\x20\x09-\x0D]+").alias("w"))
     runs = words.select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 4), " ")))).alias("run"))
     met = runs.join(F.broadcast(items) if items.limit(10001).count() <= 10000 else items, "run").where(F.contains("text", "anchor"))
-    return met.select("fact_id", "doc_id").distinct()
+    held = docs.join(F.broadcast(short), F.contains("text", "anchor"))
+    return met.select("fact_id", "doc_id").unionByName(held.select("fact_id", "doc_id")).distinct()
 
 
 def gate_cascade(spark, d):

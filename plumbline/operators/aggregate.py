@@ -49,13 +49,29 @@ def failed_source_counts(diagnostics: DataFrame, keys: tuple[str, ...] = ()) ->
 def nearest_rank(value: Column, percent: float) -> Column:
     """The value at the rounded index of the sorted values, half to even; 0 where there is none.
 
-    Values are counted first, so a group holds its distinct values only.
+    A group holds all its values in one array: for small groups. Tables go through counted_ranks and rank_of.
     """
     values = F.array_sort(F.collect_list(value))
     at = F.bround(F.lit(percent / 100) * (F.size(values) - 1), 0).cast("int")
     return F.when(F.size(values) == 0, F.lit(0).cast("double")).otherwise(F.get(values, F.least(at, F.size(values) - 1)).cast("double"))
 
 
+def counted_ranks(counted: DataFrame, keys: tuple[str, ...], value: str, n: str = "n") -> DataFrame:
+    """counted (keys, value, n, ..) with upto and total: how many values of a group are no greater, and how many there are.
+
+    n counts non-null values, so it is 0 beside a null. A group's distinct values are sorted, and on disk where they
+    are many; no array holds them.
+    """
+    order = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return counted.withColumns({"upto": F.sum(n).over(order), "total": F.sum(n).over(Window.partitionBy(*keys))})
+
+
+def rank_of(value: str, percent: float) -> Column:
+    """nearest_rank of (value, upto, total) as an aggregate."""
+    at = F.bround(F.lit(percent / 100) * (F.col("total") - 1), 0)
+    return F.coalesce(F.min(F.when(F.col("upto") > at, F.col(value))).cast("double"), F.lit(0).cast("double"))
+
+
 def median_latency(diagnostics: DataFrame) -> DataFrame:
     return diagnostics.where("elapsed_ms <> 0").agg(F.median("elapsed_ms").alias("median_ms"))
 

@@ -118,7 +118,8 @@ def latency_median(spark, d):
 
 
 def nearest_rank_percentiles(spark, d):
-    return fx.diagnostics(spark, d).groupBy("type").agg(*[aggregate.nearest_rank(F.col("elapsed_ms"), p).alias(f"p{p}") for p in (50, 95)])
+    counted = fx.diagnostics(spark, d).groupBy("type", "elapsed_ms").agg(F.count("elapsed_ms").alias("n"))
+    return aggregate.counted_ranks(counted, ("type",), "elapsed_ms").groupBy("type").agg(*[aggregate.rank_of("elapsed_ms", p).alias(f"p{p}") for p in (50, 95)])
 
 
 def _vector_totals(spark, d, strategy):

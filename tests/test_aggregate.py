@@ -1,6 +1,7 @@
 """Buckets, ledgers, run quality, diffs, trends, stores, vectors, rerank, streaming, reports, commands."""
 
 import json
+import random
 import re
 
 import pytest
@@ -161,3 +162,24 @@ def test_catalogue_is_whole():
     assert set(catalogue.ORACLES) <= set(catalogue.QUERIES)
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert not [k for k, sql in catalogue.ORACLES.items() if not re.match(r"\s*(WITH|SELECT)", sql)]
+
+
+def test_ranks_come_from_counts(spark):
+    """No group's values are collected into an array; repeated, null and missing values count as nearest_rank has them."""
+    rng = random.Random(4)
+    values = {"a": [rng.choice([0.5, 1.0, 7.0, 2.0]) for _ in range(101)] + [None] * 9, "b": [float(i) for i in range(40)], "c": [None], "d": [3.0]}
+    rows = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "k string, v double")
+    counted = rows.groupBy("k", "v").agg(F.count("v").alias("n"))
+    got = {r["k"]: tuple(r)[1:] for r in aggregate.counted_ranks(counted, ("k",), "v").groupBy("k").agg(*[aggregate.rank_of("v", p).alias(str(p)) for p in (0, 50, 95, 100)]).collect()}
+    real = {k: sorted(v for v in vs if v is not None) for k, vs in values.items()}
+    assert got == {k: tuple(vs[round(p / 100 * (len(vs) - 1))] if vs else 0.0 for p in (0, 50, 95, 100)) for k, vs in real.items()}
+
+
+def test_percentiles_collect_no_group(spark, tmp_path):
+    from plumbline.operators import markdown
+    from plumbline.plans import queries
+
+    spark.createDataFrame([(1, "x", 2.0, "{}")], "event_id long, event_type string, value double, props string").selectExpr("*", "timestamp'2024-01-01' AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    pairs = spark.createDataFrame([("s", "md", None, "# a", "# a", True, ["# a"], 5)], "sample_id string, fmt string, pdf_backend string, ref string, produced string, ok boolean, repeats array<string>, clean_ms long")
+    for df in (queries.nearest_rank_percentiles(spark, str(tmp_path)), markdown.cleaning_buckets(markdown.score_pairs(pairs))):
+        assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()

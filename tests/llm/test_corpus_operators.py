@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -482,7 +483,7 @@ def scanner():
 
 def test_spans_are_those_of_the_expressions(scanner):
     rng = random.Random(3)
-    parts = ["password", "PassWd", "secret", "token", "api_key", "apikey", ":", "=", '"', "'", " ", "  ", "abcdefgh", "A", "AKIA", "AKIAABCDEFGH1234", "0123456789abcdef", "deadbeef" * 4, "é", "ſ", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "ghp_" + "a1" * 18, "xoxb-1234567890", "eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.abcdefghijkl", "AIza" + "x" * 35, "/", "\n", "tok", "\x00"]
+    parts = ["password", "PassWd", "secret", "token", "api_key", "apikey", ":", "=", '"', "'", " ", "  ", "abcdefgh", "A", "AKIA", "AKIAABCDEFGH1234", "0123456789abcdef", "deadbeef" * 4, "é", "ſ", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "ghp_" + "a1" * 18, "xoxb-1234567890", "eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.abcdefghijkl", "AIza" + "x" * 35, "/", "\n", "tok", "\x00", "eyJ", ".", "eyJa.eyJb", "AIza", "xoxb-"]
     for _ in range(3000):
         text = "".join(rng.choices(parts, k=rng.randint(0, 14)))
         assert secrets.in_code_points(text.encode(), scanner.spans(text.encode())) == brute_spans(text), text
@@ -501,6 +502,23 @@ def test_secrets(docs, empty):
     assert secrets.scan_documents(empty).count() == 0
 
 
+def test_overlapping_matches_take_linear_time(scanner):
+    """Matches that would start inside the one before them; every further byte ends such a match."""
+
+    def took(n):
+        data = b"eyJa.eyJb.eyJc.eyJ" + b"x" * n
+        began = time.process_time()
+        assert scanner.spans(data) == []
+        return time.process_time() - began
+
+    took(1000)
+    assert min(took(200_000) for _ in range(3)) <= 2.5 * min(took(100_000) for _ in range(3))
+    data = b"eyJa.eyJb." + b"z" * 50 + b".eyJ" + b"x" * 1_000_000 + b" eyJaaaaaaaaaaaaa.eyJbbbbbbbbbbbbb.zzzzzzzzzzzz"
+    assert scanner.spans(data) == [(m.start(), 6, m.end()) for m in re.finditer(secrets.MORE[3].pattern.encode(), data) if len(m[0]) >= 40]
+    for text in ("AKIA" * 30000, "password=" * 30000, "token:a" * 30000, "-----BEGIN " * 20000, "deadbeef" * 30000, "eyJa." * 30000):
+        assert scanner.spans(text.encode()) == brute_spans(text)
+
+
 def test_automaton_is_minimal():
     assert secrets.Automaton((secrets.Rule("x", "(a|b)*abb"),), floating=False).size == 5  # four states and the dead one
     with pytest.raises(ValueError, match="unexpected"):

@@ -1,5 +1,7 @@
 """The pipeline's stages over a small set of tables, each on what the one before it has kept."""
 
+import random
+
 import corpus_pipeline
 import pytest
 
@@ -10,7 +12,8 @@ from plumbline.llm import mixing, neardup
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("tables"))
-    good = [(i, "\n".join(["Shared header line of all pages", f"Document {i} tells " + " ".join(f"the word{(i * j) % 97} of it," for j in range(1, 60)) + "."]), "en", f"s{i % 3}", 0) for i in range(120)]
+    rng = random.Random(11)  # each document has words of its own
+    good = [(i, "\n".join(["Shared header line of all pages", f"Document {i} tells " + " ".join(f"the word{rng.randrange(97)} of it," for _ in range(60)) + "."]), "en", f"s{i % 3}", 0) for i in range(120)]
     copies = [(300 + i, good[i][1] + " end", "en", "s1", 0) for i in range(10)]
     bad = [(1000 + i, "BUY NOW!! " * 30 + "$$$ ### " * (i % 9 + 1), "en", "s2", 0) for i in range(60)]
     docs = spark.createDataFrame(good + copies + bad + [(5000, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")

@@ -63,7 +63,7 @@ k AS (SELECT *, {_LOW.format(f"trim(line, {_BLANK})")} AS key FROM l),
 often AS (SELECT key FROM (SELECT DISTINCT doc_id, key FROM k WHERE key <> '') GROUP BY key HAVING count(*) >= 10)
 SELECT doc_id, count(*) AS n_lines, count(often.key) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (often.key IS NULL), '')) AS kept_sha256 FROM k LEFT JOIN often USING (key) GROUP BY doc_id"""
 
-_MIXING = f"""WITH d AS (SELECT doc_id, source, len({_WORDS.format("coalesce(text, '')")})::BIGINT AS size FROM documents),
+_MIXING = f"""WITH d AS (SELECT doc_id, source, len({_WORDS.format("coalesce(text, '')")})::BIGINT AS size, md5(coalesce(text, '')) AS digest FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
 w AS (SELECT *, [1, 2, 3][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::BIGINT AS weight, 3 * source_size AS cap FROM s),
 o AS (SELECT *, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS place FROM w),
@@ -71,7 +71,13 @@ v AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY pla
 f AS (SELECT *, first_value(CASE WHEN level * weight <= cap THEN level END IGNORE NULLS) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS common FROM v),
 t AS (SELECT source, source_size, coalesce(least(cap::DOUBLE, common * weight), cap::DOUBLE) AS target FROM f),
 q AS (SELECT *, floor(target + 0.5)::BIGINT AS quota FROM t),
-p AS (SELECT doc_id, size, source_size, target, quota, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5('23:' || doc_id::VARCHAR), size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_word FROM d JOIN q ON q.source IS NOT DISTINCT FROM d.source)
-SELECT doc_id, size, source_size, target, (greatest(0, least(size, quota - first_word)) + greatest(0, least(size, quota - source_size - first_word)) + greatest(0, least(size, quota - 2 * source_size - first_word)))::BIGINT AS taken FROM p"""
+h AS (SELECT doc_id, source, size, md5('23:' || coalesce(doc_id::VARCHAR, 'null') || ':' || digest) AS h FROM d),
+k AS (SELECT *, floor(('0x' || substr(h, 1, 8))::BIGINT * (SELECT 1 + count(*) // 32 FROM documents) / 4294967296::DOUBLE)::BIGINT AS block FROM h),
+b AS (SELECT source, block, sum(size)::BIGINT AS words FROM k GROUP BY 1, 2),
+y AS (SELECT b.*, quota, r, coalesce(sum(words) OVER (PARTITION BY b.source ORDER BY r, md5('23:' || r || ':' || block), block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM b JOIN q ON q.source IS NOT DISTINCT FROM b.source, range(3) AS t(r)),
+z AS (SELECT source, block, list(greatest(0, least(words, quota - start)) ORDER BY r) AS drawn FROM y GROUP BY 1, 2),
+p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source, block ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_word FROM k)
+SELECT p.doc_id, p.size, q.source_size, q.target, list_sum(list_transform(z.drawn, lambda w: greatest(0, least(p.size, w - p.first_word))))::BIGINT AS taken
+FROM p JOIN z ON z.block = p.block AND z.source IS NOT DISTINCT FROM p.source JOIN q ON q.source IS NOT DISTINCT FROM p.source"""
 
 ORACLES = {"op2_minhash": _MINHASH, "op3_repeats": _REPEATS, "op4_divergence": _divergence(), "op8_line_dedup": _LINES, "op10_mixing": _MIXING}

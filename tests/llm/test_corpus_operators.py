@@ -559,22 +559,61 @@ def test_mix(docs, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).columns == empty.columns
 
 
-def test_mix_deals_blocks_to_shards_evenly(docs, monkeypatch):
-    monkeypatch.setattr(mixing, "BLOCK", 50)
+def test_mix_draws_what_the_tree_gives(docs, monkeypatch):
+    """Shards draw disjoint blocks, as many of each source as the tree says; without a tree nothing is taken."""
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 2)
+    monkeypatch.setattr(mixing, "STRETCH", 4)
+    split, tree = [], hypergeometric.tree
+    monkeypatch.setattr(hypergeometric, "tree", lambda *given: split.append(tree(*given)) or split[-1])
     copies = mixing.mix(docs, shards=4).select("row.source", F.explode("copies").alias("c")).select("source", "c.*").collect()
-    shards = collections.defaultdict(set)
+    shards, drawn = collections.defaultdict(set), collections.defaultdict(set)
     for r in copies:
-        shards[(r["source"], r["block"])].add(r["shard"])
-    assert all(len(s) == 1 for s in shards.values()) and {x for s in shards.values() for x in s} == {0, 1, 2, 3}
-    mixed = mixing.mixed_documents(docs)
-    assert mixed.columns == docs.columns
-    assert set(collections.Counter(r["doc_id"] for r in mixed.collect()).values()) <= {1, 2, 3}
+        shards[(r["source"], r["round"], r["block"])].add(r["shard"])
+        drawn[(r["shard"], r["source"])].add((r["round"], r["block"]))
+    assert all(len(s) == 1 for s in shards.values())
+    order = sorted({r["source"] for r in copies if r["source"] is not None}) + [None]
+    assert [[len(drawn[(j, s)]) for s in order] for j in range(4)] == split[0] and sum(map(sum, split[0])) > 40
+    monkeypatch.setattr(hypergeometric, "tree", lambda rng, quotas, n: [[0] * len(quotas)] * n)
+    assert mixing.mix(docs, shards=4).agg(F.sum("taken")).first()[0] == 0
+    monkeypatch.setattr(hypergeometric, "tree", lambda rng, quotas, n: [[q // 2 if j == 0 else 0 for q in quotas] for j in range(n)])
+    half = mixing.mix(docs, shards=4).select(F.sum("taken"), F.sum("size")).first()
+    assert 0 < half[0] < half[1]
+
+
+def test_mix_by_brute_force(docs, monkeypatch):
+    """Repeated rows and rows without doc_id, too."""
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 4)
+    rows = docs.unionByName(docs.limit(30)).unionByName(docs.limit(20).withColumn("doc_id", F.lit(None).cast("long")))
+    given = [(r["doc_id"], r["text"] or "", r["source"]) for r in rows.collect()]
+    digest = lambda x: hashlib.md5(x.encode()).hexdigest()
+    sizes, blocks = collections.Counter(), collections.defaultdict(list)
+    for doc, text, source in given:
+        n = len(WORD.findall(text))
+        sizes[source] += n
+        order = digest(f"23:{'null' if doc is None else doc}:{digest(text)}")
+        blocks[(source, int(int(order[:8], 16) * (1 + len(given) // 4) / 2**32))].append((order, n, doc))
+    want = []
+    for source, target in brute_targets(sizes).items():
+        left, taken = int(target + 0.5), collections.defaultdict(int)
+        for lap in range(3):
+            for _, block in sorted((digest(f"23:{lap}:{b}"), b) for s, b in blocks if s == source):
+                for i, (_, n, _) in enumerate(sorted(blocks[(source, block)], key=lambda x: x[:2])):
+                    got = min(n, left)
+                    taken[(block, i)] += got
+                    left -= got
+        assert left == 0
+        want += [(str(doc), n, taken[(b, i)]) for s, b in blocks if s == source for i, (_, n, doc) in enumerate(sorted(blocks[(s, b)], key=lambda x: x[:2]))]
+    got = [(str(r["doc_id"]), r["size"], r["taken"]) for r in mixing.mix(rows).select("row.doc_id", "size", "taken").collect()]
+    assert sorted(got) == sorted(want)
 
 
 def test_mixed_documents_lie_by_shard_and_place(docs, monkeypatch):
-    monkeypatch.setattr(mixing, "BLOCK", 50)
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 4)
     rows = mixing.mix(docs, shards=4).select("row.doc_id", F.explode("copies").alias("c")).select("doc_id", "c.shard", "c.place").collect()
     want = [r["doc_id"] for r in sorted(rows, key=lambda r: (r["shard"], r["place"]))]
-    got = [r["doc_id"] for r in mixing.mixed_documents(docs, shards=4).collect()]
+    mixed = mixing.mixed_documents(docs, shards=4)
+    assert mixed.columns == docs.columns
+    got = [r["doc_id"] for r in mixed.collect()]
     empty = [i for i, t in TEXTS.items() if not WORD.search(t)]
     assert [i for i in got if i not in empty] == want and sorted(map(str, (i for i in got if i in empty))) == sorted(map(str, empty))
+    assert set(collections.Counter(got).values()) <= {1, 2, 3}

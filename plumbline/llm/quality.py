@@ -138,7 +138,8 @@ def held_out(doc_id) -> F.Column:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> FactorisationMachine:
     """Fits to labelled documents that aren't held out, at most sample of them, the same in every run.
 
-    Rows without doc_id or quality teach nothing. Only the sample's ids, statistics and word buckets come to the driver.
+    Rows without doc_id or quality teach nothing; of rows that share a doc_id, the text of least hash does. Only the
+    sample's ids, statistics and word buckets come to the driver.
     """
     key = F.col("doc_id").cast("long")
     chosen = (
@@ -157,8 +158,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factorisa
                     [part.column(0), part.column(1), *[pa.array([r[i].tobytes() for r in rows], pa.binary()) for i in range(3)]], ["doc_id", "quality", "b", "w", "s"]
                 )
 
-    known = docs.select(key.alias("doc_id"), text_bytes().alias("content")).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "content")
-    rows = sorted(known.mapInArrow(run, "doc_id long, quality int, b binary, w binary, s binary").collect(), key=lambda r: (r["doc_id"], r["s"], r["b"]))[: 2 * sample]
+    known = docs.select(key.alias("doc_id"), text_bytes().alias("content")).join(F.broadcast(chosen), "doc_id")
+    one = known.groupBy("doc_id", "quality").agg(F.min_by("content", F.struct(F.xxhash64("content"), "content")).alias("content"))
+    rows = sorted(one.mapInArrow(run, "doc_id long, quality int, b binary, w binary, s binary").collect(), key=lambda r: r["doc_id"])
     described = [(np.frombuffer(r["b"], np.int32), np.frombuffer(r["w"], np.float32), np.frombuffer(r["s"], np.float64)) for r in rows]
     return fit(described, np.array([r["quality"] for r in rows], np.float64))
 

@@ -160,6 +160,45 @@ def test_near_duplicates_chain_is_followed_through_a_hot_bucket(spark):
     assert got == {i: c for i, (_, c) in brute_components(rows, 4).items()}
 
 
+def test_bands_find_pairs_of_the_threshold():
+    """Of pairs at 0.8 exactly, at least 0.99 share a band, and their sketches are near; of pairs at 0.5 few do."""
+    rng, bands = np.random.default_rng(5), lambda m: m.reshape(neardup.BANDS, neardup.ROWS)
+    met = {}
+    for similar, n, both in ((0.8, 900, 800), (0.5, 900, 600)):
+        found = 0
+        for _ in range(400):
+            pool = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
+            x, y = (bands(neardup.minhash(p)) for p in (pool[:n], np.concatenate([pool[:both], pool[n : 2 * n - both]])))
+            apart = int(np.bitwise_count(neardup.odd_sketch(x.ravel()) ^ neardup.odd_sketch(y.ravel())).sum())
+            found += bool((x == y).all(axis=1).any()) and apart <= neardup.APART
+        met[similar] = found / 400
+    assert met[0.8] >= 0.99 and met[0.5] <= 0.25
+
+
+@pytest.mark.parametrize(("least", "together"), [(4, 8), (1 << 8, 1 << 12)])
+def test_members_of_open_buckets_meet(monkeypatch, least, together, spark):
+    """Groups that overlap in one hot bucket: every link between components is found, over blocks, too."""
+    monkeypatch.setattr(neardup, "LEAST_ROWS", least)
+    monkeypatch.setattr(neardup, "MOST_ROWS", 4 * least)
+    monkeypatch.setattr(neardup, "TOGETHER", together)
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(70)]
+    rows = []
+    for group in range(12):
+        own = base + [f"g{group}x{i}" for i in range(18)]
+        for i in range(6):
+            rows.append((len(rows), " ".join(own + [f"{rng.choice('abc')}{i % 3}"])))
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()}
+    want = {i: c for i, (_, c) in brute_components(rows, 4).items()}
+    assert got == want and 12 <= len(set(want.values())) < len(rows)
+    # All in one bucket, of a component each.
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    own = neardup.sketches(docs, 4).select(F.col("doc_id").alias("id"), "n", "sketch").persist()
+    links = neardup._across(docs, own.select(F.lit(1).cast("long").alias("key"), "id"), own.select("id", F.col("id").alias("component")).limit(40), own, 4, 80)
+    component = {r["id"]: r["component"] for r in connected_components(links).collect()}
+    assert {i: component.get(i, i) for i in want} == want
+
+
 def test_near_duplicates_edges(spark, empty, docs):
     assert neardup.near_duplicates(empty).count() == 0
     text = "a b c d e f g h"
@@ -435,13 +474,44 @@ def test_lines(docs, empty):
     assert linededup.drop_lines(empty, linededup.LineIndex.build(empty), digest=True).count() == 0
 
 
-def test_lines_by_several_groups_of_shards(docs, monkeypatch):
-    want = {r["doc_id"]: tuple(r) for r in linededup.drop_lines(docs, linededup.LineIndex.build(docs, 2), digest=True).collect()}
+@pytest.mark.parametrize("sent", [0, 200])
+def test_lines_of_more_keys_than_can_be_sent(docs, monkeypatch, sent):
+    """None of the frequent keys is sent, or the most frequent ones; the others' lines are joined."""
+    rows = docs.unionByName(docs.limit(40)).unionByName(docs.limit(20).withColumn("doc_id", F.lit(None).cast("long")))
+    told = lambda index: sorted(map(str, linededup.drop_lines(rows, index, digest=True).collect()))
+    texts = lambda index: sorted(map(str, linededup.drop_lines(rows, index).select("doc_id", "text", "n_chars").collect()))
+    want, index = told(linededup.LineIndex.build(rows, 2)), linededup.LineIndex.build(rows, 2)
+    whole = texts(index)
     monkeypatch.setattr(linededup, "SHARD_KEYS", 3)
-    index = linededup.LineIndex.build(docs, 2)
-    assert index.shards > 2
-    monkeypatch.setattr(linededup, "SENT", 200)
-    assert {r["doc_id"]: tuple(r) for r in linededup.drop_lines(docs, index, digest=True).collect()} == want
+    split = linededup.LineIndex.build(rows, 2)
+    assert split.shards > 2 and told(split) == want
+    monkeypatch.setattr(linededup, "SENT", sent)
+    dropper, others = split.sent()
+    assert bool(dropper.parts) == (sent > 0) and others.count() > 10
+    assert told(split) == want and texts(split) == whole
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    """Rows of one document count once, and so do rows without an id."""
+    rows = [(1, f"shared\nten rows {i % 3}") for i in range(10)] + [(2, "shared"), (2, "shared\nboth"), (None, "SHARED "), (None, "shared"), (3, "both"), (4, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda line: low(line.strip(" \t\n\x0b\x0c\r"))
+    for least in (2, 3, 4):
+        held = collections.Counter(k for _, k in {(i, key(x)) for i, t in rows for x in (t or "").split("\n")} if k)
+        kept = [[x for x in (t or "").split("\n") if held[key(x)] < least] for _, t in rows]
+        want = sorted((str(i), len((t or "").split("\n")) - len(k), hashlib.sha256("\n".join(k).encode()).hexdigest()) for (i, t), k in zip(rows, kept, strict=True))
+        got = linededup.drop_lines(docs, linededup.LineIndex.build(docs, least), digest=True).collect()
+        assert sorted((str(r["doc_id"]), r["n_dropped"], r["kept_sha256"]) for r in got) == want
+
+
+def test_index_takes_more_shards_as_it_grows(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "SHARD_KEYS", 4)
+    df = lambda first, last: spark.createDataFrame([(i, "\n".join(f"line {j}" for j in range(i // 2 * 2, i // 2 * 2 + 4))) for i in range(first, last)], "doc_id long, text string")
+    index = linededup.LineIndex.build(df(0, 10), 2)
+    grown, whole = index.insert(df(10, 80)), linededup.LineIndex.build(df(0, 80), 2)
+    keys = lambda x: sorted(k for r in x.filters.collect() for k in np.frombuffer(r["keys"], np.uint64).reshape(-1, 2).tolist())
+    assert grown.shards > 2 * index.shards and grown.filters.count() > index.filters.count() and keys(grown) == keys(whole)
+    assert keys(grown.delete(df(10, 80))) == keys(index)
 
 
 def test_index_is_reversible(spark):

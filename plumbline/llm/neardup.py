@@ -2,14 +2,15 @@
 
 Documents of equal shingle sets form a class first, and only classes are compared. A band's bucket ties each
 member to its least and its greatest member. Where these links leave a bucket in several components, its members
-are compared across them, so a link is lost only if no band has it: such members make up clusters, and a cluster's
-sets are compared in blocks, of which nothing but links comes out. An odd sketch folds the MinHash samples into
-parity bits, of which the differing ones estimate high similarities closely; it drops pairs far below the threshold
-before their sets are compared.
+are compared across them, so a link is lost only if no band has it. Such buckets are cut into blocks, and every two
+blocks meet in a task: there odd sketches, which fold the MinHash samples into parity bits of which the differing ones
+estimate high similarities closely, find the members that may have a partner. Only these bring their sets to a second
+meeting, of which nothing comes out but links that join components, fewer than there are members.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,23 +23,24 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import forget, text_bytes, with_columns, written
 from plumbline.llm.components import connected_components
 
-#: A pair of similarity 0.8 shares no band of 36 with probability 6e-7.
-BANDS, ROWS = 36, 5
+#: A pair of similarity 0.8 shares no band of 50 with probability 1e-4, one of 0.85 with 2e-7; one of 0.5 shares any
+#: with probability 0.18.
+BANDS, ROWS = 50, 8
 SAMPLES = BANDS * ROWS
-#: Bits of an odd sketch, and how many may differ. At similarity 0.8, 55 do on average, with a deviation of 9.
-SKETCH_BITS, APART = 256, 100
+#: Bits of an odd sketch, and how many may differ. At similarity 0.8, 137 do on average, with a deviation of 15.
+SKETCH_BITS, APART = 1024, 215
 #: Ids of 8 bytes up to which they are broadcast.
 SENT_IDS = 1 << 20
 _RNG = np.random.default_rng(20)
-_A = _RNG.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
+_A = _RNG.integers(0, 1 << 31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _RNG.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
 _PLACE = _RNG.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _MEMO = 200_000
 _WORDS: dict[bytes, int] = {}
-#: Shingles hashed at a time; shingles and rows of a block of a cluster on average; pairs and columns of sets compared
-#: at a time.
-CHUNK, BLOCK_SHINGLES, BLOCK_ROWS, PAIRS, COLUMNS = 2048, 1 << 20, 1 << 11, 1 << 14, 1 << 13
+#: Shingles hashed at a time; rows of a block at least and at most, the number of a bucket's blocks in between, and
+#: shingles of a block on average; rows of buckets of one block that a task takes together.
+CHUNK, LEAST_ROWS, MOST_ROWS, BLOCKS, BLOCK_SHINGLES, TOGETHER = 256, 1 << 8, 1 << 13, 16, 1 << 21, 1 << 12
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -69,16 +71,22 @@ def shingle_set(data: bytes, width: int) -> np.ndarray:
 
 
 def minhash(shingles: np.ndarray) -> np.ndarray:
-    """The samples of a set that isn't empty."""
-    least = np.full(SAMPLES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), CHUNK):
-        np.minimum(least, (shingles[at : at + CHUNK, None] * _A + _B).min(axis=0), out=least)
+    """The samples of a set that isn't empty, 32 bits each."""
+    least = np.full(SAMPLES, np.iinfo(np.uint32).max, np.uint32)
+    folded = (shingles >> np.uint64(32)).astype(np.uint32)
+    hashed = np.empty((min(CHUNK, len(folded)), SAMPLES), np.uint32)
+    for at in range(0, len(folded), CHUNK):
+        some = folded[at : at + CHUNK, None]
+        out = hashed[: len(some)]
+        np.multiply(some, _A, out=out)
+        np.add(out, _B, out=out)
+        np.minimum(least, out.min(axis=0), out=least)
     return least
 
 
 def odd_sketch(samples: np.ndarray) -> np.ndarray:
     """SKETCH_BITS parity bits as signed 64-bit words: each sample flips the bit that it hashes to."""
-    bits = np.bincount((_mixed(samples + _PLACE) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    bits = np.bincount((_mixed(samples.astype(np.uint64) + _PLACE) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
@@ -140,64 +148,97 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: i
     return written(shared.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b").distinct(), "links")
 
 
-def block_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links (a, b) across components of a block's rows (id, component, side, sketch, shingles), or between its sides.
+class _Block:
+    """Members of a bucket in a task: ids, components, sides, sizes and sketches of its rows, as arrays.
 
-    Sizes and sketches sift pairs; sets of those left are compared as bits, some columns at a time, a column being
-    a shingle that several rows have.
+    Side 0 is compared with side 1; if there is none, with itself.
     """
-    ids, component, side = (rows[c].to_numpy(np.int64) for c in ("id", "component", "side"))
-    sketch = np.stack(rows["sketch"].to_list()).view(np.uint64)
-    sizes = np.array([len(x) for x in rows["shingles"]], np.int64)
-    found, column, often = np.unique(np.concatenate(rows["shingles"].to_list()), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(ids)), sizes)
-    several = often[column] > 1
-    row, column = row[several], (np.cumsum(often > 1) - 1)[column[several]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    left, right = (np.flatnonzero(side == k) for k in (0, 1)) if side.any() else (np.arange(len(ids)),) * 2
-    out = [(left[:0], right[:0])]
-    for at in range(0, len(left), 64):
-        own = left[at : at + 64]
-        apart = np.zeros((len(own), len(right)), np.int64)
-        for word in range(sketch.shape[1]):
-            apart += np.bitwise_count(sketch[own, None, word] ^ sketch[None, right, word])
-        least, most = np.minimum(sizes[own, None], sizes[None, right]), np.maximum(sizes[own, None], sizes[None, right])
-        near = (apart <= APART) & (component[own, None] != component[None, right]) & (100 * least >= percent * most)
-        if not side.any():
-            near &= own[:, None] < right[None, :]
-        i, j = np.nonzero(near)
-        out.append((own[i], right[j]))
-    i, j = (np.concatenate(x) for x in zip(*out, strict=True))
-    both = np.zeros(len(i), np.int64)
-    for first in range(0, int(column[-1]) + 1 if len(column) and len(i) else 0, COLUMNS):
-        low, high = np.searchsorted(column, (first, first + COLUMNS))
-        bits = np.zeros((len(ids), COLUMNS), np.uint8)
-        bits[row[low:high], column[low:high] - first] = 1
-        bits = np.packbits(bits, axis=1).view(np.uint64)
-        for at in range(0, len(i), PAIRS):
-            both[at : at + PAIRS] += np.bitwise_count(bits[i[at : at + PAIRS]] & bits[j[at : at + PAIRS]]).sum(axis=1, dtype=np.int64)
-    linked = 100 * both >= percent * (sizes[i] + sizes[j] - both)
-    return pd.DataFrame({"a": np.minimum(ids[i], ids[j])[linked], "b": np.maximum(ids[i], ids[j])[linked]})
-
-
-def _across(members: DataFrame, component: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+
+    def __init__(self, rows: pd.DataFrame, percent: int):
+        self.ids, self.root, side, self.sizes = (rows[c].to_numpy(np.int64) for c in ("id", "component", "side", "n"))
+        self.sketch, self.percent = np.stack(rows["sketch"].to_list()).view(np.uint64), percent
+        self.two = bool(side.any())
+        self.left, self.right = (np.flatnonzero(side == k) for k in (0, 1)) if self.two else (np.arange(len(side)),) * 2
+
+    def near(self, i: int) -> np.ndarray:
+        """The rows that may be linked with row i by their sizes and sketches, and aren't in its component."""
+        right = self.right if self.two else self.right[i + 1 :]
+        right = right[self.root[right] != self.root[i]]
+        n = self.sizes[right]
+        right = right[100 * np.minimum(n, self.sizes[i]) >= self.percent * np.maximum(n, self.sizes[i])]
+        return right[np.bitwise_count(self.sketch[right] ^ self.sketch[i]).sum(axis=1, dtype=np.int64) <= APART]
+
+    def join(self, i: int, j: int) -> None:
+        self.root[self.root == self.root[j]] = self.root[i]
+
+
+def _buckets(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """The rows of each bucket."""
+    rows = rows.sort_values("key", kind="stable")
+    key = rows["key"].to_numpy()
+    cuts = np.append(np.flatnonzero(np.diff(key, prepend=~key[:1])), len(key))
+    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+        yield rows.iloc[low:high]
+
+
+def possible_members(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Of the buckets' rows (key, id, component, side, n, sketch, ..) those that have a possible partner."""
+    out = [rows.iloc[:0]]
+    for own in _buckets(rows):
+        block, held = _Block(own, percent), np.zeros(len(own), bool)
+        for i in block.left.tolist():
+            near = block.near(i)
+            held[near] = True
+            held[i] |= len(near) > 0
+        out.append(own[held])
+    return pd.concat(out)
+
+
+def block_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links (a, b) of the buckets' rows, which have their shingles, too; each joins what weren't joined before."""
+    out: list[tuple[int, int]] = []
+    for own in _buckets(rows):
+        block, sets = _Block(own, percent), own["shingles"].to_list()
+        found, column = np.unique(np.concatenate(sets), return_inverse=True)
+        starts, present = np.cumsum([0, *map(len, sets)]), np.zeros(len(found), bool)
+        columns = [column[a:b] for a, b in itertools.pairwise(starts)]
+        for i in block.left.tolist():
+            near = block.near(i)
+            if not len(near):
+                continue
+            present[columns[i]] = True
+            both = np.add.reduceat(present[np.concatenate([columns[j] for j in near])], np.append(0, np.cumsum(block.sizes[near])[:-1]), dtype=np.int64)
+            present[columns[i]] = False
+            for j in near[100 * both >= percent * (block.sizes[i] + block.sizes[near] - both)].tolist():
+                if block.root[i] != block.root[j]:
+                    block.join(i, j)
+                    out.append((min(block.ids[i], block.ids[j]), max(block.ids[i], block.ids[j])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+
+def _across(docs: DataFrame, members: DataFrame, component: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """Links between components that share a bucket, of members (key, id) of the buckets, as a table."""
     placed = members.join(component, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("id").alias("low")).where("x < y").select("key", "low")
-    keys = written(keys, "open-buckets")
-    left = written(placed.join(keys, "key").select("id", "component", "low").distinct(), "open-members")
-    cluster = connected_components(left.select(F.col("id").alias("a"), F.col("low").alias("b")))
-    whole = left.select("id", "component").distinct().join(cluster.select("id", F.col("component").alias("cluster")), "id")
-    whole = written(whole.join(classes.select("id", "sketch", "n"), "id"), "clusters")
-    blocks = whole.groupBy("cluster").agg((1 + F.floor(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count(F.lit(1)) / BLOCK_ROWS))).cast("int").alias("blocks"))
-    dealt = whole.drop("n").join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # Each block meets every other one of its cluster, and itself.
+    marks = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"mark{i}") for i in (0, 1)]
+    open_ = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("rows"), *marks).where("x < y")
+    # Buckets of the same members are compared once.
+    open_ = written(open_.groupBy("rows", "mark0", "mark1").agg(F.min("key").alias("key")).select("key", "rows"), "open-buckets")
+    whole = written(placed.join(open_, "key").join(classes.select("id", "n", "sketch"), "id"), "open-members")
+    many = F.greatest(F.ceil(F.col("rows") / F.greatest(F.lit(LEAST_ROWS), F.least(F.lit(MOST_ROWS), F.col("rows") / BLOCKS))), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    blocks = written(whole.groupBy("key", "rows").agg(many.cast("int").alias("blocks")).drop("rows"), "open-blocks")
+    together = 1 + whole.count() // TOGETHER
+    dealt = whole.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # Each block meets every other one of its bucket, and itself. Buckets of one block are dealt to tasks by hash.
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cluster", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).cast("long").alias("side"), "id", "component", "sketch")
-    full = dealt.join(sets.withColumnRenamed("id", "of"), F.col("id") == F.col("of")).drop("of")
-    links = written(full.groupBy("cluster", "x", "y").applyInPandas(lambda rows: block_links(rows, percent), "a long, b long"), "links")
-    for table in (keys, left, whole):
+    dealt = dealt.select(
+        F.when(F.col("blocks") > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(together))).alias("task"), F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
+        "key", "id", "component", (F.col("block") > F.col("other")).cast("long").alias("side"), "n", "sketch",
+    )
+    schema = dealt.schema
+    possible = written(dealt.groupBy("task", "x", "y").applyInPandas(lambda rows: possible_members(rows, percent), schema), "possible-members")
+    sets = written(_sets(docs, written(possible.select("id").distinct(), "possible-ids"), width), "shingle-sets")
+    links = written(possible.join(sets, "id").groupBy("task", "x", "y").applyInPandas(lambda rows: block_links(rows, percent), "a long, b long"), "links")
+    for table in (open_, whole, blocks, possible, sets):
         forget(table)
     return links
 
@@ -205,7 +246,7 @@ def _across(members: DataFrame, component: DataFrame, classes: DataFrame, sets:
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs.
 
-    Links join documents whose shingle sets have a similarity of percent or more; component_id is the least
+    Links join documents whose shingle sets have a similarity of percent or more and share a band; component_id is the least
     doc_id reached by links, kept whether that is the document itself. Null and empty texts and texts without
     words have no shingles and no links, whatever others there are. Rows that share a doc_id are one document,
     linked if one of its texts is; rows without doc_id get no component and are kept.
@@ -228,7 +269,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     several = held.distinct().groupBy("doc_id").count().where("count > 1").select("doc_id")
     own_links = held.join(several, "doc_id").join(classes.select("a", "b", "id"), ["a", "b"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     component = connected_components(links.unionByName(own_links))
-    more = _across(members.select("key", "id"), component, classes, sets, percent)
+    more = _across(docs, members.select("key", "id"), component, classes, width, percent)
     if not more.isEmpty():
         component = connected_components(component.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     for table in (ends, members, first, ids, sets):

@@ -1,17 +1,19 @@
 """Removal of repeated byte strings by prefix-free parsing, over the whole corpus and exactly.
 
-A rolling hash of KEY bytes triggers a phrase border: of each string of LENGTH bytes the KEY bytes of least hash
-are its trigger. Successive strings with the same trigger make up a phrase; phrases overlap by LENGTH - 1 bytes, so
-that each string starts in one phrase only, and equal strings have equal triggers at the same distance. That is a
-parse of every document over a dictionary of phrases:
+A rolling hash of KEY bytes that leaves 0 when divided by EVERY triggers a phrase border. A string of LENGTH bytes
+belongs to the first trigger in it, or, where none fires, to its KEY bytes of least hash. So equal strings have equal
+triggers at the same distance; of a trigger, a phrase suffix lies before it, and the parse's suffix from the trigger on
+after it. A phrase here is all strings of one trigger; phrases overlap by LENGTH - 1 bytes, each string starts in one.
 
 1. Triggers found once are dropped: no string with such a trigger has a copy.
-2. In the parse, a phrase that occurs earlier as a whole is covered as a whole.
-3. Of the dictionary's phrases that share a trigger, the suffixes are sorted by their first LENGTH bytes, a suffix
-   array cut at that depth. Equal neighbours are strings that occur earlier in another phrase.
-
-A suffix array of everything would hold a row per byte of the corpus; this holds one per phrase, and suffixes only
-of phrases whose triggers occur in different surroundings. Rows travel as packed arrays. Membership in a set of
+2. Of the parse, a phrase that occurs earlier as a whole is covered as a whole. The others make up the dictionary.
+3. Of phrases that share a trigger, the dictionary's are ranked by their bytes read back from the trigger, and the
+   parse's suffixes by their bytes from the trigger on, cut at LENGTH, each with the length that neighbours share. The
+   two orders combined give the order of all strings: those that start s bytes before the trigger are equal if
+   neighbours in the first order share s bytes, and in the second LENGTH - s. A string that isn't the earliest of
+   its equals is covered.
+
+So rows are phrases, never bytes, but for triggers of very many phrases. Rows travel as packed arrays. Membership in a set of
 triggers or phrases is sent as Bloom filters of bounded size; what they let through too much is settled exactly.
 """
 
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import forget, text_bytes, with_columns, written
 
-LENGTH, KEY = 100, 32
+LENGTH, KEY, EVERY = 100, 32, 32
 REACH = LENGTH - KEY + 1  # places of a trigger in a string
 #: Bytes hashed at a time, and the longest stretch of one text; a longer text is cut, with LENGTH - 1 bytes shared.
 BUFFER, STRETCH = 1 << 19, 1 << 20
@@ -39,6 +41,8 @@ PACK, PACK_BYTES = 1 << 20, 1 << 16
 HOT = 4096
 #: Bytes that a Bloom filter may take; above, the filter lets more through than it need.
 BLOOM = 32 << 20
+#: Bytes of texts of a part, as long as there are no more than PARTS parts; phrases that are ranked at a time.
+PART_BYTES, PARTS, RANKED = 32 << 20, 1 << 16, 1 << 15
 #: Where a row without doc_id stands: after all others.
 LAST = (1 << 63) - 1
 #: A document: its id, and a hash of its text, since ids may be missing or shared.
@@ -75,7 +79,8 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 class Parse:
     """The phrases of a buffer of texts: arrays with one entry for each, in order.
 
-    trigger: hash of the trigger; whole: hash of the phrase, of another kind; of, start, end: where it is; doc: the id alone.
+    trigger: hash of the trigger; whole: hash of the phrase, of another kind; of, start, end: where it is; doc: the id
+    alone; before: bytes of the phrase before its trigger.
     """
 
     def __init__(self, data: np.ndarray, docs: np.ndarray, bases: np.ndarray, sizes: np.ndarray, wholes: bool = True):
@@ -96,7 +101,9 @@ class Parse:
             least = np.minimum(least[: len(least) - (REACH - width)], least[REACH - width :])
         text = np.repeat(np.arange(len(sizes)), sizes)[: len(least)]
         starts = np.flatnonzero(np.arange(len(least)) + LENGTH <= ends[text])  # strings inside one text
-        at = (least[starts] & np.uint64((1 << 21) - 1)).astype(np.int64)
+        fired = np.where(grams & np.uint64(EVERY - 1), np.int64(1 << 40), place.astype(np.int64))
+        at = np.minimum.accumulate(fired[::-1])[::-1][starts]
+        at = np.where(at < starts + REACH, at, (least[starts] & np.uint64((1 << 21) - 1)).astype(np.int64))
         of = text[starts]
         first = np.ones(len(starts), bool)
         first[1:] = (at[1:] != at[:-1]) | (of[1:] != of[:-1])
@@ -104,14 +111,15 @@ class Parse:
         self.low = starts[runs]
         self.high = starts[np.append(runs[1:], len(starts)) - 1] + LENGTH if len(runs) else self.low
         trigger_at, of = at[runs], of[runs]
-        # The least hashes are small numbers; mixed again, they are dealt evenly.
+        self.before = trigger_at - self.low
+        # Triggers' hashes are multiples or small numbers; mixed again, they are dealt evenly.
         self.trigger = _mixed(grams[trigger_at] + np.uint64(1))
         offset = bases[of] - (ends - sizes)[of]
         self.of, self.start, self.end = docs[of], self.low + offset, self.high + offset
         self.doc = self.of["id"]
         if wholes:
             np.cumsum(data * down2[:n], out=summed[1:])
-            shape = (self.high - self.low).astype(np.uint64) << np.uint64(32) | (trigger_at - self.low).astype(np.uint64)
+            shape = (self.high - self.low).astype(np.uint64) << np.uint64(32) | self.before.astype(np.uint64)
             self.whole = _mixed((summed[self.high] - summed[self.low]) * up2[self.low] + _mixed(shape))
 
 
@@ -328,18 +336,18 @@ class _Suffixes:
         cells = np.zeros((len(kept), LENGTH + REACH - 1), np.uint8)
         for i, (low, n) in enumerate(zip(parse.low[kept].tolist(), width.tolist(), strict=True)):
             cells[i, :n] = parse.data[low : low + n]
-        return [parse.trigger[kept], parse.of[kept], parse.start[kept].astype(np.int32), width.astype(np.int32), hot[kept], cells]
+        return [parse.trigger[kept], parse.of[kept], parse.start[kept].astype(np.int32), width.astype(np.int32), parse.before[kept].astype(np.int32), hot[kept], cells]
 
     def send(self, columns: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
-        hot = columns[4]
-        plain = [c[~hot] for c in columns[:4]] + [columns[5][~hot]]
+        hot, cells = columns[5:]
+        plain = [c[~hot] for c in [*columns[:5], cells]]
         yield from _dealt(plain[0], self.bits, plain)
         own = np.flatnonzero(hot)
         for at in range(0, len(own), 4096):
             rows = own[at : at + 4096]
             row, shift = _strings_of(columns[3][rows])
-            cells = columns[5][rows]
-            digests = b"".join(xxhash.xxh3_128_digest(cells[i, j : j + LENGTH].tobytes()) for i, j in zip(row.tolist(), shift.tolist(), strict=True))
+            own_cells = cells[rows]
+            digests = b"".join(xxhash.xxh3_128_digest(own_cells[i, j : j + LENGTH].tobytes()) for i, j in zip(row.tolist(), shift.tolist(), strict=True))
             a, b = np.frombuffer(digests, np.uint64).reshape(-1, 2).T
             start = (columns[2][rows][row] + shift).astype(np.int32)
             for part, packed in _dealt(a, self.bits, [a, b, columns[1][rows][row], start, start + np.int32(LENGTH)]):
@@ -353,41 +361,64 @@ def _strings_of(width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
+def _ranked(group: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each row, bytes shared with the row before) in the order of groups, and in a group of cells' bytes."""
+    named = np.empty((len(cells), cells.shape[1] + 4), np.uint8)
+    named[:, :4] = group.astype(">u4").view(np.uint8).reshape(-1, 4)
+    named[:, 4:] = cells
+    order = np.argsort(named.view(f"S{named.shape[1]}").ravel(), kind="stable")
+    cells, group = cells[order], group[order]
+    shared = np.full(len(order), -1, np.int64)
+    differ = cells[1:] != cells[:-1]
+    shared[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), cells.shape[1])
+    shared[1:][group[1:] != group[:-1]] = -1
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return place, shared
+
+
 def _equal_strings(columns: list[np.ndarray]) -> list[np.ndarray]:
-    """(doc, start, end) that are covered, of (trigger, doc, start, width, cells): sorts suffixes of the cells."""
-    trigger, doc, start, width, cells = columns
-    order = np.lexsort((start, doc["text"], doc["id"], trigger))
-    trigger, doc, start, width, cells = (c[order] for c in (trigger, doc, start, width, cells))
+    """(doc, start, end) that are covered, of phrases (trigger, doc, start, width, before, cells).
+
+    Phrases of a trigger are ranked twice, by their bytes back from the trigger and by those from it on; a string's class is
+    its classes in both orders.
+    """
+    trigger, doc, start, width, before, cells = columns
+    order = np.lexsort((start + before, doc["text"], doc["id"], trigger))
+    trigger, doc, start, width, before, cells = (c[order] for c in (trigger, doc, start, width, before, cells))
     cuts = np.append(np.flatnonzero(np.diff(trigger, prepend=~trigger[:1])), len(trigger))
+    group = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
     out: list[list[np.ndarray]] = [[], [], []]
     at = 0
     while at < len(cuts) - 1:
         last = at + 1
-        while last < len(cuts) - 1 and cuts[last + 1] - cuts[at] <= 1024:
+        while last < len(cuts) - 1 and cuts[last + 1] - cuts[at] <= RANKED:
             last += 1
         own = slice(cuts[at], cuts[last])
         at = last
         if own.stop - own.start < 2:
             continue
-        row, shift = _strings_of(width[own])
-        strings = np.lib.stride_tricks.sliding_window_view(cells[own], LENGTH, axis=1)[row, shift]
-        row += own.start
-        strings = np.ascontiguousarray(strings).view(f"S{LENGTH}").ravel()
-        where = start[row] + shift
-        suffix = np.argsort(strings, kind="stable")  # neighbours in order of place, too, since rows are
-        strings = strings[suffix]
-        same = np.zeros(len(suffix), bool)
-        same[1:] = strings[1:] == strings[:-1]
-        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(suffix))))
-        d, w = doc[row][suffix], where[suffix]
-        # Rows of a trigger are in order of doc and start, but suffixes of one document's phrases may not be.
-        first_d, first_w = d.copy(), w.copy()
-        groups = np.flatnonzero(~same)
-        least = np.lexsort((w, d["text"], d["id"], head))
-        first_d[groups], first_w[groups] = d[least[np.searchsorted(head[least], groups)]], w[least[np.searchsorted(head[least], groups)]]
-        covered = (d != first_d[head]) | (w != first_w[head])
-        for held, x in zip(out, _joined(d[covered], w[covered], w[covered] + LENGTH), strict=True):
-            held.append(x)
+        d, trigger_at, b = doc[own], start[own].astype(np.int64) + before[own], before[own].astype(np.int64)
+        # Bytes back from the trigger, and from it on; what a phrase hasn't is 0, and no string of it needs it.
+        padded = np.pad(cells[own], ((0, 0), (REACH - 1, LENGTH)))
+        row = np.arange(len(b))[:, None]
+        middle = (b + REACH - 1)[:, None]
+        back = padded[row, middle - 1 - np.arange(REACH - 1)]
+        phrase, shared_back = _ranked(group[own], back)
+        suffix, shared_on = _ranked(group[own], padded[row, middle + np.arange(LENGTH)])
+        for s in range(REACH):
+            there = np.flatnonzero((s <= b) & (s >= LENGTH + b - width[own]))
+            if len(there) < 2:
+                continue
+            key = np.cumsum(shared_back < s)[phrase[there]] << 32 | np.cumsum(shared_on < LENGTH - s)[suffix[there]]
+            _, first, of = np.unique(key, return_index=True, return_inverse=True)
+            head = there[first][of]  # rows are in order of where they are
+            gone = there[(d[there] != d[head]) | (trigger_at[there] != trigger_at[head])]
+            for held, x in zip(out, (d[gone], trigger_at[gone] - s, trigger_at[gone] - s + LENGTH), strict=True):
+                held.append(x)
+        # One range for strings that meet, before more are found.
+        for held, x in zip(out, _joined(*[np.concatenate(h) if h else np.zeros(0, k) for h, k in zip(out, (DOC, np.int64, np.int64), strict=True)]), strict=True):
+            held[:] = [x]
     return [np.concatenate(h) if h else np.zeros(0, k) for h, k in zip(out, (DOC, np.int32, np.int32), strict=True)]
 
 
@@ -410,7 +441,7 @@ def _named(doc: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _per_part(df: DataFrame, schema: str, fn: Callable) -> DataFrame:
-    """Each part's packed rows as one group; parts are many, and their number grows with the shuffle's."""
+    """Each part's packed rows as one group; their number grows with the texts' bytes."""
     return df.groupBy("part").applyInPandas(fn, schema)
 
 
@@ -423,7 +454,9 @@ def _bloom(df: DataFrame, bits: int, hashed: Callable) -> Bloom:
 def covered_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc, text, start, end), text the hash of the text: ranges of bytes that strings of LENGTH bytes with an earlier copy cover; they may overlap."""
     spark = docs.sparkSession
-    bits = max(6, int(np.ceil(np.log2(max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))))))
+    size = docs.select(F.sum(F.length(text_bytes()))).first()[0] or 0
+    parts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")), min(PARTS, size // PART_BYTES))
+    bits = int(np.ceil(np.log2(parts)))
     most = max(64, BLOOM >> bits)
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), text_bytes().alias("content"))
     sent = spark.sparkContext.broadcast
@@ -475,7 +508,7 @@ def covered_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
             own, later = _first_and_later(_unpacked(rows["packed"], _PHRASE))
             doc, start, end = _joined(*[c[later] for c in own[2:]])
             return pd.DataFrame({**_named(doc), "start": start, "end": end})
-        types = [np.uint64, DOC, np.int32, np.int32, np.dtype((np.uint8, (LENGTH + REACH - 1,)))]
+        types = [np.uint64, DOC, np.int32, np.int32, np.int32, np.dtype((np.uint8, (LENGTH + REACH - 1,)))]
         doc, start, end = _equal_strings(_unpacked(rows["packed"], types))
         return pd.DataFrame({**_named(doc), "start": start, "end": end})
 

@@ -169,7 +169,7 @@ def test_bands_find_pairs_of_the_threshold():
         for _ in range(400):
             pool = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
             x, y = (bands(neardup.minhash(p)) for p in (pool[:n], np.concatenate([pool[:both], pool[n : 2 * n - both]])))
-            apart = int(np.bitwise_count(neardup.odd_sketch(x.ravel()) ^ neardup.odd_sketch(y.ravel())).sum())
+            apart = int(np.bitwise_count((neardup.odd_sketch(x.ravel()) ^ neardup.odd_sketch(y.ravel())).view(np.uint64)).sum())
             found += bool((x == y).all(axis=1).any()) and apart <= neardup.APART
         met[similar] = found / 400
     assert met[0.8] >= 0.99 and met[0.5] <= 0.25

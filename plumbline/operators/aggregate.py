@@ -46,16 +46,6 @@ def failed_source_counts(diagnostics: DataFrame, keys: tuple[str, ...] = ()) ->
     return diagnostics.select(*keys, F.explode("failed_sources").alias("source")).groupBy(*keys, "source").agg(F.count(F.lit(1)).alias("n"))
 
 
-def nearest_rank(value: Column, percent: float) -> Column:
-    """The value at the rounded index of the sorted values, half to even; 0 where there is none.
-
-    A group holds all its values in one array: for small groups. Tables go through counted_ranks and rank_of.
-    """
-    values = F.array_sort(F.collect_list(value))
-    at = F.bround(F.lit(percent / 100) * (F.size(values) - 1), 0).cast("int")
-    return F.when(F.size(values) == 0, F.lit(0).cast("double")).otherwise(F.get(values, F.least(at, F.size(values) - 1)).cast("double"))
-
-
 def counted_ranks(counted: DataFrame, keys: tuple[str, ...], value: str, n: str = "n") -> DataFrame:
     """counted (keys, value, n, ..) with upto and total: how many values of a group are no greater, and how many there are.
 
@@ -67,11 +57,17 @@ def counted_ranks(counted: DataFrame, keys: tuple[str, ...], value: str, n: str
 
 
 def rank_of(value: str, percent: float) -> Column:
-    """nearest_rank of (value, upto, total) as an aggregate."""
+    """The value at the rounded index of the sorted values, half to even, of (value, upto, total); 0 where there is none."""
     at = F.bround(F.lit(percent / 100) * (F.col("total") - 1), 0)
     return F.coalesce(F.min(F.when(F.col("upto") > at, F.col(value))).cast("double"), F.lit(0).cast("double"))
 
 
+def nearest_ranks(rows: DataFrame, value: str, percents: tuple[float, ...] = (50, 95), keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, p50, p95, ..) of a column, by counts of its distinct values."""
+    counted = rows.groupBy(*keys, value).agg(F.count(value).alias("n"))
+    return counted_ranks(counted, keys, value).groupBy(*keys).agg(*[rank_of(value, p).alias(f"p{p:g}") for p in percents])
+
+
 def median_latency(diagnostics: DataFrame) -> DataFrame:
     return diagnostics.where("elapsed_ms <> 0").agg(F.median("elapsed_ms").alias("median_ms"))
 
@@ -142,7 +138,8 @@ def bootstrap(values: DataFrame, keys: tuple[str, ...] = ("metric", "k"), rounds
     Each value gets its weight in every round from a hash of sample and round, so reruns agree and rounds are one
     pre-aggregated pass; rows aren't sent rounds times, only sums are.
     """
-    u = (F.pmod(F.xxhash64(F.lit(seed), "sample_id", "round", *keys), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    name = F.concat_ws(":", F.lit(str(seed)), F.col("sample_id").cast("string"), "round", *keys)
+    u = (F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("long") + 0.5) / float(1 << 32)
     cuts, p, total = [], 0.36787944117144233, 0.0
     for i in range(6):
         total += p

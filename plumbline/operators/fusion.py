@@ -36,12 +36,12 @@ def filter_routes(route_hits: DataFrame, top_k: Column, threshold: Column, keys:
     """Hits that reach the threshold, then the first top_k of each route, in the route's order; adds kept_rank."""
     kept = route_hits.where(F.col("score") >= threshold)
     order = Window.partitionBy(*keys, "source").orderBy("route_rank")
-    return kept.withColumn("kept_rank", F.row_number().over(order) - 1).where(F.col("kept_rank") < top_k)
+    return kept.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= top_k).withColumn("kept_rank", F.col("nth") - 1).drop("nth")
 
 
 def _ranked(fused: DataFrame, keys: Sequence[str], order: list[Column], top_k: int) -> DataFrame:
-    ranked = fused.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).where(F.col("rank") < top_k)
-    return ranked.select(*keys, "chunk_id", "doc_id", "dataset_id", "rank", "score", "sources")
+    first = fused.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("nth") <= top_k)
+    return first.select(*keys, "chunk_id", "doc_id", "dataset_id", (F.col("nth") - 1).alias("rank"), "score", "sources")
 
 
 def rrf(kept: DataFrame, top_k: int = 10, rrf_k: int = RRF_K, keys: Sequence[str] = ("sample_id",)) -> DataFrame:

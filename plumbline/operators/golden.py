@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -48,9 +49,28 @@ def manifest_rows(manifest: DataFrame, collection: DataFrame, limit: int | None
     return rows.orderBy("doc_id").limit(limit) if limit else rows
 
 
+#: Values that a task numbers on average, and values drawn to cut the others into ranges; they decide the balance only.
+NUMBERED, CUTS = 1 << 16, 1 << 14
+
+
 def number_passages(passages: DataFrame, base: int, order: str = "source_id") -> DataFrame:
-    """Passages with doc_id = base + ordinal, and the manifest's status."""
-    return passages.withColumn("doc_id", F.row_number().over(Window.orderBy(order)) - 1 + F.lit(base)).withColumn("status", F.lit("success"))
+    """Passages with doc_id = base + ordinal, and the manifest's status.
+
+    The order is cut into ranges at values drawn by hash; ranges are counted and numbered on their own.
+    """
+    ranges = 1 + passages.count() // NUMBERED
+    drawn = sorted(r[0] for r in passages.select(order).where(F.col(order).isNotNull()).orderBy(F.xxhash64(order)).limit(min(CUTS, 16 * ranges)).collect()) if ranges > 1 else []
+    cuts = sorted({drawn[i * len(drawn) // ranges] for i in range(1, ranges)}) if drawn else []
+    part = F.lit(0)
+    if cuts:
+        kind = passages.schema[order].dataType
+        part = F.when(F.col(order).isNull(), F.lit(0)).otherwise(F.size(F.filter(F.array(*[F.lit(c).cast(kind) for c in cuts]), lambda c: c <= F.col(order))))
+    ranged = passages.withColumn("part", part)
+    counts = ranged.groupBy("part").count()  # a row for each range
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    return ranged.join(F.broadcast(offsets), "part").withColumn("doc_id", place + F.col("offset") + F.lit(base)).withColumn("status", F.lit("success")).drop("part", "offset")
 
 
 def convert_judgments(judged: DataFrame, queries: DataFrame, manifest: DataFrame, name: str, graded: bool = False) -> DataFrame:
@@ -104,7 +124,10 @@ def eligible_chunks(chunks: DataFrame, dataset_ids: list[int], least_chars: int
 
 
 def allot_types(chunks: DataFrame, quotas: dict[str, int], key: str = "chunk_id") -> DataFrame:
-    """chunks with the question type that each is to serve, types one after the other in the order of MIX."""
+    """chunks with the question type that each is to serve, types one after the other in the order of MIX.
+
+    Only the first chunks, as many as there are questions, are numbered.
+    """
     place, kind, so_far = F.row_number().over(Window.orderBy(key)), F.lit(None).cast("string"), 0
     ends = []
     for name in (t for t in MIX if t != "cross_doc"):
@@ -112,7 +135,7 @@ def allot_types(chunks: DataFrame, quotas: dict[str, int], key: str = "chunk_id"
         ends.append((name, so_far))
     for name, end in reversed(ends):
         kind = F.when(F.col("place") <= end, name).otherwise(kind)
-    return chunks.withColumn("place", place).withColumn("type", kind).where("type is not null").drop("place")
+    return chunks.orderBy(key).limit(so_far).withColumn("place", place).withColumn("type", kind).drop("place")
 
 
 def generated_samples(answers: DataFrame) -> DataFrame:
@@ -286,19 +309,54 @@ def render(fmt: str, markdown: str, title: str = "") -> tuple[bytes, str]:
     return f"<!DOCTYPE html>\n<html><head><meta charset=\"utf-8\"><title>{tell(title)}</title></head>\n<body>\n{chr(10).join(said)}\n</body></html>\n".encode(), ".html"
 
 
-def applied(rows: DataFrame, function: Callable[[str], str | None], column: str, to: str) -> DataFrame:
-    """rows with what an injected function (a model, an encoder, a parser) makes of a column; a failure gives null."""
+def applied(rows: DataFrame, function: Callable, column: str, to: str, batch: int = 1, retries: int = 3, backoff: float = 3.0, longest: float = 30.0) -> DataFrame:
+    """rows with what an injected function (a model, an encoder, a parser) makes of a column, as text.
+
+    With batch over 1 the function takes a list of values and returns as many. A call that raises, or returns too few,
+    is tried again after backoff seconds, twice as many each time and longest at most; after retries calls it gives null.
+    """
     names = rows.columns
     schema = T.StructType([*rows.schema.fields, T.StructField(to, T.StringType())])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def safe(x):
+    def called(values: list) -> list:
+        for attempt in range(retries):
             try:
-                return function(x)
-            except Exception:  # noqa: BLE001 - a failed call is a failed row, told as null
-                return None
+                made = list(function(values)) if batch > 1 else [function(values[0])]
+                if len(made) == len(values):
+                    return made
+            except Exception:  # noqa: BLE001 - a failed call is tried again, then told as null
+                pass
+            if attempt + 1 < retries:
+                time.sleep(min(longest, backoff * 2**attempt))
+        return [None] * len(values)
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame[names].assign(**{to: [safe(x) for x in frame[column]]})
+            values = frame[column].tolist()
+            made = [x for at in range(0, len(values), batch) for x in called(values[at : at + batch])]
+            yield frame[names].assign(**{to: made})
 
     return rows.mapInPandas(run, schema)
+
+
+#: What a generator and a reviewer are asked, and how they are to answer.
+ASK = "Write one question of the type {type} that these passages answer, and the answer, as JSON with answerable, query, answer and used_chunk_ids.\n{passages}"
+REVIEW = "Do the passages answer the question, and does the answer agree with them? Reply as JSON with answerable and consistent.\nQuestion: {query}\nAnswer: {answer}\n{passages}"
+
+
+def question_groups(chunks: DataFrame, quotas: dict[str, int], seed: int = 0) -> DataFrame:
+    """(sample_id, type, dataset_id, chunk_ids, passages): what each question is to be written about.
+
+    Chunks are picked in turn from every dataset; questions across passages get successive pairs of a document.
+    """
+    single = sum(n for t, n in quotas.items() if t != "cross_doc")
+    told = lambda: F.array_join(F.transform("members", lambda m: F.concat(F.lit("["), m["chunk_id"], F.lit("] "), m["content"])), "\n")
+    member = F.struct("chunk_index", "chunk_id", "content")
+    picked = allot_types(stratified_pick(chunks, single, seed), quotas).select("type", "dataset_id", F.array(member).alias("members"))
+    pairs = group_adjacent(chunks.select("doc_id", "chunk_index").distinct(), 2)
+    whole = pairs.withColumn("chunk_index", F.explode("members")).drop("members").join(chunks, ["doc_id", "chunk_index"]).groupBy("doc_id", "group_start").agg(F.min("dataset_id").alias("dataset_id"), F.array_sort(F.collect_list(member)).alias("members"))
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), "doc_id", "group_start").cast("binary"))
+    across = whole.orderBy(order, "doc_id", "group_start").limit(quotas.get("cross_doc", 0)).select(F.lit("cross_doc").alias("type"), "dataset_id", "members")
+    both = picked.unionByName(across)
+    named = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "type", F.array_join("members.chunk_id", ",")).cast("binary")), 1, 12)
+    return both.select(F.concat(F.lit("gen-"), named).alias("sample_id"), "type", "dataset_id", F.col("members.chunk_id").alias("chunk_ids"), told().alias("passages"))

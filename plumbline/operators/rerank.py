@@ -37,7 +37,8 @@ def applied_rate(diagnostics: DataFrame) -> DataFrame:
 def degraded(hits: DataFrame, contents: DataFrame, top_n: int) -> DataFrame:
     """What is passed on when the reranker fails: hits whose content is there, in their order, the first top_n."""
     held = hits.join(contents.where(F.col("content").isNotNull()).select("chunk_id").distinct(), "chunk_id", "left_semi")
-    return held.withColumn("rank", F.row_number().over(Window.partitionBy("sample_id").orderBy("rank")) - 1).where(F.col("rank") < top_n)
+    first = held.withColumn("nth", F.row_number().over(Window.partitionBy("sample_id").orderBy("rank"))).where(F.col("nth") <= top_n)
+    return first.withColumn("rank", F.col("nth") - 1).drop("nth")
 
 
 def judged(scores: DataFrame, needs_answer: Sequence[str] = ("context_recall", "answer_correctness")) -> DataFrame:

@@ -1,19 +1,26 @@
 """Retrieval routes over DataFrames: dense and sparse similarity, BM25; each yields route hits.
 
-Queries are a bounded set (a golden set), the corpus may be of any size: the query side is what is broadcast, and
-only under a checked number of rows.
+Queries are a bounded set (a golden set), the corpus may be of any size: the query side is what is sent to the
+executors, under a checked size and in blocks beyond it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from plumbline.functions.text import search_tokens
+from plumbline.functions.text import search_tokens, tokens
 
-#: Rows of queries up to which they are sent to every executor.
-BROADCAST_QUERIES = 50_000
-#: Fixed values of the BM25 encoder: term saturation, length weight, fixed mean lengths of coarse and fine tokens.
+#: Rows of queries up to which they are broadcast; bytes of query vectors that are sent at a time; scores of a step.
+BROADCAST_QUERIES, SENT_VECTORS, STEP = 50_000, 64 << 20, 4 << 20
+#: Fixed values of the BM25 encoder: term saturation, length weight, fixed mean lengths of coarse and fine tokens, and
+#: the weight of coarse ones.
 K1, B, COARSE_LENGTH, FINE_LENGTH, COARSE_BOOST = 1.2, 0.75, 200.0, 220.0, 2.0
 
 
@@ -22,24 +29,59 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def top(scored: DataFrame, top_k: int, source: str, threshold: float | None = None) -> DataFrame:
-    """Route hits of (sample_id, chunk_id, score): the first top_k by score, equal ones by id."""
+    """Route hits of (sample_id, chunk_id, score): the first top_k by score, equal ones by id.
+
+    The limit is on the row number itself, so that each task keeps top_k of a sample before the shuffle.
+    """
     kept = scored if threshold is None else scored.where(F.col("score") >= threshold)
     order = Window.partitionBy("sample_id").orderBy(F.desc(F.round("score", 9)), F.asc("chunk_id"))
-    return kept.withColumn("route_rank", F.row_number().over(order) - 1).where(F.col("route_rank") < top_k).select("sample_id", F.lit(source).alias("source"), "route_rank", "chunk_id", "score")
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    first = kept.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= top_k)
+    return first.select("sample_id", F.lit(source).alias("source"), (F.col("nth") - 1).alias("route_rank"), "chunk_id", "score")
+
+
+def _nearest(corpus: DataFrame, ids: pa.Array, vectors: np.ndarray, top_k: int, schema) -> DataFrame:
+    """(sample_id, chunk_id, score): the best top_k of every task for these queries; a task holds no more than them."""
+    sent = corpus.sparkSession.sparkContext.broadcast((ids, vectors))
+    kinds = [to_arrow_type(f.dataType) for f in schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, q = sent.value
+        best, found = np.zeros((len(q), 0)), None
+        for batch in batches:
+            for at in range(0, batch.num_rows, max(1, STEP // len(q))):
+                part = batch.slice(at, max(1, STEP // len(q)))
+                names = part.column(0).to_pylist()
+                names = np.array(names, dtype=str if isinstance(names[0], str) else None)
+                scores = np.concatenate([best, q @ part.column(1).flatten().to_numpy().reshape(len(names), -1).T], axis=1)
+                every = np.broadcast_to(names, (len(q), len(names)))
+                every = every if found is None else np.concatenate([found, every], axis=1)
+                order = np.lexsort((every, -np.round(scores, 9)), axis=1)[:, :top_k]
+                best, found = np.take_along_axis(scores, order, 1), np.take_along_axis(every, order, 1)
+        if found is not None:
+            columns = [own.take(pa.array(np.repeat(np.arange(len(q)), best.shape[1]))), pa.array(found.ravel().tolist(), kinds[1]), pa.array(best.ravel(), pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["sample_id", "chunk_id", "score"])
+
+    return corpus.mapInArrow(run, schema)
 
 
 def dense(queries: DataFrame, corpus: DataFrame, top_k: int = 10, threshold: float | None = None) -> DataFrame:
     """Inner product of every query (sample_id, vector) with every corpus row (chunk_id, vector): an exact search.
 
-    Each pair of a bounded query set with a corpus row is scored where the corpus row is; the window keeps only
-    top_k for each query in every task before anything is shuffled.
+    The queries are sent to the corpus, SENT_VECTORS bytes at a time, and multiplied with it batch by batch; of each
+    query a task hands on top_k rows. Rows without a vector are left out.
     """
-    pairs = corpus.select("chunk_id", F.col("vector").alias("v")).join(_small(queries.select("sample_id", F.col("vector").alias("q"))))
-    return top(pairs.select("sample_id", "chunk_id", dot(F.col("q"), F.col("v")).alias("score")), top_k, "dense", threshold)
+    asked = queries.select("sample_id", F.col("vector").cast("array<double>").alias("vector")).where("vector is not null")
+    held = corpus.select("chunk_id", F.col("vector").cast("array<double>").alias("vector")).where("vector is not null")
+    size = asked.agg(F.sum(8 * F.size("vector"))).first()[0] or 0
+    blocks, out = 1 + size // SENT_VECTORS, None
+    schema = queries.select("sample_id").join(corpus.select("chunk_id", F.lit(0.0).alias("score"))).schema
+    for block in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("sample_id"), F.lit(blocks)) == block).toArrow().combine_chunks()
+        if own.num_rows:
+            vectors = np.concatenate([c.flatten().to_numpy() for c in own.column(1).chunks]).reshape(own.num_rows, -1)
+            hits = _nearest(held, pa.concat_arrays(own.column(0).chunks), vectors, top_k, schema)
+            out = hits if out is None else out.unionByName(hits)
+    return top(queries.sparkSession.createDataFrame([], schema) if out is None else out, top_k, "dense", threshold)
 
 
 def sparse(queries: DataFrame, corpus: DataFrame, top_k: int = 10, threshold: float | None = None) -> DataFrame:
@@ -49,31 +91,49 @@ def sparse(queries: DataFrame, corpus: DataFrame, top_k: int = 10, threshold: fl
     return top(met.groupBy("sample_id", "chunk_id").agg(F.sum(F.round(F.col("wq") * F.col("wc"), 12).cast("decimal(28,12)")).cast("double").alias("score")), top_k, "sparse", threshold)
 
 
-def postings(corpus: DataFrame, tokens=search_tokens) -> DataFrame:
-    """(chunk_id, token, tf, length) of (chunk_id, text)."""
-    own = corpus.select("chunk_id", tokens(F.col("text")).alias("t")).select("chunk_id", F.explode("t").alias("token"), F.size("t").alias("length"))
-    return own.groupBy("chunk_id", "token", "length").agg(F.count(F.lit(1)).alias("tf"))
+@dataclass(frozen=True)
+class Field:
+    """A reading of a text as tokens; a mean length of None is the corpus's own; its matches weigh boost."""
+
+    tokens: Callable[[Column], Column]
+    mean_length: float | None = None
+    boost: float = 1.0
+
+
+#: Words and characters, and these with the pairs of neighbouring characters.
+COARSE_AND_FINE = (Field(tokens, COARSE_LENGTH, COARSE_BOOST), Field(search_tokens, FINE_LENGTH))
+
+
+def _statistics(corpus: DataFrame, wanted: DataFrame, field: Field) -> DataFrame:
+    """(token, df, words) of the wanted tokens, and of an empty token that stands for all texts: one pass."""
+    said = corpus.select(field.tokens(F.col("text")).alias("t")).select(F.size("t").cast("long").alias("words"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("t"))).alias("token"))
+    asked = wanted.unionByName(wanted.sparkSession.range(1).select(F.lit("").alias("token")))
+    return said.join(_small(asked), "token").groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("words").alias("words"))
 
 
-def bm25(queries: DataFrame, corpus: DataFrame, top_k: int = 10, tokens=search_tokens, k1: float = K1, b: float = B, mean_length: float | None = None) -> DataFrame:
+def bm25(queries: DataFrame, corpus: DataFrame, top_k: int = 10, tokens=search_tokens, k1: float = K1, b: float = B, mean_length: float | None = None, fields: Sequence[Field] | None = None) -> DataFrame:
     """BM25 of (sample_id, text) against (chunk_id, text); a query without a common token finds nothing.
 
     mean_length None takes the corpus's own mean. idf is ln(1 + (n - df + 0.5) / (df + 0.5)); a token counts once
-    in a query. Postings are cut to the queries' tokens before they are aggregated.
+    in a query. fields read a text in several ways: a query is read as the first, documents are counted by the last,
+    and a token's weights in all fields are added. Texts are read twice for each field, for statistics of the
+    queries' tokens, which are bounded by the queries, and for the matches.
     """
-    asked = queries.select("sample_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
+    fields = fields or (Field(tokens, mean_length),)
+    asked = queries.select("sample_id", F.explode(F.array_distinct(fields[0].tokens(F.col("text")))).alias("token"))
     wanted = asked.select("token").distinct()
-    counted = corpus.select("chunk_id", tokens(F.col("text")).alias("t"))
-    sizes = counted.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("t")).alias("mean"))
-    found = counted.select("chunk_id", F.explode("t").alias("token"), F.size("t").alias("length")).join(_small(wanted), "token")
-    found = found.groupBy("chunk_id", "token", "length").agg(F.count(F.lit(1)).alias("tf"))
-    df = found.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    weighed = found.join(df, "token").join(F.broadcast(sizes))  # one row
-    mean = F.col("mean") if mean_length is None else F.lit(mean_length)
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
-    scored = weighed.select("chunk_id", "token", part.alias("part")).join(asked, "token").groupBy("sample_id", "chunk_id").agg(F.sum(F.round("part", 12).cast("decimal(28,12)")).cast("double").alias("score"))
-    return top(scored, top_k, "bm25")
+    weighed = None
+    for field in fields:
+        counted = _statistics(corpus, wanted, field)
+        every = counted.where("token = ''").select(F.col("df").alias("docs"), (F.col("words") / F.col("df")).alias("mean"))
+        found = corpus.select("chunk_id", field.tokens(F.col("text")).alias("t")).select("chunk_id", F.explode("t").alias("token"), F.size("t").alias("length")).join(_small(wanted), "token")
+        mean = F.col("mean") if field.mean_length is None else F.lit(field.mean_length)
+        tf = found.groupBy("chunk_id", "token", "length").agg(F.count(F.lit(1)).alias("tf")).join(F.broadcast(every))  # one row
+        part = tf.select("chunk_id", "token", (field.boost * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))).alias("part"))
+        weighed = part if weighed is None else weighed.unionByName(part)
+    rare = counted.where("token <> ''").join(F.broadcast(every)).select("token", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    parts = weighed.join(_small(rare.join(asked, "token")), "token").select("sample_id", "chunk_id", F.round(F.col("idf") * F.col("part"), 12).cast("decimal(28,12)").alias("part"))
+    return top(parts.groupBy("sample_id", "chunk_id").agg(F.sum("part").cast("double").alias("score")), top_k, "bm25")
 
 
 def merge_routes(*routes: DataFrame) -> DataFrame:

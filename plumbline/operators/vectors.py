@@ -50,6 +50,11 @@ def without_points(index: DataFrame, chunk_ids: DataFrame) -> DataFrame:
     return index.join(chunk_ids.select("chunk_id").distinct(), "chunk_id", "left_anti")
 
 
+def dot(a: Column, b: Column) -> Column:
+    """Inner product of two vectors."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
 def scaled(vector: Column) -> Column:
     """A vector of length 1; one of zeros stays."""
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))

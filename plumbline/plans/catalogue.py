@@ -1,6 +1,6 @@
 """The queries of the library by name, and the same in DuckDB's SQL."""
 
-from plumbline.plans.oracles import ORACLES
-from plumbline.plans.queries import QUERIES
+from plumbline.plans import oracles, queries, record_queries, structure_queries
 
-__all__ = ["ORACLES", "QUERIES"]
+QUERIES = queries.QUERIES | structure_queries.QUERIES | record_queries.QUERIES
+ORACLES = oracles.ORACLES | structure_queries.ORACLES | record_queries.ORACLES

@@ -103,8 +103,6 @@ SELECT * FROM res"""
 
 _DIAG = "dg AS (SELECT event_id, ts, event_type AS type, value AS elapsed_ms, CASE WHEN event_type = 'error' THEN [event_type] ELSE [] END AS failed, CAST(props->>'$.k' AS INT) AS n_ranked FROM events)"
 _TOK = r"list_concat(regexp_extract_all(lower(text), '[a-z0-9]+'), regexp_extract_all(lower(text), '[\x{4e00}-\x{9fff}]'))"
-#: Fixed value: what normalising deletes, as this engine writes it.
-_DELETED = r"[\s　，。、；：？！“”‘’（）【】《》〈〉,.;:?!\"''()\[\]{}<>—\-_*`#>|\x0b]+"
 _DAYS = "strftime(date_trunc('day', ts), '%Y-%m-%d')"
 _GOLDEN = "gd AS (SELECT item_id::VARCHAR AS id, item_id FROM benchmark)"
 _UUID = "sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode('tolink-eval:eval-1-' || doc_id::VARCHAR || '-0'))"
@@ -156,6 +154,9 @@ UNION ALL SELECT sample_id, 'overlap_all_sources', round(count(*) FILTER (source
     "comparability": "SELECT unnest(['top_k', 'fusion_strategy']) AS dimension",
     "trend_lag": f"WITH v AS (SELECT {_DAYS} AS day, event_type AS metric, avg(value) AS value FROM events GROUP BY ALL), l AS (SELECT *, lag(value) OVER (PARTITION BY metric ORDER BY day) AS previous FROM v) SELECT day, metric, round(value, 5) AS value, round(previous, 5) AS previous, round(value - previous, 5) AS delta FROM l",
     "noise_floor": "WITH v AS (SELECT date_trunc('day', ts) AS run, event_type AS metric, avg(value) AS value FROM events GROUP BY ALL) SELECT metric, round(stddev_samp(value), 5) AS sigma, round(avg(value), 5) AS mean, count(*) AS runs FROM v GROUP BY metric",
+    "bootstrap_interval": f"""WITH {_ALL}, own AS (SELECT * FROM per WHERE metric IN ('recall', 'mrr') AND (k = 10 OR k IS NULL)), u AS (SELECT metric, value, r, (('0x' || substr(md5('11:' || sample_id || ':' || r || ':' || metric), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE AS u FROM own, range(1, 51) AS t(r)),
+w AS (SELECT metric, r, value, (u > 0.36787944117144233::DOUBLE)::INT + (u > 0.73575888234288467::DOUBLE)::INT + (u > 0.91969860292860584::DOUBLE)::INT + (u > 0.98101184312384626::DOUBLE)::INT + (u > 0.99634015317265637::DOUBLE)::INT + (u > 0.99940581518241839::DOUBLE)::INT AS n FROM u),
+means AS (SELECT metric, r, sum(value * n) / sum(n) AS mean FROM w GROUP BY 1, 2) SELECT metric, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM means GROUP BY 1""",
     "windowed_run_quality": f"WITH {_DIAG} SELECT {_DAYS} AS day, count(*) AS samples, count(*) FILTER (len(failed) > 0) AS failed_samples, count(*) FILTER (n_ranked = 0) AS zero_ranked FROM dg GROUP BY 1",
     "model_distinctness": "SELECT 'chat' AS role_a, 'generator' AS role_b, 'm1' AS model",
     "precheck_anti": f"WITH {_GOLDEN}, e AS (SELECT id, unnest(['c' || item_id, 'c' || (item_id + 1000000)]) AS c FROM gd) SELECT id, string_agg(c, ',' ORDER BY c) AS missing, true AS doc_fallback_available FROM e WHERE c NOT IN (SELECT 'c' || doc_id FROM documents) GROUP BY id",
@@ -171,14 +172,6 @@ SELECT conv_id, min(turn) AS group_start, string_agg(turn::VARCHAR, ',' ORDER BY
     "allot_types": "SELECT doc_id, CASE WHEN n <= 35 THEN 'keyword' WHEN n <= 65 THEN 'paraphrase' ELSE 'longtail' END AS type FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents) WHERE n <= 85",
     "sparse_vector_clean": """WITH w AS (SELECT vec_id AS chunk_id, unnest(range(64)) % 40 AS index, round(unnest(embedding)::DOUBLE, 6) AS weight FROM embeddings), m AS (SELECT chunk_id, index, max(weight) AS weight FROM w WHERE weight >= 0.05 GROUP BY 1, 2)
 SELECT chunk_id, index, weight FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY weight DESC, index) AS n FROM m) WHERE n <= 12""",
-    "token_multiset_scores": f"""WITH p AS (SELECT doc_id, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS nx FROM documents), c AS (SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest({_TOK}) AS token FROM documents) GROUP BY ALL),
-a AS (SELECT p.doc_id, token, n AS r FROM p JOIN c ON c.doc_id = p.doc_id WHERE nx IS NOT NULL), b AS (SELECT p.doc_id, token, n AS p FROM p JOIN c ON c.doc_id = p.nx),
-s AS (SELECT doc_id, sum(coalesce(r, 0)) AS nr, sum(coalesce(p, 0)) AS np, sum(least(coalesce(r, 0), coalesce(p, 0))) AS kept, sum(greatest(coalesce(p, 0) - coalesce(r, 0), 0)) AS extra FROM a FULL JOIN b USING (doc_id, token) GROUP BY doc_id)
-SELECT doc_id, CASE WHEN nr = 0 THEN 1.0::DOUBLE ELSE round_even((kept / nr)::DOUBLE, 4)::DOUBLE END AS completeness, CASE WHEN nr = 0 OR np = 0 THEN 0.0::DOUBLE ELSE round_even((extra / np)::DOUBLE, 4)::DOUBLE END AS noise FROM s""",
-    "stability_pairs": f"WITH v AS (SELECT source, regexp_replace(lower(text), '{_DELETED}', '', 'g') AS v FROM documents), c AS (SELECT source, v, count(*) AS c FROM v GROUP BY ALL) SELECT source, CASE WHEN sum(c) < 2 THEN 1.0::DOUBLE ELSE round_even((sum(c * (c - 1)) / (sum(c) * (sum(c) - 1)))::DOUBLE, 4)::DOUBLE END AS stability FROM c GROUP BY source",
-    "order_inversions": f"""WITH {HITS}, m AS (SELECT sample_id, rn, row_number() OVER (PARTITION BY sample_id ORDER BY quantity, rn) AS made FROM h), i AS (SELECT a.sample_id, count(*) AS inv FROM m a JOIN m b ON a.sample_id = b.sample_id AND a.rn < b.rn AND a.made > b.made GROUP BY 1), n AS (SELECT sample_id, count(*) AS n FROM m GROUP BY 1)
-SELECT sample_id, CASE WHEN n < 2 THEN 1.0::DOUBLE ELSE round_even(1 - coalesce(inv, 0) / (n * (n - 1) / 2), 4)::DOUBLE END AS order_fidelity FROM n LEFT JOIN i USING (sample_id)""",
-    "page_blocks": "SELECT page_id, len(regexp_extract_all(html, '<h1[ >]')) AS headings, len(regexp_extract_all(html, '<li[ >]')) AS items, len(regexp_extract_all(html, '<p[ >]')) AS paragraphs, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS title FROM pages",
     "anchor_locate": "SELECT item_id AS fact_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)",
     "gate_cascade": """WITH s AS (SELECT doc_id, CASE WHEN length(text) <= 300 THEN 'missing_text' WHEN quality <> 1 THEN 'answerability' WHEN lang <> 'fr' AND toxic <> 0 THEN 'consistency' WHEN length(text) % 2 <> 0 THEN 'retrieval_loop' END AS failed_signal FROM documents JOIN labels USING (doc_id))
 SELECT doc_id, CASE WHEN failed_signal IS NULL THEN 'passed' WHEN failed_signal = 'retrieval_loop' THEN 'hard' ELSE 'dropped' END AS decision, failed_signal FROM s""",

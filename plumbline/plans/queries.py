@@ -34,7 +34,7 @@ def sparse_dot_topk(spark, d):
 def bm25_topk(spark, d):
     asked = fx.table(spark, d, "benchmark").select(F.col("item_id").alias("sample_id"), "text")
     corpus = fx.table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    return _rounded(retrieve.bm25(asked, corpus, 10, text.tokens).drop("source"), "score")
+    return _rounded(retrieve.bm25(asked, corpus, 10, text.token_bag).drop("source"), "score")
 
 
 def route_filter(spark, d):
@@ -118,8 +118,7 @@ def latency_median(spark, d):
 
 
 def nearest_rank_percentiles(spark, d):
-    counted = fx.diagnostics(spark, d).groupBy("type", "elapsed_ms").agg(F.count("elapsed_ms").alias("n"))
-    return aggregate.counted_ranks(counted, ("type",), "elapsed_ms").groupBy("type").agg(*[aggregate.rank_of("elapsed_ms", p).alias(f"p{p}") for p in (50, 95)])
+    return aggregate.nearest_ranks(fx.diagnostics(spark, d), "elapsed_ms", (50, 95), ("type",))
 
 
 def _vector_totals(spark, d, strategy):
@@ -153,7 +152,7 @@ def noise_floor(spark, d):
 
 def bootstrap_interval(spark, d):
     per = metrics.sample_metrics(fx.line_hits(spark, d), fx.line_golden(spark, d), (10,))
-    return aggregate.bootstrap(per.where("metric in ('recall', 'mrr')"), ("metric",), 50)
+    return _rounded(aggregate.bootstrap(per.where("metric in ('recall', 'mrr')"), ("metric",), 50), "low", "high")
 
 
 def windowed_run_quality(spark, d):
@@ -201,10 +200,6 @@ def content_hash(spark, d):
     return fx.table(spark, d, "documents").select("doc_id", columns.content_hash(F.col("text")).alias("content_hash"))
 
 
-def user_buckets(spark, d):
-    return fx.table(spark, d, "customer").select("c_custkey", columns.bucket(F.col("c_custkey")).alias("bucket"))
-
-
 def stratified_pick(spark, d):
     return golden.stratified_pick(fx.table(spark, d, "documents").select("doc_id", "source"), 100, 7, "source", "doc_id")
 
@@ -225,44 +220,6 @@ def sparse_vector_clean(spark, d):
     return vectors.clean_weights(weights, 12, 0.05)
 
 
-def token_multiset_scores(spark, d):
-    """Documents against the next of their source: what is kept of a text's tokens and what is added, by full outer join."""
-    docs = fx.table(spark, d, "documents")
-    after = F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id"))
-    pairs = docs.select("doc_id", after.alias("next_id"))
-    counts = docs.select("doc_id", F.explode(text.tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
-    ref = pairs.where("next_id is not null").join(counts, "doc_id").select("doc_id", "token", F.col("n").alias("r"))
-    made = pairs.where("next_id is not null").join(counts.withColumnRenamed("doc_id", "next_id"), "next_id").select("doc_id", "token", F.col("n").alias("p"))
-    both = ref.join(made, ["doc_id", "token"], "full_outer").na.fill(0, ["r", "p"])
-    sums = both.groupBy("doc_id").agg(F.sum("r").alias("nr"), F.sum("p").alias("np"), F.sum(F.least("r", "p")).alias("kept"), F.sum(F.greatest(F.col("p") - F.col("r"), F.lit(0))).alias("extra"))
-    complete = F.when(F.col("nr") == 0, 1.0).otherwise(columns.round4(F.try_divide(F.col("kept"), F.col("nr"))))
-    noise = F.when((F.col("nr") == 0) | (F.col("np") == 0), 0.0).otherwise(columns.round4(F.try_divide(F.col("extra"), F.col("np"))))
-    return sums.select("doc_id", complete.alias("completeness"), noise.alias("noise"))
-
-
-def stability_pairs(spark, d):
-    """Texts of a source and length as repeated runs: equal pairs from counts by value."""
-    docs = fx.table(spark, d, "documents").select("source", text.normalise(F.col("text"), compose=False).alias("v"))
-    n = docs.groupBy("source", "v").agg(F.count(F.lit(1)).alias("c")).groupBy("source").agg(F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("c") - 1)).alias("same"))
-    return n.select("source", F.when(F.col("n") < 2, 1.0).otherwise(columns.round4(F.try_divide(F.col("same"), F.col("n") * (F.col("n") - 1)))).alias("stability"))
-
-
-def order_inversions(spark, d):
-    """Lines of an order by price against their order by quantity: pairs that change places."""
-    lines = fx.line_hits(spark, d).withColumn("made", F.row_number().over(Window.partitionBy("sample_id").orderBy("quantity", "rank")))
-    a, b = lines.select("sample_id", F.col("rank").alias("ra"), F.col("made").alias("ma")), lines.select("sample_id", F.col("rank").alias("rb"), F.col("made").alias("mb"))
-    inverted = a.join(b, "sample_id").where("ra < rb and ma > mb").groupBy("sample_id").agg(F.count(F.lit(1)).alias("inv"))
-    n = lines.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
-    pairs = F.col("n") * (F.col("n") - 1) / 2
-    return n.join(inverted, "sample_id", "left").select("sample_id", F.when(F.col("n") < 2, 1.0).otherwise(columns.round4(1 - F.try_divide(F.coalesce("inv", F.lit(0)).cast("double"), pairs))).alias("order_fidelity"))
-
-
-def page_blocks(spark, d):
-    pages = fx.table(spark, d, "pages")
-    count = lambda p: F.size(F.regexp_extract_all("html", F.lit(p), 0))
-    return pages.select("page_id", count("<h1[ >]").alias("headings"), count("<li[ >]").alias("items"), count("<p[ >]").alias("paragraphs"), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("title"))
-
-
 def anchor_locate(spark, d):
     """Benchmark items as anchors, sought in all documents exactly: documents share a word run with each item they hold.
 
@@ -277,9 +234,13 @@ def anchor_locate(spark, d):
     docs = fx.table(spark, d, "documents").select("doc_id", "text")
     words = docs.select("doc_id", "text", F.split("text", r"[\x20\x09-\x0D]+").alias("w"))
     runs = words.select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 4), " ")))).alias("run"))
-    met = runs.join(F.broadcast(items) if items.limit(10001).count() <= 10000 else items, "run").where(F.contains("text", "anchor"))
-    held = docs.join(F.broadcast(short), F.contains("text", "anchor"))
-    return met.select("fact_id", "doc_id").unionByName(held.select("fact_id", "doc_id")).distinct()
+    met = runs.join(F.broadcast(items) if items.limit(10001).count() <= 10000 else items, "run").select("fact_id", "doc_id", "anchor")
+    held = docs.join(F.broadcast(short), F.contains("text", "anchor")).select("fact_id", "doc_id", "anchor")
+    # A fact of an item in every document that may hold it, each document a chunk.
+    facts = met.unionByName(held).distinct().withColumn("fact_id", F.concat_ws(":", "fact_id", "doc_id"))
+    chunks = docs.select("doc_id", F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content"))
+    found = golden.locate(facts, chunks, fuzzy=False, compose=False).where("tier = 'exact'")
+    return found.select(F.split("fact_id", ":")[0].cast("long").alias("fact_id"), F.explode(F.transform("chunk_ids", lambda c: c.cast("long"))).alias("doc_id"))
 
 
 def gate_cascade(spark, d):
@@ -355,6 +316,5 @@ def parsed_blocks(spark, d):
 QUERIES = {f.__name__: f for f in (
     retrieval_headline, dense_topk, sparse_dot_topk, bm25_topk, route_filter, rrf_fusion, weighted_fusion, config_grid, grid_best, doc_dedup_ranks, source_overlap, metric_grouping_sets, ledger_rows, k_pivot,
     run_quality, failed_source_counts, latency_median, nearest_rank_percentiles, baseline_diff, comparability, trend_lag, noise_floor, bootstrap_interval, windowed_run_quality, model_distinctness, precheck_anti,
-    manifest_join, golden_convert_graded, chunk_ids_uuid5, content_hash, user_buckets, stratified_pick, group_adjacent, allot_types, sparse_vector_clean, token_multiset_scores, stability_pairs, order_inversions,
-    page_blocks, anchor_locate, gate_cascade, spec_matrix, rerank_delta, pooled_recall, degraded_order, abstention, similarity_ratio, cleaning_scores, cleaning_report, parsed_blocks,
+    manifest_join, golden_convert_graded, chunk_ids_uuid5, content_hash, stratified_pick, group_adjacent, allot_types, sparse_vector_clean, anchor_locate, gate_cascade, spec_matrix, rerank_delta, pooled_recall, degraded_order, abstention, similarity_ratio, cleaning_scores, cleaning_report, parsed_blocks,
 )} | {f"{n}_at_k" if n in ("recall", "precision") else "hit_at_k" if n == "hit_rate" else n: _line_metric(n) for n in ("recall", "hit_rate", "precision", "mrr", "map", "ndcg_binary", "ndcg_graded")}

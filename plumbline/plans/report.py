@@ -26,9 +26,29 @@ def headline(totals: DataFrame) -> DataFrame:
     return top.select("metric", "x.*").orderBy("metric")
 
 
-def by_k(totals: DataFrame) -> DataFrame:
-    """Metrics as rows and k as columns."""
-    return totals.where("k is not null").groupBy("metric").pivot("k").agg(F.first("value")).orderBy("metric")
+def by_k(totals: DataFrame, deltas: DataFrame | None = None) -> DataFrame:
+    """Metrics as rows and k as columns; with deltas, the change at the greatest k and whether it is a regression."""
+    wide = totals.where("k is not null").groupBy("metric").pivot("k").agg(F.first("value"))
+    if deltas is not None:
+        last = deltas.where("k is not null").groupBy("metric").agg(F.max_by("delta", "k").alias("delta"), F.bool_or("is_regression").alias("is_regression"))
+        wide = wide.join(last, "metric", "left")
+    return wide.orderBy("metric")
+
+
+def overlap_note(totals: DataFrame, latency: DataFrame | None) -> str:
+    """Which share of the hits one route alone found, and all did, and the median latency, as one line."""
+    parts = [f"{'all routes' if r['metric'] == 'overlap_all_sources' else r['metric'][8:-5] + ' only'} {100 * r['value']:.0f}%" for r in totals.where(F.startswith("metric", F.lit("overlap_"))).orderBy("metric").collect()]
+    median = latency.first()[0] if latency is not None else None
+    parts += [f"median latency {median:.0f} ms"] if median is not None else []
+    return f"<h2>Overlap and latency</h2><p>{html.escape(' · '.join(parts))}</p>" if parts else ""
+
+
+def quality_section(quality: DataFrame, failures: DataFrame | None) -> str:
+    """Whether a run is clean, and which routes failed how often."""
+    clean = quality.first()["clean"]
+    told = ", ".join(f"{r['source']}={r['n']}" for r in failures.orderBy("source").collect()) if failures is not None else ""
+    note = "clean run: fit as a baseline" if clean else "not clean: routes failed or found nothing, so the values may not hold as a baseline"
+    return table(quality, "Run quality") + f"<p>{note}; failed sources: {html.escape(told) or 'none'}</p>"
 
 
 def table(df: DataFrame, caption: str, mark: str | None = None) -> str:
@@ -44,16 +64,16 @@ def page(title: str, sections: list[str]) -> str:
     return f"<!DOCTYPE html>\n<html><head><meta charset=\"utf-8\"><title>{html.escape(title)}</title><style>{STYLE}</style></head><body><h1>{html.escape(title)}</h1>{''.join(sections)}</body></html>\n"
 
 
-def retrieval_html(title: str, buckets: DataFrame, quality: DataFrame, latency: DataFrame | None = None, deltas: DataFrame | None = None) -> str:
-    """Headline, metrics by k, overlap and latency, run quality, types, domains, changes and the glossary."""
+def retrieval_html(title: str, buckets: DataFrame, quality: DataFrame, latency: DataFrame | None = None, deltas: DataFrame | None = None, failures: DataFrame | None = None) -> str:
+    """Headline, metrics by k with their change, overlap and latency, run quality, types, domains, changes and the glossary."""
     whole = buckets.where((F.col("type_bucket") == ALL) & (F.col("domain_bucket") == ALL))
     note = F.when(F.col("n") < SMALL_BUCKET, "small").otherwise("")
     one = lambda c, other: buckets.where((F.col(c) != ALL) & (F.col(other) == ALL)).select(F.col(c), "metric", "k", "value", "n", note.alias("note")).orderBy(c, "metric", "k")
-    sections = [table(headline(whole), "Headline"), table(by_k(whole), "By k"), table(whole.where("k is null").select("metric", "value", "n").orderBy("metric"), "Whole list and overlap")]
-    sections += [table(latency, "Latency")] if latency is not None else []
-    sections += [table(quality, "Run quality"), table(one("type_bucket", "domain_bucket"), "By type"), table(one("domain_bucket", "type_bucket"), "By domain")]
+    sections = [table(headline(whole), "Headline"), table(by_k(whole, deltas), "By k", "is_regression" if deltas is not None else None), table(whole.where("k is null").select("metric", "value", "n").orderBy("metric"), "Whole list and overlap")]
+    sections += [overlap_note(whole, latency), quality_section(quality, failures), table(one("type_bucket", "domain_bucket"), "By type"), table(one("domain_bucket", "type_bucket"), "By domain")]
     sections += [table(deltas, "Against the baseline", "is_regression")] if deltas is not None else []
-    sections.append("<h2>Glossary</h2><dl>" + "".join(f"<dt>{k}</dt><dd>{v}</dd>" for k, v in GLOSSARY.items()) + "</dl>")
+    present = {r["metric"] for r in whole.select("metric").distinct().collect()}
+    sections.append("<h2>Glossary</h2><dl>" + "".join(f"<dt>{k}</dt><dd>{v}</dd>" for k, v in GLOSSARY.items() if k in present) + "</dl>")
     return page(title, sections)
 
 
@@ -70,6 +90,12 @@ def to_json(buckets: DataFrame, deltas: DataFrame | None = None) -> str:
     return json.dumps({"metrics": rows(buckets), "deltas": rows(deltas) if deltas is not None else []}, ensure_ascii=False, sort_keys=True)
 
 
+def from_json(spark, text: str, schema: str) -> DataFrame:
+    """The metrics of to_json() as rows again."""
+    lines = [(json.dumps(row, ensure_ascii=False),) for row in json.loads(text)["metrics"]]
+    return spark.createDataFrame(lines, "value string").select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
 def summary(totals: DataFrame, quality: DataFrame) -> str:
     """A run in a few lines of text."""
     q = quality.first()

@@ -2,23 +2,37 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import aggregate, fusion, golden, markdown, metrics
+from plumbline.functions.text import first_json_object
+from plumbline.operators import aggregate, fusion, golden, markdown, metrics, retrieve
 from plumbline.plans import report
 from plumbline.plans.settings import Settings
 from plumbline.sources import readers
 from plumbline.sources.store import Store
 
 
-def evaluate(spark: SparkSession, settings: Settings, golden_path: str, responses: DataFrame, run_id: str, dataset: str, ts: str, baseline_run_id: str | None = None, corpus: DataFrame | None = None, datasets: DataFrame | None = None) -> dict:
+def stage_preconditions(samples: DataFrame, layer: str, judge: bool = False) -> None:
+    """Generation and correctness need a judge; correctness needs a golden answer of every sample."""
+    if layer in ("generation", "correctness") and not judge:
+        raise ValueError(f"layer {layer!r} needs a judge")
+    if layer == "correctness" and not samples.where("golden_answer is null").isEmpty():
+        raise ValueError("layer 'correctness' needs a golden answer of every sample")
+
+
+def evaluate(spark: SparkSession, settings: Settings, golden_path: str, responses: DataFrame, run_id: str, dataset: str, ts: str, baseline_run_id: str | None = None, corpus: DataFrame | None = None, datasets: DataFrame | None = None, layer: str = "retrieval", judge: bool = False) -> dict:
     """Golden samples and recall responses to metrics, a ledger, a report and a diff.
 
     responses are as in schemas.RESPONSE. With a corpus, samples whose chunks aren't in it stop the run, unless
     documents can stand in. With datasets, samples get their domain.
     """
     samples = readers.golden(spark, golden_path).withColumnRenamed("id", "sample_id")
+    stage_preconditions(samples, layer, judge)
     if corpus is not None:
         lost = golden.precheck(samples.withColumnRenamed("sample_id", "id"), corpus).where("not doc_fallback_available")
         if not lost.isEmpty():
@@ -44,7 +58,7 @@ def evaluate(spark: SparkSession, settings: Settings, golden_path: str, response
             raise ValueError(f"no baseline {baseline_run_id!r}")
         same = aggregate.incomparable(snapshot, store.load_snapshot(baseline_run_id, snapshot.schema)).isEmpty()
         deltas = aggregate.diff(whole, base, same)
-    html = report.retrieval_html(f"{dataset} {run_id}", saved, quality, aggregate.median_latency(diagnostics), deltas)
+    html = report.retrieval_html(f"{dataset} {run_id}", saved, quality, aggregate.median_latency(diagnostics), deltas, aggregate.failed_source_counts(diagnostics))
     report.write_text(spark, html, f"{settings.store_path}/reports/{run_id}.html")
     report.write_text(spark, report.to_json(saved, deltas), f"{settings.store_path}/reports/{run_id}.json")
     return {"buckets": saved, "quality": quality, "deltas": deltas, "summary": report.summary(whole, quality)}
@@ -68,8 +82,13 @@ def clean(spark: SparkSession, pairs: DataFrame, out: str, run_id: str) -> DataF
     return buckets
 
 
-def convert(spark: SparkSession, collection: str, queries: str, qrels: str, manifest: str, name: str, out: str, graded: bool = False) -> DataFrame:
-    """Public judgments to golden samples; returns counts of what was converted and what wasn't."""
+def convert(spark: SparkSession, collection: str, queries: str, qrels: str, manifest: str, name: str, out: str, graded: bool = False, settings: Settings | None = None, skip_ingest: bool = True) -> DataFrame:
+    """Public judgments to golden samples; returns counts of what was converted and what wasn't.
+
+    Unless skip_ingest, the passages are put into the store of the settings first.
+    """
+    if not skip_ingest:
+        ingest(spark, settings or Settings.read(), collection, manifest)
     judged = readers.json_qrels(spark, qrels) if qrels.endswith(".json") else readers.qrels(spark, qrels)
     readers.collection(spark, collection).count()  # fails where an id occurs twice
     found = golden.convert_judgments(judged, readers.queries(spark, queries), readers.manifest(spark, manifest), name, graded)
@@ -87,3 +106,66 @@ def ingest(spark: SparkSession, settings: Settings, collection: str, manifest: s
     return Store(spark, settings.store_path).upsert(chunks, "chunks", "chunk_id")
 
 
+def generate(spark: SparkSession, settings: Settings, chunks: DataFrame, n: int, ask: Callable[[str], str], out: str, review: Callable[[str], str] | None = None, hard_out: str | None = None, seed: int = 0, **calls) -> dict:
+    """A golden set from a corpus: chunks are picked, a model writes questions, a gate passes them, files are written.
+
+    chunks: (chunk_id, dataset_id, doc_id, chunk_index, content). ask and review are functions of a prompt; without
+    review nothing is gated. What an independent retriever misses is hard, and written to hard_out. Both are called
+    once for each question: what they said is written before it is used.
+    """
+    base = f"{settings.store_path}/generated/{uuid.uuid4().hex}"
+    chunks = chunks if "chunk_index" in chunks.columns else chunks.withColumnRenamed("ordinal", "chunk_index")
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{base}/{name}")
+        return spark.read.parquet(f"{base}/{name}")
+
+    prompt = lambda text, **of: functools.reduce(lambda t, item: F.replace(t, F.lit("{" + item[0] + "}"), F.coalesce(F.col(item[1]), F.lit(""))), of.items(), F.lit(text))
+    groups = golden.question_groups(chunks, golden.quota(n), seed).withColumn("prompt", prompt(golden.ASK, type="type", passages="passages"))
+    answers = kept(golden.applied(groups, ask, "prompt", "answer", **calls), "answers")
+    made = golden.generated_samples(answers)
+    written = made.where("dropped is null")
+    decided = written.withColumn("decision", F.lit("passed"))
+    if review is not None:
+        asked = written.withColumn("prompt", prompt(golden.REVIEW, query="query", answer="golden_answer", passages="passages"))
+        said = kept(golden.applied(asked, review, "prompt", "verdict", **calls), "reviews").withColumn("v", F.from_json(first_json_object("verdict"), "answerable boolean, consistent boolean"))
+        found = retrieve.bm25(said.select("sample_id", F.col("query").alias("text")), chunks.select("chunk_id", F.col("content").alias("text")), golden.LOOP_TOP)
+        retrieved = found.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("route_rank", "chunk_id")))["chunk_id"].alias("retrieved"))
+        signals = said.join(retrieved, "sample_id", "left").select(
+            *written.columns, (F.col("passages") != "").alias("has_text"), F.coalesce("v.answerable", F.lit(False)).alias("answerable"), (F.coalesce("golden_answer", F.lit("")) != "").alias("has_golden_answer"),
+            F.col("v.consistent").alias("consistent"), F.coalesce("retrieved", F.array().cast("array<string>")).alias("retrieved"), F.col("used_chunk_ids").alias("expected"),
+        )
+        decided = golden.gate(signals)
+    samples = decided.select(
+        F.col("sample_id").alias("id"), "query", F.lit(settings.user_id).cast("long").alias("user_id"), F.array("dataset_id").alias("dataset_ids"), F.col("used_chunk_ids").alias("expected_chunk_ids"), F.lit(None).cast("array<bigint>").alias("expected_doc_ids"),
+        F.lit(None).cast("map<string,int>").alias("relevance_grades"), "golden_answer", "type", F.lit(None).cast("string").alias("note"), "decision",
+    )
+    samples = kept(samples, "samples")
+    readers.write_golden(samples.where("decision = 'passed'"), out)
+    if hard_out:
+        readers.write_golden(samples.where("decision = 'hard'"), hard_out)
+    counts = {r["decision"]: r["count"] for r in samples.groupBy("decision").count().collect()}
+    lost = {r["dropped"]: r["count"] for r in made.where("dropped is not null").groupBy("dropped").count().collect()}
+    return {"asked": groups.count(), "passed": counts.get("passed", 0), "hard": counts.get("hard", 0), "gated_out": counts.get("dropped", 0), "not_generated": lost}
+
+
+def ingest_and_locate(spark: SparkSession, settings: Settings, rendered: DataFrame, facts: DataFrame, parse: Callable, split: Callable[[str], list[str]], dataset_id: int = 1, **calls) -> tuple[DataFrame, DataFrame]:
+    """Rendered documents (doc_id, content) parsed, cut into chunks, put into the store, and their facts located in these.
+
+    Returns (doc_id, status), failed where nothing could be parsed, and (fact_id, chunk_ids, tier) of all facts.
+    parse makes text of content, split chunks of text.
+    """
+    import json
+
+    from plumbline.functions import columns
+
+    parsed = golden.applied(rendered.select("doc_id", "content"), lambda content: json.dumps(split(parse(content))), "content", "pieces", **calls).select("doc_id", F.from_json("pieces", "array<string>").alias("pieces"))
+    base = f"{settings.store_path}/parsed/{uuid.uuid4().hex}"
+    parsed.write.parquet(base)
+    parsed = spark.read.parquet(base)
+    cut = parsed.select("doc_id", F.posexplode("pieces").alias("ordinal", "content"))
+    key = columns.chunk_id(F.lit(dataset_id), F.col("doc_id"), F.col("ordinal"))
+    chunks = cut.select(key.alias("chunk_id"), F.lit(dataset_id).cast("long").alias("dataset_id"), F.col("doc_id").cast("long").alias("doc_id"), "content", columns.content_hash(F.col("content")).alias("content_hash"), "ordinal")
+    Store(spark, settings.store_path).upsert(chunks, "chunks", "chunk_id")
+    status = parsed.select("doc_id", F.when(F.coalesce(F.size("pieces"), F.lit(0)) > 0, "success").otherwise("failed").alias("status"))
+    return status, golden.locate(facts, chunks)

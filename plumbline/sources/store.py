@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -59,17 +61,63 @@ class Store:
         runs = self._read("runs")
         return None if runs is None else runs.where(F.col("run_id") == run_id).select(F.from_json("snapshot", schema).alias("s")).select("s.*")
 
+    def load_samples(self, run_id: str) -> DataFrame | None:
+        """A run's values by sample, as they were saved."""
+        found = self._read("samples")
+        rows = None if found is None else found.where(F.col("run_id") == run_id)
+        return None if rows is None or rows.isEmpty() else rows.drop("run_id")
+
+    def _versions(self, table: str) -> list[tuple[int, str]]:
+        """(number, path) of a table's whole versions, oldest first; one that was cut off has no mark of success."""
+        fs, folder = self._folder(f"{self.root}/{table}")
+        if not fs.exists(folder):
+            return []
+        found = [x.getPath() for x in fs.listStatus(folder)]
+        whole = [x for x in found if x.getName().startswith("v-") and fs.exists(self._folder(f"{x}/_SUCCESS")[1])]
+        return sorted((int(x.getName()[2:]), x.toString()) for x in whole)
+
+    def load(self, table: str) -> DataFrame | None:
+        """The newest whole version of a table by key; None if there is none."""
+        versions = self._versions(table)
+        return self.spark.read.parquet(versions[-1][1]) if versions else None
+
     def upsert(self, rows: DataFrame, table: str, key: str) -> DataFrame:
-        """Rows by key into a table of the store; a new version of the table is written, then takes its place."""
-        path, fresh = f"{self.root}/{table}", f"{self.root}/_{table}.new"
-        merged(self._read(table), rows, key).write.mode("overwrite").parquet(fresh)
-        fs, old, new = self._paths(path, fresh)
-        fs.delete(old, True)
-        if not fs.rename(new, old):
-            raise OSError(f"{fresh} can't be moved to {path}")
-        return self.spark.read.parquet(path)
-
-    def _paths(self, path: str, fresh: str):
-        jvm = self.spark.sparkContext._jvm
-        old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(fresh)
-        return old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), old, new
+        """Rows by key into a table of the store.
+
+        A new version is written beside the old one and counts once it is whole, so a crash at any time leaves the last
+        whole one. The version before is kept for those who read it; older ones go.
+        """
+        versions = self._versions(table)
+        old = self.spark.read.parquet(versions[-1][1]) if versions else None
+        merged(old, rows, key).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").mode("overwrite").parquet(f"{self.root}/{table}/v-{versions[-1][0] + 1 if versions else 0}")
+        for _, path in versions[:-1]:
+            fs, gone = self._folder(path)
+            fs.delete(gone, True)
+        return self.load(table)
+
+    def _folder(self, path: str):
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+class JsonStore:
+    """Runs as one JSON file each: a light store without baselines, for results of aggregated size."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def save(self, run_id: str, snapshot: DataFrame, buckets: DataFrame) -> str:
+        from plumbline.plans.report import write_text
+
+        rows = lambda df: [json.loads(x) for x in df.toJSON().collect()]
+        path = f"{self.root}/{run_id}.json"
+        write_text(self.spark, json.dumps({"run_id": run_id, "snapshot": rows(snapshot)[0], "metrics": rows(buckets)}, ensure_ascii=False, sort_keys=True), path)
+        return path
+
+    def load(self, run_id: str) -> dict | None:
+        try:
+            return json.loads(self.spark.read.text(f"{self.root}/{run_id}.json", wholetext=True).first()[0])
+        except AnalysisException as missing:
+            if "PATH_NOT_FOUND" in str(missing):
+                return None
+            raise

@@ -134,7 +134,7 @@ def test_specs_render_and_models(spark):
     answers = spark.createDataFrame([("a", ["c1", "c2"], '```json\n{"answerable": true, "query": "q", "answer": "x", "used_chunk_ids": ["c2", "c9"]}\n```'), ("b", ["c1"], '{"answerable": false}'), ("c", ["c1"], "no json"), ("d", ["c1"], '{"query": "q", "used_chunk_ids": ["c9"]}')], "sample_id string, chunk_ids array<string>, answer string")
     got = {r["sample_id"]: (r["dropped"], r["used_chunk_ids"]) for r in golden.generated_samples(answers).collect()}
     assert got == {"a": (None, ["c2"]), "b": ("unanswerable", ["c1"]), "c": ("unparsed", ["c1"]), "d": (None, ["c1"])}
-    told = golden.applied(spark.createDataFrame([("x",), ("fail",)], "t string"), lambda t: t.upper() if t != "fail" else 1 / 0, "t", "made").collect()
+    told = golden.applied(spark.createDataFrame([("x",), ("fail",)], "t string"), lambda t: t.upper() if t != "fail" else 1 / 0, "t", "made", backoff=0).collect()
     assert {r["t"]: r["made"] for r in told} == {"x": "X", "fail": None}
 
 

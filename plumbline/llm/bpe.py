@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import text_bytes, with_columns
 
-#: How many answers and pieces a worker keeps before it starts anew; a bound on memory, not on input.
-MEMO = 400_000
+#: How many answers and pieces a worker keeps before it starts anew, and the characters of a piece that is kept at most:
+#: bounds on memory, not on input.
+MEMO, KEPT = 400_000, 48
 
 #: Latin letters, as ranges for a character class.
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
@@ -61,9 +62,10 @@ class BytePairEncoder:
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         self.length = {r: len(t) for t, r in ranks.items()}
         self.usable = {t.decode("latin-1"): r for t, r in ranks.items() if self.spines(r) is not None}
-        self.widest = max(map(len, self.usable))
         for said, rank in self.usable.items():
             self.automaton.add_word(said, rank)
+        self.automaton.make_automaton()
+        self.widest = max(map(len, self.usable))
         self._pieces: dict[str, tuple[tuple[int, ...], str]] = {}
 
     def pieces_of(self, text: str) -> list[str]:
@@ -123,11 +125,8 @@ class BytePairEncoder:
         return held
 
     def longest(self, said: str, at: int) -> int:
-        """The longest token that starts there: the trie bounds its length, the ranks settle it."""
-        length = self.automaton.longest_prefix(said[at : at + self.widest])
-        while (rank := self.usable.get(said[at : at + length])) is None:
-            length -= 1
-        return rank
+        """The longest token that starts there; as every byte is a token, the leftmost match from there on does."""
+        return next(self.automaton.iter_long(said[at : at + self.widest]))[1]
 
     def shorter(self, rank: int) -> int | None:
         """The next shorter token that a token begins with."""
@@ -170,11 +169,12 @@ class BytePairEncoder:
         kept, found = self._pieces, self.pieces_of(text)
         if len(kept) >= MEMO:
             kept.clear()
+        long = {}
         for piece in found:
-            if piece not in kept:
+            if piece not in kept and piece not in long:
                 ids = tuple(self.encode_piece(piece.encode()))
-                kept[piece] = (ids, ",".join(map(str, ids)))
-        pairs = [kept[piece] for piece in found]
+                (kept if len(piece) <= KEPT else long)[piece] = (ids, ",".join(map(str, ids)))
+        pairs = [kept[piece] if len(piece) <= KEPT else long[piece] for piece in found]
         return list(itertools.chain.from_iterable(ids for ids, _ in pairs)), ",".join([said for _, said in pairs])
 
     def decode(self, ids: list[int]) -> bytes:

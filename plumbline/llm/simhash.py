@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import json
 import math
 from collections.abc import Iterator
 
@@ -27,6 +28,8 @@ _WORDS: dict[bytes, int] = {}
 MEMO = 200_000
 #: Terms whose bits are unpacked at a time.
 CHUNK = 4096
+#: Bytes of texts of a range, as long as there are no more than so many ranges.
+RANGE_BYTES, MOST_RANGES = 64 << 20, 1 << 13
 
 
 def fingerprint(text: str) -> bytes:
@@ -69,8 +72,8 @@ def _range_of(column, bounds: list[int]):
     if not rows:
         return F.lit(0)
     under = lambda values: F.size(F.filter(values, lambda b: b <= column))
-    table = F.array(*[F.array(*[F.lit(b).cast("long") for b in r]) for r in rows])
-    heads = F.array(*[F.lit(r[0]).cast("long") for r in rows])
+    # Two literals, however many bounds there are.
+    table, heads = F.from_json(F.lit(json.dumps(rows)), "array<array<bigint>>"), F.from_json(F.lit(json.dumps([r[0] for r in rows])), "array<bigint>")
     row = under(heads)
     return F.when(row == 0, 0).otherwise((row - 1) * wide + under(F.get(table, row - 1)))
 
@@ -83,26 +86,26 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     fingerprints; two empty texts are alike. A single document is its own next one.
 
     Ranges of doc_id are dealt out, one shuffle of the texts; each range also gets the one document that
-    follows its last, so that each is read as a stream with one row held.
+    follows its last, so that each is read as a stream with one row held. Ranges are as many as the texts' bytes ask
+    for, MOST_RANGES at most; the driver gets two numbers of each.
     """
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = source.select(F.sum(F.length(F.col("text").cast("binary")))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, size // RANGE_BYTES))
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
     # Quantiles are few, and where they fall decides the balance only.
     bounds = sorted({int(q) for q in source.select(F.col("doc_id")).na.drop().approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts)}) if parts > 1 else []
     dealt = source.withColumn("part", _range_of(key, bounds))
     first = {r["part"]: r["first"] for r in dealt.groupBy("part").agg(F.max(key).alias("first")).collect()}  # a row for each range
     used = sorted(first)
-    guests = [(p, first[used[i - 1]]) for i, p in enumerate(used)]  # i - 1 is -1 for the lowest: the first of all follows it
-    by_id: dict[int, list[int]] = {}
-    for p, doc in guests:
-        by_id.setdefault(doc, []).append(p)
-    visiting = source.where(key.isin(list(by_id))).withColumn("to", F.create_map(*[x for d, ps in by_id.items() for x in (F.lit(d).cast("long"), F.array(*map(F.lit, ps)))])[key]) if by_id else None
-    rows = dealt.select("part", F.lit(False).alias("guest"), "doc_id", "text")
-    if visiting is not None:
-        rows = rows.unionByName(visiting.select(F.explode("to").alias("part"), F.lit(True).alias("guest"), "doc_id", "text"))
-    streams = rows.repartition(parts, "part").sortWithinPartitions("part", "guest", F.desc_nulls_last("doc_id"), "text")
+    # At i = 0, used[i - 1] is the highest range: the first of all documents follows the last.
+    guests = [{"doc": first[used[i - 1]], "to": p} for i, p in enumerate(used)]
+    asked = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(guests)), "array<struct<doc:bigint,to:int>>")))
+    # Of rows that share the id, the one of least text comes first.
+    visiting = source.join(F.broadcast(asked), key == F.col("doc")).groupBy(F.col("to").alias("part")).agg(F.max("doc_id").alias("doc_id"), F.min("text").alias("text"))
+    rows = dealt.select("part", F.lit(False).alias("guest"), "doc_id", "text").unionByName(visiting.withColumn("guest", F.lit(True)))
+    streams = rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "guest", F.desc_nulls_last("doc_id"), "text")
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

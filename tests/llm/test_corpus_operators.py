@@ -105,6 +105,47 @@ def test_sum_of_squares_equals_all_pairs():
     assert model.margin(ids, x) == pytest.approx(0.3 + model.linear[ids] @ x + pairs)
 
 
+def plain_description(data):
+    """Word weights by bucket and the statistics, each by its definition."""
+    words = [w for w in re.split(rb"[\x20\x09-\x0d]+", data) if w]
+    n, size = max(1, len(words)), max(1, len(data))
+    weights = collections.Counter()
+    for w in set(words):
+        bucket = zlib.crc32(w.strip(b".,;:!?\"'()").lower()) % quality.BUCKETS
+        weights[(bucket, w)] = (words.count(w) / n) ** 0.5
+    count = lambda of: sum(b in of for b in data) / size
+    upper, lower, digit, space, mark, point = map(count, (bytes(range(65, 91)), bytes(range(97, 123)), b"0123456789", b" \t\n\x0b\x0c\r", b"#*$%&|<>", b".,;:!?"))
+    lines = [x for x in data.split(b"\n") if x.strip()]
+    triples = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    return weights, [
+        np.log(1 + len(data)), np.log(1 + len(words)), len(data) * (1 - space) / n, upper, digit, mark, point, 1 - upper - lower - digit - space - mark - point, len(set(words)) / n,
+        max((words.count(w) for w in set(words)), default=0) / n, 1 - len(set(lines)) / max(1, len(lines)), 1 - len(set(triples)) / len(triples) if triples else 0.0, np.log(1 + size / max(1, len(lines))), data.count(b"!!") / n,
+    ]
+
+
+def test_scores_are_those_of_all_pairs(spark):
+    """Scores of the DataFrame against statistics and interactions written out."""
+    rng = random.Random(21)
+    words = ["the", "The,", "a", "B1", "x!!", "#", "été", "12", "(end)."]
+    texts = ["", " \n", "one"] + [" ".join(rng.choices(words, k=rng.randint(1, 40))) + rng.choice(["", "\n", "\nline\nline"]) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, None), (3, texts[9]), (3, texts[9])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int("the" in t.lower()), 0) for i, t in enumerate(texts)], "doc_id long, quality int, toxic int")
+    model = quality.learn(docs, labels)
+    assert np.abs(model.factors).max() > 0.1
+
+    def score(text):
+        weights, statistics = plain_description(text.encode())
+        x = [(bucket, w) for (bucket, _), w in weights.items()]
+        x += [(quality.BUCKETS + i * quality.BINS + sum(e <= v for e in model.edges[i]), len(statistics) ** -0.5) for i, v in enumerate(statistics)]
+        pairs = sum(float(model.factors[i] @ model.factors[j]) * a * b for at, (i, a) in enumerate(x) for j, b in x[:at])
+        return 1 / (1 + np.exp(-(model.bias + sum(model.linear[i] * a for i, a in x) + pairs)))
+
+    rows = quality.score_documents(docs, model).collect()
+    want = sorted([(i, score(t)) for i, t in enumerate(texts)] + [(-1, score("")), (3, score(texts[9])), (3, score(texts[9]))])
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["score"]) for r in rows)
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([x for _, x in got], [x for _, x in want], atol=1e-5)
+
+
 def test_classifier_edges(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = quality.learn(docs, none)
@@ -363,6 +404,31 @@ def test_shards_are_exact(docs, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
+def test_shards_by_brute_force(spark, monkeypatch):
+    """Blocks, local permutation, exchange by the matrix and second permutation, one by one; ids repeat or are missing."""
+    monkeypatch.setattr(sharding, "BLOCK_ROWS", 20)
+    rows = [(None if i % 7 == 0 else i % 50, f"text {i % 60}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    own = docs.select("doc_id", (F.length("text") + 1).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+    hashed = [F.xxhash64(F.lit(17), F.lit(salt), "doc_id", "text_crc32", "size").alias(salt) for salt in ("block", "local", "final")]
+    given = [r.asDict() for r in own.select("*", *hashed).collect()]
+    blocks = 1 + 300 // 20
+    place = lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text_crc32"], r["size"])
+    held = [sorted((r for r in given if r["block"] % blocks == b), key=lambda r: (r["local"], place(r))) for b in range(blocks)]
+    drawn = hypergeometric.matrix(random.Random(17), [len(h) for h in held], [300 // 16 + (i < 300 % 16) for i in range(16)])
+    shards = collections.defaultdict(list)
+    for h, counts in zip(held, drawn, strict=True):
+        for shard, n in enumerate(counts):
+            shards[shard] += h[:n]
+            h = h[n:]
+    want = []
+    for shard, members in shards.items():
+        order = sorted(members, key=lambda r: ((r["final"] % (1 << 64)) >> 33, r["final"], place(r)))
+        want += [(str(r["doc_id"]), r["size"], r["text_crc32"], shard, slot) for slot, r in enumerate(order)]
+    got = [(str(r["doc_id"]), r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in sharding.shard_documents(docs).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_shards_over_several_blocks_and_stretches(spark, monkeypatch):
     monkeypatch.setattr(sharding, "BLOCK_ROWS", 10)
     rows = sharding.shard_documents(spark.range(1003).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))).collect()
@@ -595,6 +661,33 @@ def test_automaton_is_minimal():
         secrets.Automaton((secrets.Rule("x", "a)b"),), floating=False)
 
 
+# all: rows that repeat, that share an id, or that have none
+
+
+def test_rows_are_told_one_by_one(spark, reference_encoding, scanner):
+    """Tokens, secrets, rules and fingerprints of rows with and without ids: as many rows as there are, each by its text."""
+    texts = ["token: abcdefgh12 " + "a b c d e f g h " * 5, None, "", "one", "naïve été " * 30]
+    rows = [(1, texts[0]), (1, texts[0]), (1, texts[4]), (None, texts[0]), (None, texts[0]), (None, texts[1]), (None, None), (2, texts[2]), (3, texts[3]), (0, texts[4])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    told = lambda df, *columns: sorted(str(tuple(r[c] for c in ("doc_id", *columns))) for r in df.collect())
+    ids = lambda t: reference_encoding.encode_ordinary(t or "")
+    want = sorted(str((i, len(ids(t)), sha(",".join(map(str, ids(t)))), sha(t or ""))) for i, t in rows)
+    assert told(bpe.digest_documents(docs, VOCABULARY, public_tokenizers.PATTERN), "n_tokens", "ids_sha256", "decoded_sha256") == want
+    kinds = [r.kind for r in secrets.BASE + secrets.MORE]
+    spans = lambda t: ",".join(f"{kinds[r]}:{s}:{e}" for s, r, e in brute_spans(t or ""))
+    assert told(secrets.scan_documents(docs), "spans") == sorted(str((i, spans(t))) for i, t in rows)
+    words = lambda t: len(WORD.findall(t or ""))
+    assert told(divergence.quality_rules(docs), "n_words", "word_chars") == sorted(str((i, words(t), sum(map(len, WORD.findall(t or ""))))) for i, t in rows)
+    # Descending ids, none last, equal ones by text.
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    want = []
+    for at, (i, t) in enumerate(order):
+        k = len(t) // 3
+        want.append(str((i, len(t), sha(t[: len(t) - k] + order[(at + 1) % len(order)][1][:k]), simhash.fingerprint(t).hex())))
+    assert told(simhash.fingerprint_documents(docs), "n_chars", "edited_sha256", "fingerprint") == sorted(want)
+
+
 # 10: mixing
 
 

@@ -64,7 +64,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if args.dataset_ids:
             chunks = golden.eligible_chunks(chunks, [int(x) for x in args.dataset_ids.split(",") if x.strip()])
         review = providers.provider("chat", args.reviewer, settings) if args.reviewer else None
-        print(run.generate(spark, settings, chunks, int(args.n), providers.provider("chat", name, settings), args.out, review, args.hard_out, args.seed))
+        print(run.generate(spark, settings, chunks, int(args.n), providers.provider("chat", name, settings), args.out, review, args.hard_out, args.seed, retries=settings.judge_retries, longest=settings.judge_longest_wait))
     else:
         run.ingest(spark, settings, args.collection, args.manifest, args.limit).select("chunk_id").show()
     return 0

@@ -38,7 +38,7 @@ def vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def dimensions(df: DataFrame, key: str) -> DataFrame:
-    """(key, index, weight): the dimensions over 0.1."""
+    """(key, index, weight): the dimensions over 0.1. Sparse scores are products of these, not of whole vectors."""
     return df.select(key, F.posexplode("vector").alias("index", "weight")).where("weight > 0.1").withColumn("weight", F.col("weight").cast("double"))
 
 

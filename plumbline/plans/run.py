@@ -64,6 +64,31 @@ def evaluate(spark: SparkSession, settings: Settings, golden_path: str, response
     return {"buckets": saved, "quality": quality, "deltas": deltas, "summary": report.summary(whole, quality)}
 
 
+def assemble(settings: Settings, asked: dict[str, DataFrame], corpus: dict[str, DataFrame], top_k: int | None = None) -> DataFrame:
+    """Route hits of the settings' routes, in their order, each with its own top_k and threshold.
+
+    asked and corpus hold what a route needs by its name: texts for bm25, vectors for dense, weights for sparse. With
+    top_k, every route gives so many and no threshold holds: the pool that a grid of settings is cut from.
+    """
+    fields = [retrieve.Field(f.tokens, length, boost) for f, length, boost in zip(retrieve.COARSE_AND_FINE, (settings.bm25_coarse_length, settings.bm25_fine_length), (settings.bm25_coarse_boost, 1.0), strict=True)]
+    makers = {
+        "bm25": lambda own, held, k, least: retrieve.top(retrieve.bm25(own, held, k, k1=settings.bm25_k1, b=settings.bm25_b, fields=fields), k, "bm25", least),
+        "dense": lambda own, held, k, least: retrieve.dense(own, held, k, least), "sparse": lambda own, held, k, least: retrieve.sparse(own, held, k, least),
+    }
+    unknown = [name for name in settings.routes if name not in makers]
+    if unknown:
+        raise NotImplementedError(f"no such route: {', '.join(unknown)}")
+    depth = lambda name: top_k or settings.route_top_ks.get(name, settings.top_k)
+    least = lambda name: None if top_k else settings.route_score_thresholds.get(name, settings.score_threshold)
+    return retrieve.merge_routes(*[makers[name](asked[name], corpus[name], depth(name), least(name)) for name in settings.routes])
+
+
+def cache_routes(spark: SparkSession, settings: Settings, asked: dict[str, DataFrame], corpus: dict[str, DataFrame], top_k: int, out: str) -> DataFrame:
+    """The pool of all routes, written once; every setting of a grid is evaluated over it."""
+    assemble(settings, asked, corpus, top_k).write.mode("overwrite").parquet(out)
+    return spark.read.parquet(out)
+
+
 def tune(spark: SparkSession, route_hits: DataFrame, samples: DataFrame, out: str, dense_top_ks: str = "20,50,100,150", sparse_top_ks: str = "5,10,20,30,50", dense_thresholds: str = "0,0.1,0.2,0.3,0.4,0.5", sparse_thresholds: str = "0,0.1,0.2,0.25,0.3,0.4", strategy: str = "rrf", top_k: int = 10) -> DataFrame:
     """A grid over cached route hits, all configs in one plan, written with its report."""
     configs = fusion.config_grid(spark, fusion.parse_numbers(dense_top_ks, int), fusion.parse_numbers(sparse_top_ks, int), fusion.parse_numbers(dense_thresholds), fusion.parse_numbers(sparse_thresholds))

@@ -42,6 +42,10 @@ class Settings:
     chat_model: str = ""
     judge_model: str = ""
     generator_model: str = ""
+    judge_retries: int = 6
+    judge_longest_wait: float = 30.0
+    sparse_model: str = ""
+    sparse_batch: int = 1
     ingest_batch: int = 25
     retries: int = 3
     git_sha: str = ""

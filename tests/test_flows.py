@@ -144,6 +144,21 @@ def test_run_with_corpus_and_domains(spark, tmp_path, monkeypatch, capsys):
         cli.main([*arguments, "--layer", "generation"], spark)
 
 
+def test_routes_are_assembled_and_cached(spark, tmp_path):
+    texts = lambda name, *said: spark.createDataFrame([(f"{name}{i}", x) for i, x in enumerate(said)], f"{'sample_id' if name == 'q' else 'chunk_id'} string, text string")
+    vector = lambda name, *rows: spark.createDataFrame([(f"{name}{i}", list(map(float, r))) for i, r in enumerate(rows)], f"{'sample_id' if name == 'q' else 'chunk_id'} string, vector array<double>")
+    weight = lambda name, *rows: spark.createDataFrame([(f"{name}{i}", k, w) for i, r in enumerate(rows) for k, w in r.items()], f"{'sample_id' if name == 'q' else 'chunk_id'} string, index int, weight double")
+    asked = {"bm25": texts("q", "red apple"), "dense": vector("q", (1, 0)), "sparse": weight("q", {1: 1.0})}
+    corpus = {"bm25": texts("c", "red apple pie", "red car", "blue"), "dense": vector("c", (1, 0), (0.5, 0), (0, 1)), "sparse": weight("c", {1: 0.2}, {1: 0.9}, {2: 1.0})}
+    settings = Settings(route_top_ks={"dense": 2, "bm25": 1}, route_score_thresholds={"sparse": 0.5})
+    told = lambda df: sorted((r["source"], r["route_rank"], r["chunk_id"]) for r in df.collect())
+    assert told(run.assemble(settings, asked, corpus)) == [("bm25", 0, "c0"), ("dense", 0, "c0"), ("dense", 1, "c1"), ("sparse", 0, "c1")]
+    pool = run.cache_routes(spark, settings, asked, corpus, 3, str(tmp_path / "pool"))
+    assert told(pool) == [("bm25", 0, "c0"), ("bm25", 1, "c1"), ("dense", 0, "c0"), ("dense", 1, "c1"), ("dense", 2, "c2"), ("sparse", 0, "c1"), ("sparse", 1, "c0")]
+    with pytest.raises(NotImplementedError, match="other"):
+        run.assemble(Settings(enabled_sources=("dense", "other")), asked, corpus)
+
+
 def test_limits_are_taken_before_the_shuffle(spark):
     scored = spark.createDataFrame([("s", "c", 1.0)], "sample_id string, chunk_id string, score double")
     hits = scored.withColumns({"source": F.lit("dense"), "route_rank": F.lit(0), "doc_id": F.lit(1).cast("long"), "dataset_id": F.lit(1).cast("long")})

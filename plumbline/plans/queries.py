@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import columns, text
-from plumbline.operators import aggregate, fusion, golden, markdown, metrics, rerank, retrieve, vectors
+from plumbline.operators import aggregate, fusion, golden, metrics, rerank, retrieve, vectors
 from plumbline.plans import fixtures as fx
 from plumbline.streaming.run_quality import windowed_quality
 
@@ -284,37 +284,8 @@ def abstention(spark, d):
     return _rounded(rerank.abstention(answers), "abstention_rate")
 
 
-def similarity_ratio(spark, d):
-    """Benchmark items against the next one: the matching-blocks ratio."""
-    items = fx.table(spark, d, "benchmark")
-    pairs = items.join(items.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other")), "item_id")
-    return pairs.select("item_id", text.similarity("text", "other").alias("ratio"))
-
-
-def cleaning_pairs(spark, d):
-    """Documents as Markdown, their first line a heading; produced: without it for one in three, else as it is."""
-    docs = fx.table(spark, d, "documents")
-    ref = F.concat(F.lit("# "), F.regexp_replace(F.substring("text", 1, 30), "\n", " "), F.lit("\n\n"), F.col("text"), F.lit("\n\n- a\n- b\n"))
-    made = F.when(F.col("doc_id") % 3 == 0, F.concat(F.col("text"), F.lit("\n\n- a\n"))).otherwise(ref)
-    return docs.select(F.col("doc_id").cast("string").alias("sample_id"), F.lit("md").alias("fmt"), F.col("source").alias("pdf_backend"), ref.alias("ref"), made.alias("produced"), F.lit(True).alias("ok"), F.array(made, ref).alias("repeats"), F.col("n_chars").alias("clean_ms"))
-
-
-def cleaning_scores(spark, d):
-    found = markdown.score_pairs(cleaning_pairs(spark, d))
-    return found.select("sample_id", "completeness", "noise", F.col("heading.recall").alias("heading_recall"), "list_fidelity", "order_fidelity", "stability")
-
-
-def cleaning_report(spark, d):
-    return markdown.cleaning_buckets(markdown.score_pairs(cleaning_pairs(spark, d)))
-
-
-def parsed_blocks(spark, d):
-    found = markdown.blocks_of(fx.table(spark, d, "documents").select("doc_id", "text"))
-    return found.select("doc_id", F.size("blocks").alias("n_blocks"), F.size(F.filter("blocks", lambda b: b["kind"] == "paragraph")).alias("n_paragraphs"))
-
-
 QUERIES = {f.__name__: f for f in (
     retrieval_headline, dense_topk, sparse_dot_topk, bm25_topk, route_filter, rrf_fusion, weighted_fusion, config_grid, grid_best, doc_dedup_ranks, source_overlap, metric_grouping_sets, ledger_rows, k_pivot,
     run_quality, failed_source_counts, latency_median, nearest_rank_percentiles, baseline_diff, comparability, trend_lag, noise_floor, bootstrap_interval, windowed_run_quality, model_distinctness, precheck_anti,
-    manifest_join, golden_convert_graded, chunk_ids_uuid5, content_hash, stratified_pick, group_adjacent, allot_types, sparse_vector_clean, anchor_locate, gate_cascade, spec_matrix, rerank_delta, pooled_recall, degraded_order, abstention, similarity_ratio, cleaning_scores, cleaning_report, parsed_blocks,
+    manifest_join, golden_convert_graded, chunk_ids_uuid5, content_hash, stratified_pick, group_adjacent, allot_types, sparse_vector_clean, anchor_locate, gate_cascade, spec_matrix, rerank_delta, pooled_recall, degraded_order, abstention,
 )} | {f"{n}_at_k" if n in ("recall", "precision") else "hit_at_k" if n == "hit_rate" else n: _line_metric(n) for n in ("recall", "hit_rate", "precision", "mrr", "map", "ndcg_binary", "ndcg_graded")}

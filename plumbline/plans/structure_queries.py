@@ -96,6 +96,16 @@ def stability_pairs(spark, d):
     return markdown.stability_scores(turns).select(F.col("sample_id").cast("long").alias("conv_id"), "stability")
 
 
+def pair_scores(spark, d):
+    """All scores of a document: a heading and a list item for every line; produced: without headings of 45 or more."""
+    head, item = lambda x: F.concat(F.lit("# "), _letters(x)), lambda x: F.concat(F.lit("- "), _letters(x), F.repeat(F.lit("z"), F.lit(24)))
+    items = _told("lines", item, "\n")
+    ref, made = F.concat(_told("lines", head), items), F.concat(_told(F.filter("lines", lambda x: x["quantity"] < 45), head), items)
+    pairs = _lines(spark, d).select("sample_id", F.lit("md").alias("fmt"), F.lit(None).cast("string").alias("pdf_backend"), ref.alias("ref"), made.alias("produced"), F.lit(True).alias("ok"), F.array(made, F.lit(None), ref).alias("repeats"), F.size("lines").cast("long").alias("clean_ms"))
+    found = markdown.score_pairs(pairs)
+    return found.select(F.col("sample_id").cast("long").alias("sample_id"), "ok", "clean_ms", "completeness", "noise", F.col("heading.recall").alias("heading_recall"), F.col("image.recall").alias("image_recall"), F.col("table.n_md").alias("n_md"), "list_fidelity", "order_fidelity", "stability")
+
+
 def parsed_kinds(spark, d):
     """Blocks of every kind, those that a mark makes something else among them, by kind."""
     head = "# Head ##\n####### seven\nnext line\n\n#nothing\n> one\n> two\n```JSON\n# no\n- no\n```\n"
@@ -149,7 +159,7 @@ def rendered_refs(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    heading_scores, table_scores, image_scores, list_fidelity, order_inversions, token_multiset_scores, stability_pairs, parsed_kinds, similarity_repeats, composed_tokens, cleaning_bucket_rows, reference_texts, rendered_refs,
+    heading_scores, table_scores, image_scores, list_fidelity, order_inversions, token_multiset_scores, stability_pairs, pair_scores, parsed_kinds, similarity_repeats, composed_tokens, cleaning_bucket_rows, reference_texts, rendered_refs,
 )}
 
 _H = "h AS (SELECT l_orderkey AS sample_id, l_quantity::INT AS quantity, l_returnflag = 'R' AS r, l_partkey AS part, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey, l_suppkey, l_linenumber) - 1 AS rank FROM lineitem)"
@@ -179,6 +189,8 @@ s AS (SELECT doc_id, sum(coalesce(r, 0)) AS nr, sum(coalesce(p, 0)) AS np, sum(l
 SELECT doc_id, round_even((kept / nr)::DOUBLE, 4)::DOUBLE AS completeness, round_even((extra / np)::DOUBLE, 4)::DOUBLE AS noise FROM s""",
     "stability_pairs": r"""WITH v AS (SELECT conv_id, regexp_replace(lower(left(text, 2)), '[\s　，。、；：？！“”‘’（）【】《》〈〉,.;:?!"''()\[\]{}<>—\-_*`#>|\x0b]+', '', 'g') AS v FROM conversations), c AS (SELECT conv_id, v, count(*) AS c FROM v GROUP BY ALL)
 SELECT conv_id, CASE WHEN sum(c) < 2 THEN 1.0::DOUBLE ELSE round_even((sum(c * (c - 1)) / (sum(c) * (sum(c) - 1)))::DOUBLE, 4)::DOUBLE END AS stability FROM c GROUP BY conv_id""",
+    "pair_scores": f"""WITH {_H}, k AS (SELECT sample_id, count(*) AS n, count(*) FILTER (quantity < 45) AS kept FROM h GROUP BY 1)
+SELECT sample_id, true AS ok, n AS clean_ms, round_even((kept + n) / (2 * n), 4)::DOUBLE AS completeness, 0.0::DOUBLE AS noise, round_even(kept / n, 4)::DOUBLE AS heading_recall, 1.0::DOUBLE AS image_recall, 0 AS n_md, 1.0::DOUBLE AS list_fidelity, 1.0::DOUBLE AS order_fidelity, (kept = n)::INT::DOUBLE AS stability FROM k""",
     "parsed_kinds": f"""WITH {_H}, k AS (SELECT sample_id, count(*) AS n FROM h GROUP BY 1)
 SELECT sample_id, unnest(['heading', 'paragraph', 'blockquote', 'code', 'table', 'image', 'list']) AS kind, unnest([1, 3, 2, 1, 1, 1, 2]) AS n, unnest([0, 0, 0, 0, n + 1, 0, n + 2]) AS parts, unnest([7, 33, 6, 9, 9, 11, 13 * n + 1]) AS chars FROM k""",
     "similarity_repeats": f"WITH {_H} SELECT sample_id, rank, CASE WHEN rank + quantity = 0 THEN 1.0::DOUBLE ELSE round(2.0::DOUBLE * least(rank, quantity) / (rank + quantity), 6) END AS ratio FROM h",

@@ -170,27 +170,28 @@ _MEANS = {
 }
 _MEAN_ROWS = " ".join(f"UNION ALL SELECT format, pdf_backend, count(*), '{name}', round_even(avg({column}), 4)::DOUBLE FROM l GROUP BY 1, 2" for name, column in _MEANS.items())
 
+#: Scores are rounded by their exact binary value, as printf does.
 ORACLES = {
     "heading_scores": f"""WITH {_H}, k AS (SELECT sample_id, count(*) AS n, count(*) FILTER (quantity < 45) AS kept, count(*) FILTER (quantity < 45 AND r) AS deeper, string_agg(repeat(chr(97 + rank::INT), 12), ',' ORDER BY rank) FILTER (quantity >= 45) AS missed, (sample_id % 5 = 0)::INT AS extra FROM h GROUP BY 1)
-SELECT sample_id, round(kept / n, 4) AS recall, CASE WHEN kept + extra = 0 THEN 0 ELSE round(extra / (kept + extra), 4) END::DOUBLE AS false_rate, CASE WHEN kept = 0 THEN 0 ELSE round((kept - deeper) / kept, 4) END::DOUBLE AS level_abs,
- CASE WHEN kept = 0 THEN 0 ELSE round(greatest(deeper, kept - deeper) / kept, 4) END::DOUBLE AS level_rel, coalesce(missed, '') AS missed FROM k""",
-    "table_scores": f"""WITH {_H}, k AS (SELECT sample_id, sample_id % 4 AS kind, round((3 + 3 * count(*) - count(*) FILTER (r)) / (3 + 3 * count(*)), 4) AS f1 FROM h GROUP BY 1)
+SELECT sample_id, printf('%.4f', (kept / n)::DOUBLE)::DOUBLE AS recall, CASE WHEN kept + extra = 0 THEN 0 ELSE printf('%.4f', (extra / (kept + extra))::DOUBLE)::DOUBLE END::DOUBLE AS false_rate, CASE WHEN kept = 0 THEN 0 ELSE printf('%.4f', ((kept - deeper) / kept)::DOUBLE)::DOUBLE END::DOUBLE AS level_abs,
+ CASE WHEN kept = 0 THEN 0 ELSE printf('%.4f', (greatest(deeper, kept - deeper) / kept)::DOUBLE)::DOUBLE END::DOUBLE AS level_rel, coalesce(missed, '') AS missed FROM k""",
+    "table_scores": f"""WITH {_H}, k AS (SELECT sample_id, sample_id % 4 AS kind, printf('%.4f', ((3 + 3 * count(*) - count(*) FILTER (r)) / (3 + 3 * count(*)))::DOUBLE)::DOUBLE AS f1 FROM h GROUP BY 1)
 SELECT sample_id, (kind < 2)::INT AS n_md, (kind = 3)::INT AS n_image, (kind = 2)::INT AS n_json, CASE WHEN kind < 2 THEN f1 END AS md_cell_f1, CASE WHEN kind = 2 THEN f1 END AS json_corr_f1, CASE WHEN kind = 3 THEN 1.0::DOUBLE END AS image_position_ok FROM k""",
     "image_scores": f"""WITH {_H}, x AS (SELECT *, r OR coalesce(lead(r) OVER (PARTITION BY sample_id ORDER BY rank), false) AS lost, count(*) OVER (PARTITION BY sample_id) - (sample_id % 2 = 0)::INT AS made FROM h),
 k AS (SELECT sample_id, count(*) AS n, any_value(made) AS made, count(*) FILTER (lost AND rank < made) AS lost, string_agg('img' || rank, ',' ORDER BY rank) FILTER (lost AND rank < made) AS misplaced FROM x GROUP BY 1)
-SELECT sample_id, round(made / n, 4) AS recall, 0.0::DOUBLE AS false_rate, CASE WHEN made = 0 THEN 0 ELSE round((made - lost) / made, 4) END::DOUBLE AS context_ok, coalesce(misplaced, '') AS misplaced FROM k""",
+SELECT sample_id, printf('%.4f', (made / n)::DOUBLE)::DOUBLE AS recall, 0.0::DOUBLE AS false_rate, CASE WHEN made = 0 THEN 0 ELSE printf('%.4f', ((made - lost) / made)::DOUBLE)::DOUBLE END::DOUBLE AS context_ok, coalesce(misplaced, '') AS misplaced FROM k""",
     "list_fidelity": f"""WITH {_H}, k AS (SELECT sample_id, count(*) AS n, count(*) FILTER (quantity < 30) AS m, max(rank % 2) AS deep, coalesce(max(rank % 2) FILTER (quantity < 30), 0) AS made FROM h GROUP BY 1)
-SELECT sample_id, round_even((m / n + CASE WHEN greatest(deep, made) = 0 THEN 1.0::DOUBLE ELSE least(deep, made) / greatest(deep, made) END) / 2, 4)::DOUBLE AS list_fidelity FROM k""",
+SELECT sample_id, printf('%.4f', ((m / n + CASE WHEN greatest(deep, made) = 0 THEN 1.0::DOUBLE ELSE least(deep, made) / greatest(deep, made) END) / 2)::DOUBLE)::DOUBLE AS list_fidelity FROM k""",
     "order_inversions": f"""WITH {_H}, m AS (SELECT sample_id, rank, row_number() OVER (PARTITION BY sample_id ORDER BY quantity, rank) AS made FROM h), i AS (SELECT a.sample_id, count(*) AS inv FROM m a JOIN m b ON a.sample_id = b.sample_id AND a.rank < b.rank AND a.made > b.made GROUP BY 1), n AS (SELECT sample_id, count(*) AS n FROM m GROUP BY 1)
-SELECT sample_id, CASE WHEN n < 2 THEN 1.0::DOUBLE ELSE round_even(1 - coalesce(inv, 0) / (n * (n - 1) / 2), 4)::DOUBLE END AS order_fidelity FROM n LEFT JOIN i USING (sample_id)""",
+SELECT sample_id, CASE WHEN n < 2 THEN 1.0::DOUBLE ELSE printf('%.4f', (1 - coalesce(inv, 0) / (n * (n - 1) / 2))::DOUBLE)::DOUBLE END AS order_fidelity FROM n LEFT JOIN i USING (sample_id)""",
     "token_multiset_scores": f"""WITH p AS (SELECT doc_id, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS nx FROM documents), c AS (SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest({_TOKENS.format("'x ' || coalesce(text, '')")}) AS token FROM documents) GROUP BY ALL),
 a AS (SELECT p.doc_id, token, n AS r FROM p JOIN c ON c.doc_id = p.doc_id WHERE nx IS NOT NULL), b AS (SELECT p.doc_id, token, n AS p FROM p JOIN c ON c.doc_id = p.nx),
 s AS (SELECT doc_id, sum(coalesce(r, 0)) AS nr, sum(coalesce(p, 0)) AS np, sum(least(coalesce(r, 0), coalesce(p, 0))) AS kept, sum(greatest(coalesce(p, 0) - coalesce(r, 0), 0)) AS extra FROM a FULL JOIN b USING (doc_id, token) GROUP BY doc_id)
-SELECT doc_id, round_even((kept / nr)::DOUBLE, 4)::DOUBLE AS completeness, round_even((extra / np)::DOUBLE, 4)::DOUBLE AS noise FROM s""",
+SELECT doc_id, printf('%.4f', ((kept / nr)::DOUBLE)::DOUBLE)::DOUBLE AS completeness, printf('%.4f', ((extra / np)::DOUBLE)::DOUBLE)::DOUBLE AS noise FROM s""",
     "stability_pairs": r"""WITH v AS (SELECT conv_id, regexp_replace(lower(left(text, 2)), '[\s　，。、；：？！“”‘’（）【】《》〈〉,.;:?!"''()\[\]{}<>—\-_*`#>|\x0b]+', '', 'g') AS v FROM conversations), c AS (SELECT conv_id, v, count(*) AS c FROM v GROUP BY ALL)
-SELECT conv_id, CASE WHEN sum(c) < 2 THEN 1.0::DOUBLE ELSE round_even((sum(c * (c - 1)) / (sum(c) * (sum(c) - 1)))::DOUBLE, 4)::DOUBLE END AS stability FROM c GROUP BY conv_id""",
+SELECT conv_id, CASE WHEN sum(c) < 2 THEN 1.0::DOUBLE ELSE printf('%.4f', ((sum(c * (c - 1)) / (sum(c) * (sum(c) - 1)))::DOUBLE)::DOUBLE)::DOUBLE END AS stability FROM c GROUP BY conv_id""",
     "pair_scores": f"""WITH {_H}, k AS (SELECT sample_id, count(*) AS n, count(*) FILTER (quantity < 45) AS kept FROM h GROUP BY 1)
-SELECT sample_id, true AS ok, n AS clean_ms, round_even((kept + n) / (2 * n), 4)::DOUBLE AS completeness, 0.0::DOUBLE AS noise, round_even(kept / n, 4)::DOUBLE AS heading_recall, 1.0::DOUBLE AS image_recall, 0 AS n_md, 1.0::DOUBLE AS list_fidelity, 1.0::DOUBLE AS order_fidelity, (kept = n)::INT::DOUBLE AS stability FROM k""",
+SELECT sample_id, true AS ok, n AS clean_ms, printf('%.4f', ((kept + n) / (2 * n))::DOUBLE)::DOUBLE AS completeness, 0.0::DOUBLE AS noise, printf('%.4f', (kept / n)::DOUBLE)::DOUBLE AS heading_recall, 1.0::DOUBLE AS image_recall, 0 AS n_md, 1.0::DOUBLE AS list_fidelity, 1.0::DOUBLE AS order_fidelity, (kept = n)::INT::DOUBLE AS stability FROM k""",
     "parsed_kinds": f"""WITH {_H}, k AS (SELECT sample_id, count(*) AS n FROM h GROUP BY 1)
 SELECT sample_id, unnest(['heading', 'paragraph', 'blockquote', 'code', 'table', 'image', 'list']) AS kind, unnest([1, 3, 2, 1, 1, 1, 2]) AS n, unnest([0, 0, 0, 0, n + 1, 0, n + 2]) AS parts, unnest([7, 33, 6, 9, 9, 11, 13 * n + 1]) AS chars FROM k""",
     "similarity_repeats": f"WITH {_H} SELECT sample_id, rank, CASE WHEN rank + quantity = 0 THEN 1.0::DOUBLE ELSE round(2.0::DOUBLE * least(rank, quantity) / (rank + quantity), 6) END AS ratio FROM h",

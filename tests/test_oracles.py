@@ -33,6 +33,5 @@ def test_query_equals_sql(spark, connection, name):
     assert collections.Counter(repr([plain(r[c]) for c in names]) for r in df.collect()) == want
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
-def test_other_queries_run(spark, name):
-    assert catalogue.QUERIES[name](spark, TABLES).count() > 0
+def test_every_query_has_its_sql():
+    assert set(catalogue.QUERIES) == set(catalogue.ORACLES)

@@ -72,16 +72,18 @@ def statistics(docs: DataFrame) -> DataFrame:
     df = df.withColumn("lower", F.col("n_chars") - F.col("space") - F.length("rest"))
     other = F.length("rest") - F.col("upper") - F.col("digit") - F.col("n_symbols") - F.col("point")
     chars = F.array(*[c.cast("long") for c in (F.col("lower"), F.col("upper"), F.col("digit"), F.col("space"), F.col("n_symbols"), F.col("point"), other)])
-    df = df.withColumn("said", F.concat(F.lit(" "), F.lower("joined"), F.lit(" ")))
-
-    def counts(listed: tuple[str, ...]) -> Column:
-        each = [((F.length("said") - F.length(F.replace("said", F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("long") for w in listed]
-        return F.array(*each)
-
-    found = counts(next(iter(COMMON.values())))
-    for language, listed in COMMON.items():
-        found = F.when(F.col("language") == language, counts(listed)).otherwise(found)
-    df = df.withColumn("found", found)
+    # Listed words are short; of the few that pass, each is counted.
+    short = lambda listed: F.filter("words", lambda w: (F.octet_length(w) <= max(map(len, listed))) & F.lower(w).isin(*listed))
+    count = lambda w: F.size(F.filter("common", lambda x: x == w)).cast("long")
+    counts = lambda listed: F.array(*map(count, listed))
+
+    def by_language(of: Callable) -> Column:
+        found = of(next(iter(COMMON.values())))
+        for language, listed in COMMON.items():
+            found = F.when(F.col("language") == language, of(listed)).otherwise(found)
+        return found
+
+    df = df.withColumn("common", F.transform(by_language(short), lambda w: F.lower(w))).withColumn("found", by_language(counts))
     df = df.withColumn("words_hist", F.concat("found", F.array(F.col("n_words") - F.aggregate("found", F.lit(0).cast("long"), lambda s, x: s + x))))
     df = df.withColumn("chars", chars).select("doc_id", "language", "words", "n_words", "word_chars", "n_symbols", "n_dup_lines", "chars", "words_hist")
     return _repeated_words(df).drop("words")

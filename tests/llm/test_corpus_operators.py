@@ -4,10 +4,12 @@ further columns whose names clash with the operators' own, and on empty tables."
 import base64
 import collections
 import hashlib
+import os
 import random
 import re
 import time
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -15,7 +17,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, divergence, hypergeometric, linededup, mixing, neardup, quality, repeats, secrets, sharding, simhash
+from plumbline.llm import bpe, common, divergence, hypergeometric, linededup, mixing, neardup, quality, repeats, secrets, sharding, simhash
 from plumbline.llm.components import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -661,6 +663,20 @@ def test_automaton_is_minimal():
         secrets.Automaton((secrets.Rule("x", "a)b"),), floating=False)
 
 
+# all: the shared folder, and tables in it
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    none = SimpleNamespace(get=lambda *given: None)
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: none), conf=none)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(cluster)
+    table = common.written(spark.range(3).withColumnRenamed("id", "x"), "some")
+    assert table.count() == 3 and os.path.isdir(table.written_to)
+    common.forget(table)
+    assert not os.path.exists(table.written_to)
+
+
 # all: rows that repeat, that share an id, or that have none
 
 

@@ -24,8 +24,12 @@ BROADCAST_QUERIES, SENT_VECTORS, STEP = 50_000, 64 << 20, 4 << 20
 K1, B, COARSE_LENGTH, FINE_LENGTH, COARSE_BOOST = 1.2, 0.75, 200.0, 220.0, 2.0
 
 
+def _few(df: DataFrame) -> bool:
+    return df.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+
+
 def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES else df
+    return F.broadcast(df) if _few(df) else df
 
 
 def top(scored: DataFrame, top_k: int, source: str, threshold: float | None = None) -> DataFrame:
@@ -104,11 +108,16 @@ class Field:
 COARSE_AND_FINE = (Field(tokens, COARSE_LENGTH, COARSE_BOOST), Field(search_tokens, FINE_LENGTH))
 
 
-def _statistics(corpus: DataFrame, wanted: DataFrame, field: Field) -> DataFrame:
+def _once(df: DataFrame) -> DataFrame:
+    """A table of no more rows than the queries' tokens, computed now and not again in every plan that reads it."""
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+
+
+def _statistics(corpus: DataFrame, wanted: DataFrame, field: Field, sent: Callable) -> DataFrame:
     """(token, df, words) of the wanted tokens, and of an empty token that stands for all texts: one pass."""
     said = corpus.select(field.tokens(F.col("text")).alias("t")).select(F.size("t").cast("long").alias("words"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("t"))).alias("token"))
-    asked = wanted.unionByName(wanted.sparkSession.range(1).select(F.lit("").alias("token")))
-    return said.join(_small(asked), "token").groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("words").alias("words"))
+    every = wanted.unionByName(wanted.sparkSession.range(1).select(F.lit("").alias("token")))
+    return said.join(sent(every), "token").groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("words").alias("words"))
 
 
 def bm25(queries: DataFrame, corpus: DataFrame, top_k: int = 10, tokens=search_tokens, k1: float = K1, b: float = B, mean_length: float | None = None, fields: Sequence[Field] | None = None) -> DataFrame:
@@ -121,18 +130,21 @@ def bm25(queries: DataFrame, corpus: DataFrame, top_k: int = 10, tokens=search_t
     """
     fields = fields or (Field(tokens, mean_length),)
     asked = queries.select("sample_id", F.explode(F.array_distinct(fields[0].tokens(F.col("text")))).alias("token"))
-    wanted = asked.select("token").distinct()
-    weighed = None
+    few = _few(asked)
+    asked = _once(asked) if few else asked
+    sent = F.broadcast if few else lambda df: df
+    wanted, weighed = asked.select("token").distinct(), None
     for field in fields:
-        counted = _statistics(corpus, wanted, field)
+        counted = _statistics(corpus, wanted, field, sent)
+        counted = _once(counted) if few else counted
         every = counted.where("token = ''").select(F.col("df").alias("docs"), (F.col("words") / F.col("df")).alias("mean"))
-        found = corpus.select("chunk_id", field.tokens(F.col("text")).alias("t")).select("chunk_id", F.explode("t").alias("token"), F.size("t").alias("length")).join(_small(wanted), "token")
+        found = corpus.select("chunk_id", field.tokens(F.col("text")).alias("t")).select("chunk_id", F.explode("t").alias("token"), F.size("t").alias("length")).join(sent(wanted), "token")
         mean = F.col("mean") if field.mean_length is None else F.lit(field.mean_length)
         tf = found.groupBy("chunk_id", "token", "length").agg(F.count(F.lit(1)).alias("tf")).join(F.broadcast(every))  # one row
         part = tf.select("chunk_id", "token", (field.boost * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))).alias("part"))
         weighed = part if weighed is None else weighed.unionByName(part)
     rare = counted.where("token <> ''").join(F.broadcast(every)).select("token", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    parts = weighed.join(_small(rare.join(asked, "token")), "token").select("sample_id", "chunk_id", F.round(F.col("idf") * F.col("part"), 12).cast("decimal(28,12)").alias("part"))
+    parts = weighed.join(sent(rare.join(asked, "token")), "token").select("sample_id", "chunk_id", F.round(F.col("idf") * F.col("part"), 12).cast("decimal(28,12)").alias("part"))
     return top(parts.groupBy("sample_id", "chunk_id").agg(F.sum("part").cast("double").alias("score")), top_k, "bm25")
 
 

@@ -191,3 +191,10 @@ def test_passages_are_numbered_over_ranges(spark, monkeypatch):
     got = {r["source_id"]: r["doc_id"] for r in numbered.collect()}
     assert got == {s: 500 + i for i, s in enumerate(sorted(got))} and len(got) == 203
     assert golden.number_passages(rows.where("id < 0"), 0).count() == 0
+
+
+def test_bm25_without_queries_or_texts(spark):
+    texts = lambda name, *rows: spark.createDataFrame(rows, f"{name} string, text string")
+    corpus = texts("chunk_id", ("c", "red apple"), ("d", None))
+    assert retrieve.bm25(texts("sample_id"), corpus).count() == 0 and retrieve.bm25(texts("sample_id", ("q", "red")), texts("chunk_id")).count() == 0
+    assert [r["chunk_id"] for r in retrieve.bm25(texts("sample_id", ("q", "red"), ("r", None)), corpus).collect()] == ["c"]

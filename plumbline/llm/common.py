@@ -67,3 +67,23 @@ def with_columns(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
             yield part.column(0).to_pylist(), part.column(1).to_pylist()
+
+
+#: A group of over one in so many of all rows is large; there are fewer large groups than that.
+LARGE = 10_000
+
+
+def join_uneven(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, by: str) -> DataFrame:
+    """rows left-joined to groups by keys that groups have once, where any share of the rows may belong to one group.
+
+    size names the column of groups with the number of their rows, total is that of all rows. Groups of over
+    total / LARGE rows are fewer than LARGE and are sent to every task; the others are joined by a shuffle, in which
+    rows of large groups are dealt out by the column by. Columns of groups, but keys and size, are added to rows.
+    """
+    names = [c for c in groups.columns if c not in keys and c != size]
+    large = F.col(size) * LARGE > total
+    sent = groups.where(large).select(*keys, F.struct(*names).alias("_sent"))
+    other = groups.where(~large).select(*keys, F.lit(0).cast("long").alias("_spread"), F.struct(*names).alias("_met"))
+    spread = F.when(F.col("_sent").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(by), F.lit(1 << 30)))
+    found = rows.join(F.broadcast(sent), keys, "left").withColumn("_spread", spread).join(other, [*keys, "_spread"], "left")
+    return found.select(*rows.columns, *[F.coalesce(F.col("_sent")[c], F.col("_met")[c]).alias(c) for c in names])

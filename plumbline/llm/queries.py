@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe, divergence, linededup, mixing, neardup, quality, repeats, secrets, sharding, simhash
+from plumbline.llm import audit, bpe, divergence, linededup, mixing, neardup, quality, repeats, resampling, secrets, sharding, simhash, vectorjoin
 from plumbline.llm.oracles import ORACLES
 
 #: The vocabulary of the BPE query; a file that the tokenizers' package brings.
@@ -60,6 +60,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"), keep=["doc_id"]).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorjoin.near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -72,6 +84,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_secret_scan": op9_secret_scan,
         "op10_mixing": op10_mixing,
+        "op11_grid_join": op11_grid_join,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_resampling": op13_resampling,
     }
 
 

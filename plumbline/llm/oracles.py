@@ -80,4 +80,43 @@ p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source, block ORDER BY h,
 SELECT p.doc_id, p.size, q.source_size, q.target, list_sum(list_transform(z.drawn, lambda w: greatest(0, least(p.size, w - p.first_word))))::BIGINT AS taken
 FROM p JOIN z ON z.block = p.block AND z.source IS NOT DISTINCT FROM p.source JOIN q ON q.source IS NOT DISTINCT FROM p.source"""
 
-ORACLES = {"op2_minhash": _MINHASH, "op3_repeats": _REPEATS, "op4_divergence": _divergence(), "op8_line_dedup": _LINES, "op10_mixing": _MIXING}
+_GRID = """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+ WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id, vec_id AS r FROM embeddings UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON links.a = reach.r),
+c AS (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY 1), n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)"""
+
+_AUDIT = f"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+f AS (SELECT doc_id, part, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t))::INT
+ + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * (doc_id > min(doc_id) OVER (PARTITION BY t))::INT AS mask FROM d),
+g AS (SELECT part, mask, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic, count(*) AS n FROM f LEFT JOIN labels USING (doc_id) GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+p AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM l a JOIN l b ON b.x <> a.x JOIN l c ON c.x NOT IN (a.x, b.x) JOIN l d ON d.x NOT IN (a.x, b.x, c.x) JOIN l e ON e.x NOT IN (a.x, b.x, c.x, d.x)),
+s AS (SELECT filter_order, i AS step, bits[i] AS bit, coalesce(list_sum(bits[1:i - 1]), 0)::INT AS before FROM p, range(1, 6) AS t(i)),
+r AS (SELECT part, filter_order, step::INT AS step, bit, coalesce(sum(n) FILTER (mask & (before + bit) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS removed,
+ coalesce(sum(n) FILTER (mask & before > 0 AND mask & bit > 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+ coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit > 0 AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit > 0 AND toxic), 0)::BIGINT AS toxic_lost FROM g, s GROUP BY ALL)
+SELECT * EXCLUDE (bit), sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM r"""
+
+_DRAWN = f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT unnest(regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS x FROM benchmark),
+o AS (SELECT doc_id, unnest(w) AS x FROM d),
+bits AS (SELECT n AS i, n AS c, 0 AS k FROM range(256) AS t(n) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS table_ FROM bits WHERE k = 8),
+h AS (SELECT x, hex(encode(x)) AS h, 0 AS i, 4294967295::BIGINT AS c FROM (SELECT x FROM o UNION SELECT x FROM b)
+ UNION ALL SELECT x, h, i + 1, xor(c >> 8, table_[xor(c & 255, ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT) + 1]) FROM h, crc WHERE 2 * i < length(h)),
+v AS (SELECT x, xor(c, 4294967295) % 10000 AS bucket FROM h WHERE 2 * i = length(h)),
+s AS (SELECT bucket, count(*) AS s FROM o JOIN v USING (x) GROUP BY 1), t AS (SELECT bucket, count(*) AS t FROM b JOIN v USING (x) GROUP BY 1),
+z AS (SELECT (SELECT count(*) FROM o)::DOUBLE + 10000 AS s, (SELECT count(*) FROM b)::DOUBLE + 10000 AS t),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t.t, 0)::DOUBLE + 1) * z.s / ((s.s::DOUBLE + 1) * z.t)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket), z),
+m AS (SELECT doc_id, sum(gain)::BIGINT AS gain, count(*) AS n FROM o JOIN v USING (x) JOIN g USING (bucket) GROUP BY 1),
+k AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce((gain - ((gain % n) + n) % n) // n, 0)::BIGINT AS weight FROM d LEFT JOIN m USING (doc_id)),
+q AS (SELECT *, weight + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM k),
+e AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM q WHERE n_features >= 20)
+SELECT q.doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM q LEFT JOIN e USING (doc_id)"""
+
+ORACLES = {
+    "op2_minhash": _MINHASH, "op3_repeats": _REPEATS, "op4_divergence": _divergence(), "op8_line_dedup": _LINES, "op10_mixing": _MIXING,
+    "op11_grid_join": _GRID, "op12_filter_audit": _AUDIT, "op13_resampling": _DRAWN,
+}

@@ -38,6 +38,18 @@ def round4(value: Column) -> Column:
     return F.bround(value, 4)
 
 
+def exact4(value: Column) -> Column:
+    """Four places, rounded by the number's exact binary value, half to even: as one rounds outside of decimal columns.
+
+    The number is split so that both parts times 10,000 are exact; not for numbers over 10**8.
+    """
+    high = value * F.lit(134217729.0) - (value * F.lit(134217729.0) - value)
+    whole = F.floor(high * 10000.0)
+    over = (high * 10000.0 - whole - 0.5) + (value - high) * 10000.0
+    up = (over > 0) | ((over == 0) & (F.pmod(whole, F.lit(2)) == 1))
+    return (whole + up.cast("long")) / F.lit(10000.0)
+
+
 def bucket(user_id: Column, buckets: int = 16) -> Column:
     """The vector bucket that a user's points are kept in."""
     return F.pmod(F.crc32(user_id.cast("string").cast("binary")), F.lit(buckets))

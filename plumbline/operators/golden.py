@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions.alignment import bit_masks, common_length
 from plumbline.functions.text import ngrams, normalise, ratio
 
 #: Question types, their shares of a set, in order.
@@ -171,15 +172,6 @@ def gate_rates(decided: DataFrame) -> DataFrame:
     return decided.agg(F.count(F.lit(1)).alias("n"), *[F.bround(F.try_divide(F.count_if(F.col("decision") == d), F.count(F.lit(1))), 4).alias(f"{d}_rate") for d in ("passed", "hard", "dropped")])
 
 
-def _common(masks: dict[str, int], full: int, window: str) -> int:
-    """The length of the longest common subsequence, from the bits at which a text has each character."""
-    row = full
-    for c in window:
-        both = row & masks.get(c, 0)
-        row = ((row + both) | (row - both)) & full
-    return (full ^ row).bit_count()
-
-
 def most_alike(a: str, t: str, least: float = 0.0, enough: float = 1.0) -> float:
     """The greatest ratio of a and a part of t of its length, at every offset; parts at the end of t may be shorter.
 
@@ -201,13 +193,10 @@ def most_alike(a: str, t: str, least: float = 0.0, enough: float = 1.0) -> float
         bound = 2.0 * shared / (n + min(n, len(t) - i))
         if bound >= least:
             bounds.append((bound, i))
-    masks: dict[str, int] = {}
-    for at, c in enumerate(a):
-        masks[c] = masks.get(c, 0) | 1 << at
-    closer = []
+    masks, closer = bit_masks(a), []
     for _, i in bounds:
         window = t[i : i + n]
-        bound = 2.0 * _common(masks, (1 << n) - 1, window) / (n + len(window))
+        bound = 2.0 * common_length(masks, (1 << n) - 1, window) / (n + len(window))
         if bound >= least:
             closer.append((bound, i))
     best = 0.0

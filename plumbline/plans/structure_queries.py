@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions import text
+from plumbline.functions import alignment, text
 from plumbline.operators import markdown
 from plumbline.plans import fixtures as fx
 
@@ -78,6 +78,15 @@ def order_inversions(spark, d):
     return _scored(spark, d, "order", _told("lines", _letters), _told(by_quantity, _letters))
 
 
+def aligned_blocks(spark, d):
+    """Lines by price against the same lines by quantity, each two runs of letters: the ratio of two is in their runs, often near 0.6 or tied."""
+    runs = lambda a, b: F.concat(F.repeat(F.lit("a"), a.cast("int")), F.repeat(F.lit("b"), b.cast("int")))
+    by_quantity = F.array_sort(F.transform("lines", lambda x: F.struct((x["quantity"] % 10).alias("last"), x["rank"].alias("rank"), x["quantity"].alias("quantity"))))
+    ref, made = F.transform("lines", lambda x: runs(x["quantity"], x["rank"] * 4 + 1)), F.transform(by_quantity, lambda x: runs(x["quantity"] % 20 + 5, x["quantity"] % 7 * 3 + 1))
+    pairs = _lines(spark, d).select("sample_id", F.explode(alignment.aligned(ref, made, markdown.SAME)).alias("p"))
+    return pairs.select("sample_id", "p.i", "p.j")
+
+
 def token_multiset_scores(spark, d):
     """Documents, each as one paragraph, against the next of their source: tokens kept, and tokens added."""
     flat = F.concat(F.lit("x "), F.regexp_replace(F.coalesce("text", F.lit("")), r"[\s\x0b\x1c-\x1f\x85  ]+", " "))
@@ -159,7 +168,7 @@ def rendered_refs(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    heading_scores, table_scores, image_scores, list_fidelity, order_inversions, token_multiset_scores, stability_pairs, pair_scores, parsed_kinds, similarity_repeats, composed_tokens, cleaning_bucket_rows, reference_texts, rendered_refs,
+    heading_scores, table_scores, image_scores, list_fidelity, order_inversions, aligned_blocks, token_multiset_scores, stability_pairs, pair_scores, parsed_kinds, similarity_repeats, composed_tokens, cleaning_bucket_rows, reference_texts, rendered_refs,
 )}
 
 _H = "h AS (SELECT l_orderkey AS sample_id, l_quantity::INT AS quantity, l_returnflag = 'R' AS r, l_partkey AS part, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey, l_suppkey, l_linenumber) - 1 AS rank FROM lineitem)"
@@ -184,6 +193,13 @@ SELECT sample_id, printf('%.4f', (made / n)::DOUBLE)::DOUBLE AS recall, 0.0::DOU
 SELECT sample_id, printf('%.4f', ((m / n + CASE WHEN greatest(deep, made) = 0 THEN 1.0::DOUBLE ELSE least(deep, made) / greatest(deep, made) END) / 2)::DOUBLE)::DOUBLE AS list_fidelity FROM k""",
     "order_inversions": f"""WITH {_H}, m AS (SELECT sample_id, rank, row_number() OVER (PARTITION BY sample_id ORDER BY quantity, rank) AS made FROM h), i AS (SELECT a.sample_id, count(*) AS inv FROM m a JOIN m b ON a.sample_id = b.sample_id AND a.rank < b.rank AND a.made > b.made GROUP BY 1), n AS (SELECT sample_id, count(*) AS n FROM m GROUP BY 1)
 SELECT sample_id, CASE WHEN n < 2 THEN 1.0::DOUBLE ELSE printf('%.4f', (1 - coalesce(inv, 0) / (n * (n - 1) / 2))::DOUBLE)::DOUBLE END AS order_fidelity FROM n LEFT JOIN i USING (sample_id)""",
+    "aligned_blocks": f"""WITH RECURSIVE {_H}, m AS (SELECT sample_id, row_number() OVER (PARTITION BY sample_id ORDER BY quantity % 10, rank) - 1 AS j, quantity % 20 + 5 AS r, quantity % 7 * 3 + 1 AS s FROM h),
+d AS (SELECT sample_id, list({{'p': quantity, 'q': rank * 4 + 1}} ORDER BY rank) AS refs FROM h GROUP BY 1), e AS (SELECT sample_id, list({{'j': j, 'r': r, 's': s}} ORDER BY j) AS mades FROM m GROUP BY 1),
+step AS (SELECT sample_id, 0 AS i, NULL::BIGINT AS j, []::BIGINT[] AS used FROM d UNION ALL
+ SELECT sample_id, i + 1, best.j, CASE WHEN best IS NULL THEN used ELSE list_append(used, best.j) END FROM (SELECT step.sample_id, step.i, used, list_max(list_transform(list_filter(mades, lambda x: NOT list_contains(used, x.j)
+  AND 2.0::DOUBLE * (least(x.r, refs[i + 1].p) + least(x.s, refs[i + 1].q)) / (x.r + x.s + refs[i + 1].p + refs[i + 1].q) >= 0.6::DOUBLE), lambda x: {{'alike': 2.0::DOUBLE * (least(x.r, refs[i + 1].p) + least(x.s, refs[i + 1].q)) / (x.r + x.s + refs[i + 1].p + refs[i + 1].q), 'j': x.j}})) AS best
+ FROM step JOIN d USING (sample_id) JOIN e USING (sample_id) WHERE i < len(refs)))
+SELECT sample_id, (i - 1)::INT AS i, j::INT AS j FROM step WHERE j IS NOT NULL""",
     "token_multiset_scores": f"""WITH p AS (SELECT doc_id, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS nx FROM documents), c AS (SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest({_TOKENS.format("'x ' || coalesce(text, '')")}) AS token FROM documents) GROUP BY ALL),
 a AS (SELECT p.doc_id, token, n AS r FROM p JOIN c ON c.doc_id = p.doc_id WHERE nx IS NOT NULL), b AS (SELECT p.doc_id, token, n AS p FROM p JOIN c ON c.doc_id = p.nx),
 s AS (SELECT doc_id, sum(coalesce(r, 0)) AS nr, sum(coalesce(p, 0)) AS np, sum(least(coalesce(r, 0), coalesce(p, 0))) AS kept, sum(greatest(coalesce(p, 0) - coalesce(r, 0), 0)) AS extra FROM a FULL JOIN b USING (doc_id, token) GROUP BY doc_id)

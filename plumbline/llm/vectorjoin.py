@@ -200,8 +200,8 @@ class _Side:
 class Compared:
     """Links of two blocks, or of one with itself: how many each vector has, and a forest of them."""
 
-    def __init__(self, x: _Side, y: _Side, threshold: float, same: bool):
-        self.x, self.y, self.threshold, self.same = x, y, threshold, same
+    def __init__(self, x: _Side, y: _Side, threshold: float, same: bool, leaf: int):
+        self.x, self.y, self.threshold, self.same, self.most = x, y, threshold, same, leaf
         self.reach = 2 - 2 * threshold + OFF
         self.links = [np.zeros(len(x.n), np.int64), np.zeros(len(y.n), np.int64)]
         # Components among the rows of both sides; of a block with itself, of one.
@@ -215,10 +215,10 @@ class Compared:
         gap = np.maximum(np.maximum(low - other_high, other_low - high), 0)
         if gap @ gap > self.reach:
             return
-        if b - a <= LEAF and d - c <= LEAF:
+        if b - a <= self.most and d - c <= self.most:
             self.leaf(a, b, c, d)
             return
-        halves = lambda i, j: [(i, j)] if j - i <= LEAF else [(i, (i + j) // 2), ((i + j) // 2, j)]
+        halves = lambda i, j: [(i, j)] if j - i <= self.most else [(i, (i + j) // 2), ((i + j) // 2, j)]
         for i, j in halves(a, b):
             for k, m in halves(c, d):
                 if not self.same or i <= k:
@@ -258,7 +258,7 @@ def _compare(axes: dict[int, np.ndarray], threshold: float, double: bool):
                 a, b, d = (row[c].as_py() for c in ("a", "b", "d"))
                 x = _Side(row["raw_a"].as_buffer(), d, row["n_a"].values.to_numpy(), axes, double)
                 y = x if a == b else _Side(row["raw_b"].as_buffer(), d, row["n_b"].values.to_numpy(), axes, double)
-                found = Compared(x, y, threshold, a == b)
+                found = Compared(x, y, threshold, a == b, LEAF)
                 if not found.forest:
                     continue
                 held = [np.flatnonzero(k) for k in found.links]

@@ -231,7 +231,8 @@ def draw_wanted(rows, target, longest=1, percent=10, least=20):
 
 @pytest.mark.parametrize(("longest", "percent"), [(1, 10), (2, 75)])
 def test_draw_equals_brute_force(spark, monkeypatch, longest, percent):
-    monkeypatch.setattr(resampling, "SLICE", 16)
+    for name, value in (("BLOCK", 16), ("POSTINGS", 100), ("RANGES", 3)):
+        monkeypatch.setattr(resampling, name, value)
     rows, target = draw_rows(), [(0, "the queue of W1 w2 w3"), (1, None), (2, "été " * 50)]
     docs = with_extra(spark.createDataFrame(rows, "doc_id long, text string")).repartition(5)
     found = resampling.resample(docs, with_extra(spark.createDataFrame(target, "item_id long, text string")), longest=longest, percent=percent)

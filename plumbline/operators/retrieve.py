@@ -11,27 +11,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from plumbline.functions.text import search_tokens, tokens
+from plumbline.operators import scoring
 
-#: Rows of queries up to which they are broadcast; bytes of query vectors that are sent at a time; scores of a step.
-BROADCAST_QUERIES, SENT_VECTORS, STEP = 50_000, 64 << 20, 4 << 20
+#: Bytes of queries that are sent at a time; scores of a step.
+SENT_VECTORS, STEP = 64 << 20, 4 << 20
 #: Fixed values of the BM25 encoder: term saturation, length weight, fixed mean lengths of coarse and fine tokens, and
 #: the weight of coarse ones.
 K1, B, COARSE_LENGTH, FINE_LENGTH, COARSE_BOOST = 1.2, 0.75, 200.0, 220.0, 2.0
 
 
-def _few(df: DataFrame) -> bool:
-    return df.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-
-
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if _few(df) else df
-
-
 def top(scored: DataFrame, top_k: int, source: str, threshold: float | None = None) -> DataFrame:
     """Route hits of (sample_id, chunk_id, score): the first top_k by score, equal ones by id.
 
@@ -76,23 +71,71 @@ def dense(queries: DataFrame, corpus: DataFrame, top_k: int = 10, threshold: flo
     """
     asked = queries.select("sample_id", F.col("vector").cast("array<double>").alias("vector")).where("vector is not null")
     held = corpus.select("chunk_id", F.col("vector").cast("array<double>").alias("vector")).where("vector is not null")
-    size = asked.agg(F.sum(8 * F.size("vector"))).first()[0] or 0
-    blocks, out = 1 + size // SENT_VECTORS, None
-    schema = queries.select("sample_id").join(corpus.select("chunk_id", F.lit(0.0).alias("score"))).schema
+    size = asked.agg(F.max(8 * F.size("vector"))).first()[0] or 0
+    schema, out = _hits(queries, corpus), []
+    for own in _blocks(asked, size):
+        vectors = np.concatenate([c.flatten().to_numpy() for c in own.column(1).chunks]).reshape(own.num_rows, -1)
+        out.append(_nearest(held, pa.concat_arrays(own.column(0).chunks), vectors, top_k, schema))
+    return top(_all(out, queries.sparkSession, schema), top_k, "dense", threshold)
+
+
+def _blocks(asked: DataFrame, size: int) -> Iterator[pa.Table]:
+    """Rows of sample_id and others, all rows of a sample at once: at most about SENT_VECTORS bytes at a time."""
+    blocks = 1 + asked.count() * size // SENT_VECTORS
     for block in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("sample_id"), F.lit(blocks)) == block).toArrow().combine_chunks()
+        own = asked.where(F.col("sample_id").isNotNull() & (F.pmod(F.xxhash64("sample_id"), F.lit(blocks)) == block)).toArrow().combine_chunks()
         if own.num_rows:
-            vectors = np.concatenate([c.flatten().to_numpy() for c in own.column(1).chunks]).reshape(own.num_rows, -1)
-            hits = _nearest(held, pa.concat_arrays(own.column(0).chunks), vectors, top_k, schema)
-            out = hits if out is None else out.unionByName(hits)
-    return top(queries.sparkSession.createDataFrame([], schema) if out is None else out, top_k, "dense", threshold)
+            yield own
+
+
+def _all(parts: list[DataFrame], spark: SparkSession, schema) -> DataFrame:
+    out = spark.createDataFrame([], schema) if not parts else parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _hits(queries: DataFrame, corpus: DataFrame) -> T.StructType:
+    return T.StructType([queries.schema["sample_id"], corpus.schema["chunk_id"], T.StructField("score", T.DoubleType())])
+
+
+def _numbered(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """(distinct values, which of them each row has)."""
+    coded = pa.concat_arrays(column.chunks).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def packed_rows(corpus: DataFrame) -> DataFrame:
+    """(chunk_id, indices, values) of the same, or of (chunk_id, index, weight), which costs a shuffle."""
+    if "index" not in corpus.columns:
+        return corpus.select("chunk_id", F.col("indices").cast("array<bigint>").alias("indices"), F.col("values").cast("array<double>").alias("values"))
+    both = F.collect_list(F.struct(F.col("index").cast("long").alias("index"), F.col("weight").cast("double").alias("weight"))).alias("v")
+    return corpus.where("weight is not null").groupBy("chunk_id").agg(both).select("chunk_id", F.col("v.index").alias("indices"), F.col("v.weight").alias("values"))
 
 
 def sparse(queries: DataFrame, corpus: DataFrame, top_k: int = 10, threshold: float | None = None) -> DataFrame:
-    """Inner product over shared dimensions of (sample_id, index, weight) and (chunk_id, index, weight)."""
-    q = queries.select("sample_id", "index", F.col("weight").alias("wq"))
-    met = corpus.select("chunk_id", "index", F.col("weight").alias("wc")).join(_small(q), "index")
-    return top(met.groupBy("sample_id", "chunk_id").agg(F.sum(F.round(F.col("wq") * F.col("wc"), 12).cast("decimal(28,12)")).cast("double").alias("score")), top_k, "sparse", threshold)
+    """Inner product over shared dimensions of (sample_id, index, weight) and (chunk_id, indices, values).
+
+    A row of the corpus is scored where it lies; of each query a task hands on top_k rows. Of an index that a row or
+    a query has several times, weights are added up; null weights are left out, and so are rows that share no
+    index with a query.
+    """
+    schema, held, found = _hits(queries, corpus), packed_rows(corpus), []
+    asked = queries.select("sample_id", F.col("index").cast("long").alias("index"), F.col("weight").cast("double").alias("weight")).where("weight is not null and index is not null")
+    for own in _blocks(asked, 24):
+        known, dim = np.unique(own.column(1).to_numpy(), return_inverse=True)
+        ids, query = _numbered(own.column(0))
+        lists = scoring.Lists(ids, *scoring.entries(query, dim, own.column(2).to_numpy(), len(known)), len(known))
+
+        def read(batch: pa.RecordBatch, known: np.ndarray = known) -> scoring.Rows:
+            at = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(1).offsets.to_numpy()))
+            index, weight = batch.column(1).flatten().to_numpy(zero_copy_only=False), batch.column(2).flatten().to_numpy(zero_copy_only=False)
+            place = np.minimum(np.searchsorted(known, index), len(known) - 1)
+            of = (known[place] == index) & ~np.isnan(weight)
+            return scoring.Rows(batch.column(0).to_pylist(), *scoring.entries(at[of], place[of], weight[of], len(known)))
+
+        found.append(scoring.best_rows(held.where("chunk_id is not null and size(indices) > 0"), lists, read, top_k, schema))
+    return top(_all(found, queries.sparkSession, schema), top_k, "sparse", threshold)
 
 
 @dataclass(frozen=True)
@@ -108,16 +151,49 @@ class Field:
 COARSE_AND_FINE = (Field(tokens, COARSE_LENGTH, COARSE_BOOST), Field(search_tokens, FINE_LENGTH))
 
 
-def _once(df: DataFrame) -> DataFrame:
-    """A table of no more rows than the queries' tokens, computed now and not again in every plan that reads it."""
-    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+def _token_lists(batch: pa.RecordBatch, field: int, wanted: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, token, times) of the wanted tokens in a column of token arrays."""
+    column = batch.column(field)
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    token = pc.fill_null(pc.index_in(column.flatten(), value_set=wanted), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(batch.num_rows), lengths)
+    both, times = np.unique(row[token >= 0] * len(wanted) + token[token >= 0], return_counts=True)
+    return both // len(wanted), both % len(wanted), times
+
+
+def _counts(said: DataFrame, wanted: pa.Array, fields: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(texts and words of each field, texts that hold each wanted token by the last field), summed over the tasks.
+
+    A task hands on a row for each of the wanted tokens at most.
+    """
+    sent = said.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, held = np.zeros((fields, 2), np.int64), np.zeros(len(sent.value), np.int64)
+        for batch in batches:
+            for f in range(fields):
+                lengths = pc.list_value_length(batch.column(f + 1))
+                sums[f] += (len(lengths) - lengths.null_count, pc.sum(lengths).as_py() or 0)
+            held += np.bincount(_token_lists(batch, fields, sent.value)[1], minlength=len(sent.value))
+        some = np.flatnonzero(held)
+        token = np.concatenate([-1 - np.arange(2 * fields), some])
+        yield pa.RecordBatch.from_arrays([pa.array(token, pa.int64()), pa.array(np.concatenate([sums.ravel(), held[some]]), pa.int64())], ["token", "n"])
+
+    got = said.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
+    token, n = (got.column(i).to_numpy() for i in (0, 1))
+    sums, df = np.zeros(2 * fields, np.int64), np.zeros(len(wanted), np.int64)
+    sums[-1 - token[token < 0]] = n[token < 0]
+    df[token[token >= 0]] = n[token >= 0]
+    return sums.reshape(fields, 2)[:, 0], sums.reshape(fields, 2)[:, 1], df
+
+
+def idf(docs: float, df: np.ndarray) -> np.ndarray:
+    return np.log(1 + (docs - df + 0.5) / (df + 0.5))
 
 
-def _statistics(corpus: DataFrame, wanted: DataFrame, field: Field, sent: Callable) -> DataFrame:
-    """(token, df, words) of the wanted tokens, and of an empty token that stands for all texts: one pass."""
-    said = corpus.select(field.tokens(F.col("text")).alias("t")).select(F.size("t").cast("long").alias("words"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("t"))).alias("token"))
-    every = wanted.unionByName(wanted.sparkSession.range(1).select(F.lit("").alias("token")))
-    return said.join(sent(every), "token").groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("words").alias("words"))
+def saturated(tf: np.ndarray, length: np.ndarray, mean: float, k1: float, b: float) -> np.ndarray:
+    """What tf times of a token weigh in a text of a length."""
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
 
 
 def bm25(queries: DataFrame, corpus: DataFrame, top_k: int = 10, tokens=search_tokens, k1: float = K1, b: float = B, mean_length: float | None = None, fields: Sequence[Field] | None = None) -> DataFrame:
@@ -125,27 +201,36 @@ def bm25(queries: DataFrame, corpus: DataFrame, top_k: int = 10, tokens=search_t
 
     mean_length None takes the corpus's own mean. idf is ln(1 + (n - df + 0.5) / (df + 0.5)); a token counts once
     in a query. fields read a text in several ways: a query is read as the first, documents are counted by the last,
-    and a token's weights in all fields are added. Texts are read twice for each field, for statistics of the
-    queries' tokens, which are bounded by the queries, and for the matches.
+    and a token's weights in all fields are added. Texts are read twice, for counts of the queries' tokens,
+    which are bounded by the queries, and to be scored where they lie; of each query a task hands on top_k. A corpus that
+    is asked again and again is kept as postings (index.Bm25Index).
     """
     fields = fields or (Field(tokens, mean_length),)
+    schema, found = _hits(queries, corpus), []
+    said = corpus.where("chunk_id is not null").select("chunk_id", *[f.tokens(F.col("text")).alias(f"t{i}") for i, f in enumerate(fields)])
     asked = queries.select("sample_id", F.explode(F.array_distinct(fields[0].tokens(F.col("text")))).alias("token"))
-    few = _few(asked)
-    asked = _once(asked) if few else asked
-    sent = F.broadcast if few else lambda df: df
-    wanted, weighed = asked.select("token").distinct(), None
-    for field in fields:
-        counted = _statistics(corpus, wanted, field, sent)
-        counted = _once(counted) if few else counted
-        every = counted.where("token = ''").select(F.col("df").alias("docs"), (F.col("words") / F.col("df")).alias("mean"))
-        found = corpus.select("chunk_id", field.tokens(F.col("text")).alias("t")).select("chunk_id", F.explode("t").alias("token"), F.size("t").alias("length")).join(sent(wanted), "token")
-        mean = F.col("mean") if field.mean_length is None else F.lit(field.mean_length)
-        tf = found.groupBy("chunk_id", "token", "length").agg(F.count(F.lit(1)).alias("tf")).join(F.broadcast(every))  # one row
-        part = tf.select("chunk_id", "token", (field.boost * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))).alias("part"))
-        weighed = part if weighed is None else weighed.unionByName(part)
-    rare = counted.where("token <> ''").join(F.broadcast(every)).select("token", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    parts = weighed.join(sent(rare.join(asked, "token")), "token").select("sample_id", "chunk_id", F.round(F.col("idf") * F.col("part"), 12).cast("decimal(28,12)").alias("part"))
-    return top(parts.groupBy("sample_id", "chunk_id").agg(F.sum("part").cast("double").alias("score")), top_k, "bm25")
+    for own in _blocks(asked, 64):
+        (wanted, token), (ids, query) = _numbered(own.column(1)), _numbered(own.column(0))
+        docs, words, df = _counts(said, wanted, len(fields))
+        if not df.any():
+            continue
+        means = [words[i] / docs[i] if f.mean_length is None else f.mean_length for i, f in enumerate(fields)]
+        query, token, _ = scoring.entries(query, token, np.ones(len(query)), len(wanted))
+        lists = scoring.Lists(ids, query, token, np.where(df > 0, idf(docs[-1], df), 0.0)[token], len(wanted))
+        sent, boosts = said.sparkSession.sparkContext.broadcast(wanted), [f.boost for f in fields]
+
+        def read(batch: pa.RecordBatch, sent=sent, means=means, boosts=boosts) -> scoring.Rows:
+            rows, dims, weights = [], [], []
+            for i, (mean, boost) in enumerate(zip(means, boosts, strict=True), 1):
+                row, dim, tf = _token_lists(batch, i, sent.value)
+                length = pc.fill_null(pc.list_value_length(batch.column(i)), 0).to_numpy(zero_copy_only=False)[row]
+                rows.append(row)
+                dims.append(dim)
+                weights.append(boost * saturated(tf, length, mean, k1, b))
+            return scoring.Rows(batch.column(0).to_pylist(), *scoring.entries(*map(np.concatenate, (rows, dims, weights)), len(sent.value)))
+
+        found.append(scoring.best_rows(said, lists, read, top_k, schema))
+    return top(_all(found, queries.sparkSession, schema), top_k, "bm25")
 
 
 def merge_routes(*routes: DataFrame) -> DataFrame:

@@ -55,7 +55,9 @@ def dense_hits(spark: SparkSession, d: str, top_k: int = 50) -> DataFrame:
 
 def sparse_hits(spark: SparkSession, d: str, top_k: int = 50) -> DataFrame:
     queries, corpus = vectors(spark, d)
-    return retrieve.sparse(dimensions(queries, "sample_id"), dimensions(corpus, "chunk_id"), top_k)
+    large = F.filter(F.transform("vector", lambda w, i: F.struct(i.alias("index"), w.cast("double").alias("weight"))), lambda x: x["weight"] > 0.1)
+    rows = corpus.select("chunk_id", large.alias("v")).select("chunk_id", F.col("v.index").alias("indices"), F.col("v.weight").alias("values"))
+    return retrieve.sparse(dimensions(queries, "sample_id"), rows, top_k)
 
 
 def route_hits(spark: SparkSession, d: str) -> DataFrame:

@@ -145,11 +145,11 @@ def with_inversions(rows: DataFrame, places: str) -> DataFrame:
     summed by windows; nothing is listed by pairs.
     """
     others = [c for c in rows.columns if c != places]
-    bits = F.greatest(F.lit(1), F.ceil(F.log2(F.array_max(places) + 1.0)).cast("int"))
-    keyed = rows.select(*others, places, F.monotonically_increasing_id().alias("_row"), F.coalesce(bits, F.lit(1)).alias("_bits"))
-    listed = keyed.select("_row", *others, "_bits", F.posexplode_outer(places).alias("_at", "_place")).select("*", F.explode(F.sequence(F.lit(0), F.col("_bits") - 1)).alias("_bit"))
-    listed = listed.withColumns({"_one": F.expr("shiftright(_place, _bit) & 1"), "_above": F.expr("shiftright(_place, _bit + 1)")})
-    before = Window.partitionBy("_row", "_bit", "_above").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = listed.withColumn("_ones", F.when(F.col("_one") == 0, F.sum("_one").over(before)).otherwise(0))
-    sums = [F.first(c).alias(c) for c in others]
-    return counted.groupBy("_row").agg(*sums, F.count_if((F.col("_bit") == 0) & F.col("_place").isNotNull()).alias("n"), F.sum("_ones").alias("inversions")).drop("_row")
+    bits = F.coalesce(F.ceil(F.log2(F.array_max(places) + 1.0)).cast("int"), F.lit(0))
+    keyed = rows.select(F.struct(*others, F.monotonically_increasing_id().alias("_row")).alias("_of"), places, F.sequence(F.lit(0), F.greatest(bits - 1, F.lit(0))).alias("_bits"))
+    listed = keyed.select("_of", "_bits", F.posexplode_outer(places).alias("_at", "_place")).select("_of", "_at", "_place", F.explode("_bits").alias("_bit"))
+    listed = listed.select("_of", "_at", "_place", "_bit", F.expr("shiftright(_place, _bit) & 1").alias("_one"), F.expr("shiftright(_place, _bit + 1)").alias("_above"))
+    before = Window.partitionBy("_of", "_bit", "_above").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = listed.select("_of", "_bit", "_place", F.when(F.col("_one") == 0, F.sum("_one").over(before)).otherwise(0).alias("_ones"))
+    sums = counted.groupBy("_of").agg(F.count_if((F.col("_bit") == 0) & F.col("_place").isNotNull()).alias("n"), F.sum("_ones").alias("inversions"))
+    return sums.select(*[F.col("_of")[c].alias(c) for c in others], "n", "inversions")

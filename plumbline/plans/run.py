@@ -101,8 +101,9 @@ def tune(spark: SparkSession, route_hits: DataFrame, samples: DataFrame, out: st
 
 def clean(spark: SparkSession, pairs: DataFrame, out: str, run_id: str) -> DataFrame:
     """Scores of cleaned documents: samples and buckets as files, and a report."""
-    markdown.score_pairs(pairs).write.mode("overwrite").json(f"{out}/{run_id}-samples.jsonl")
-    buckets = markdown.cleaning_buckets(markdown.score_pairs(pairs))
+    scored = markdown.score_pairs(pairs)
+    scored.write.mode("overwrite").json(f"{out}/{run_id}-samples.jsonl")
+    buckets = markdown.cleaning_buckets(spark.read.schema(scored.schema).json(f"{out}/{run_id}-samples.jsonl"))
     report.write_text(spark, report.cleaning_html(f"Cleaning {run_id}", buckets), f"{out}/{run_id}.html")
     return buckets
 

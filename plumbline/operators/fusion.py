@@ -1,13 +1,15 @@
 """Route filtering, score fusion and parameter grids as one plan.
 
 route_hits: sample_id, source, route_rank (0-based, the order that the route returned), chunk_id, doc_id,
-dataset_id, score. Every function also takes extra leading keys, so that a grid is the same plan with config_id
-beside sample_id.
+dataset_id, score. Every function also takes extra leading keys, so that a grid is the same plan with an outcome's
+set_id beside sample_id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -99,50 +101,79 @@ def source_counts(kept: DataFrame, keys: Sequence[str] = ("sample_id",)) -> Data
 
 def config_grid(spark: SparkSession, dense_top_ks: Iterable[int], sparse_top_ks: Iterable[int], dense_thresholds: Iterable[float], sparse_thresholds: Iterable[float]) -> DataFrame:
     """(config_id, dense_top_k, sparse_top_k, dense_threshold, sparse_threshold), in the order of nested loops."""
-    sides = []
-    for name, values, kind in (("dense_top_k", dense_top_ks, "int"), ("sparse_top_k", sparse_top_ks, "int"), ("dense_threshold", dense_thresholds, "double"), ("sparse_threshold", sparse_thresholds, "double")):
-        sides.append(spark.range(1).select(F.posexplode(F.array(*[F.lit(v).cast(kind) for v in values])).alias(f"{name}_at", name)))
-    grid = sides[0].crossJoin(sides[1]).crossJoin(sides[2]).crossJoin(sides[3])
-    places = [c for c in grid.columns if c.endswith("_at")]
-    return grid.withColumn("config_id", F.row_number().over(Window.orderBy(*places)) - 1).drop(*places)
+    every = product(map(int, dense_top_ks), map(int, sparse_top_ks), map(float, dense_thresholds), map(float, sparse_thresholds))
+    return spark.createDataFrame([(i, *c) for i, c in enumerate(every)], "config_id int, dense_top_k int, sparse_top_k int, dense_threshold double, sparse_threshold double")
+
+
+GRID_ROUTES = ("dense", "sparse")
+
+
+def _settings(configs: DataFrame, source: str) -> DataFrame:
+    """(source, top_k, threshold): the distinct settings of one route."""
+    return configs.select(F.lit(source).alias("source"), F.col(f"{source}_top_k").alias("top_k"), F.col(f"{source}_threshold").cast("double").alias("threshold")).distinct()
+
+
+def kept_sets(route_hits: DataFrame, samples: DataFrame, configs: DataFrame) -> DataFrame:
+    """(sample_id, source, set_id, settings, hits): what each route's settings keep of a sample's hits, each outcome once.
+
+    A sample's hits of a route are one row; every distinct setting cuts it once. settings are those with this outcome;
+    a sample without hits has one outcome of none.
+    """
+    hit = F.struct("route_rank", "chunk_id", "doc_id", "dataset_id", F.col("score").cast("double").alias("score"))
+    pool = route_hits.where(F.col("source").isin(*GRID_ROUTES)).groupBy("sample_id", "source").agg(F.array_sort(F.collect_list(hit)).alias("pool"))
+    settings = reduce(DataFrame.unionByName, (_settings(configs, s) for s in GRID_ROUTES)).groupBy("source").agg(F.collect_list(F.struct("top_k", "threshold")).alias("settings"))
+    each = samples.select("sample_id").distinct().withColumn("source", F.explode(F.array(*map(F.lit, GRID_ROUTES)))).join(F.broadcast(settings), "source")  # a row for each route
+    asked = each.join(pool, ["sample_id", "source"], "left").select("sample_id", "source", "pool", F.explode("settings").alias("setting"))
+    kept = F.slice(F.filter("pool", lambda h: h["score"] >= F.col("setting.threshold")), F.lit(1), F.col("setting.top_k"))
+    cut = asked.select("sample_id", "source", "setting", F.coalesce(kept, F.array().cast(dict(pool.dtypes)["pool"])).alias("hits")).withColumn("set_id", F.xxhash64(F.transform("hits", lambda h: h["route_rank"])))
+    return cut.groupBy("sample_id", "source", "set_id").agg(F.collect_list("setting").alias("settings"), F.first("hits").alias("hits"))
 
 
 def evaluate_grid(route_hits: DataFrame, golden: DataFrame, configs: DataFrame, failed: DataFrame | None = None, strategy: str = "rrf", top_k: int = 10, rrf_k: int = RRF_K, weights: dict[str, float] | None = None) -> DataFrame:
     """One row for each config: recall, hit rate at top_k, map and mrr over all samples of golden.
 
-    Samples without expected ids count as 0. failed: (sample_id) of those with a failed route. Candidates that no
-    config keeps are dropped before configs, a bounded table, multiply them.
+    Samples without expected ids count as 0. failed: (sample_id) of those with a failed route. Routes are cut once for
+    each of their settings, and of a sample each pair of outcomes is fused and measured once, however many configs lead
+    to it; configs meet the measures, not the hits.
     """
     from plumbline.operators.metrics import ranked_ids, references
 
-    bounds = configs.agg(F.max("dense_top_k"), F.max("sparse_top_k"), F.min("dense_threshold"), F.min("sparse_threshold")).first()
-    dense = F.col("source") == "dense"
-    pool = route_hits.where(F.col("source").isin("dense", "sparse") & (F.col("score") >= F.when(dense, bounds[2]).otherwise(bounds[3])))
-    keys = ("config_id", "sample_id")
-    many = pool.join(F.broadcast(configs))
-    kept = filter_routes(many, F.when(dense, F.col("dense_top_k")).otherwise(F.col("sparse_top_k")), F.when(dense, F.col("dense_threshold")).otherwise(F.col("sparse_threshold")), keys)
-    ranked = fuse(kept, strategy, top_k, rrf_k, weights, keys)
     refs = references(golden).where(F.size("ids") > 0)
-    one = F.concat_ws("\x1f", F.col("config_id").cast("string"), F.col("sample_id").cast("string"))
-    ranked = ranked.withColumns({"of": F.col("sample_id"), "config": F.col("config_id"), "pair": one})
-    # The pair of config and sample stands for the sample in the ranking.
+    sets = kept_sets(route_hits, refs, configs)
+    dense, sparse = (sets.where(F.col("source") == s).select("sample_id", *[F.col(c).alias(f"{s}_{c}") for c in ("set_id", "settings", "hits")]) for s in GRID_ROUTES)
+    both = dense.join(sparse, "sample_id").withColumn("set_id", F.xxhash64("dense_set_id", "sparse_set_id"))
+    keys = ("set_id", "sample_id")
+    listed = [both.select(*keys, F.lit(s).alias("source"), F.posexplode(f"{s}_hits").alias("kept_rank", "h")).select(*keys, "source", "kept_rank", "h.*") for s in GRID_ROUTES]
+    ranked = fuse(reduce(DataFrame.unionByName, listed), strategy, top_k, rrf_k, weights, keys)
+    one = F.concat_ws("\x1f", F.col("set_id").cast("string"), F.col("sample_id").cast("string"))
+    ranked = ranked.withColumns({"of": F.col("sample_id"), "pair": one})
+    # The pair of outcome and sample stands for the sample in the ranking.
     placed = ranked_ids(ranked.drop("sample_id").withColumnRenamed("pair", "sample_id"), ranked.select("pair", "of").distinct().join(refs.select(F.col("sample_id").alias("of"), "granularity"), "of").select(F.col("pair").alias("sample_id"), "granularity"))
-    placed = placed.withColumns({"config_id": F.split("sample_id", "\x1f")[0].cast("int"), "of": F.split("sample_id", "\x1f")[1]}).join(refs.select(F.col("sample_id").cast("string").alias("of"), "ids"), "of")
+    placed = placed.withColumns({"set_id": F.split("sample_id", "\x1f")[0].cast("long"), "of": F.split("sample_id", "\x1f")[1]}).join(refs.select(F.col("sample_id").cast("string").alias("of"), "ids"), "of")
     rel = F.array_contains("ids", F.col("ref"))
     so_far = Window.partitionBy("sample_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = placed.withColumn("rel", rel).withColumn("so_far", F.sum(F.col("rel").cast("int")).over(so_far))
-    per = placed.groupBy("config_id", "sample_id").agg(
+    per = placed.groupBy("set_id", "of").agg(
         F.first(F.size("ids")).alias("n_rel"), F.count(F.lit(1)).alias("n_ret"), F.sum((F.col("rel") & F.col("fresh") & (F.col("pos") <= top_k)).cast("int")).alias("found"),
         F.min(F.when(F.col("rel"), F.col("pos"))).alias("first_rel"), F.sum(F.when(F.col("rel"), F.col("so_far") / F.col("pos")).otherwise(0.0)).alias("precisions"),
     )
-    sums = per.groupBy("config_id").agg(
-        F.sum(F.col("found") / F.col("n_rel")).alias("recall"), F.sum((F.col("found") > 0).cast("double")).alias("hit_rate"),
-        F.sum(F.col("precisions") / F.least("n_rel", "n_ret")).alias("map"), F.sum(F.coalesce(1 / F.col("first_rel").cast("double"), F.lit(0.0))).alias("mrr"),
+    per = per.select(
+        "set_id", "of", (F.col("found") / F.col("n_rel")).alias("recall"), (F.col("found") > 0).cast("double").alias("hit_rate"), (F.col("precisions") / F.least("n_rel", "n_ret")).alias("map"),
+        F.coalesce(1 / F.col("first_rel").cast("double"), F.lit(0.0)).alias("mrr"),
     )
+    reached = both.select("set_id", F.col("sample_id").cast("string").alias("of"), "dense_settings", "sparse_settings").join(per, ["set_id", "of"])
+    # Measures are summed by the pair of settings lists first: samples share few of them.
+    names = ("recall", "hit_rate", "map", "mrr")
+    summed = reached.groupBy(F.array_sort("dense_settings").alias("d"), F.array_sort("sparse_settings").alias("s")).agg(*[F.sum(c).alias(c) for c in names])
+    listed = summed.withColumn("d", F.explode("d")).withColumn("s", F.explode("s"))
+    listed = listed.select(F.col("d.top_k").alias("dense_top_k"), F.col("d.threshold").alias("dense_threshold"), F.col("s.top_k").alias("sparse_top_k"), F.col("s.threshold").alias("sparse_threshold"), *names)
+    # Settings that no config pairs go with the join.
+    sums = listed.groupBy("dense_top_k", "dense_threshold", "sparse_top_k", "sparse_threshold").agg(*[F.sum(c).alias(c) for c in names])
     n = golden.count()
     n_failed = failed.distinct().count() if failed is not None else 0
     share = lambda c: (F.coalesce(c, F.lit(0.0)) / F.lit(n) if n else F.lit(0.0)).alias(c)
-    return configs.join(sums, "config_id", "left").select(*configs.columns, *[share(c) for c in ("recall", "hit_rate", "map", "mrr")], F.lit(top_k).alias("final_top_k"), F.lit(rrf_k).alias("rrf_k"), F.lit(n).alias("n"), F.lit(n_failed).alias("failed_source_samples"))
+    found = configs.join(sums, ["dense_top_k", "sparse_top_k", "dense_threshold", "sparse_threshold"], "left")
+    return found.select(*configs.columns, *[share(c) for c in names], F.lit(top_k).alias("final_top_k"), F.lit(rrf_k).alias("rrf_k"), F.lit(n).alias("n"), F.lit(n_failed).alias("failed_source_samples"))
 
 
 #: The order of configs, best first: metrics, then fewer candidates, then higher thresholds.

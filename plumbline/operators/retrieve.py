@@ -72,14 +72,14 @@ def dense(queries: DataFrame, corpus: DataFrame, top_k: int = 10, threshold: flo
     asked = queries.select("sample_id", F.col("vector").cast("array<double>").alias("vector")).where("vector is not null")
     held = corpus.select("chunk_id", F.col("vector").cast("array<double>").alias("vector")).where("vector is not null")
     size = asked.agg(F.max(8 * F.size("vector"))).first()[0] or 0
-    schema, out = _hits(queries, corpus), []
-    for own in _blocks(asked, size):
+    schema, out = hits_schema(queries, corpus), []
+    for own in blocks(asked, size):
         vectors = np.concatenate([c.flatten().to_numpy() for c in own.column(1).chunks]).reshape(own.num_rows, -1)
         out.append(_nearest(held, pa.concat_arrays(own.column(0).chunks), vectors, top_k, schema))
-    return top(_all(out, queries.sparkSession, schema), top_k, "dense", threshold)
+    return top(all_hits(out, queries.sparkSession, schema), top_k, "dense", threshold)
 
 
-def _blocks(asked: DataFrame, size: int) -> Iterator[pa.Table]:
+def blocks(asked: DataFrame, size: int) -> Iterator[pa.Table]:
     """Rows of sample_id and others, all rows of a sample at once: at most about SENT_VECTORS bytes at a time."""
     blocks = 1 + asked.count() * size // SENT_VECTORS
     for block in range(blocks):
@@ -88,18 +88,18 @@ def _blocks(asked: DataFrame, size: int) -> Iterator[pa.Table]:
             yield own
 
 
-def _all(parts: list[DataFrame], spark: SparkSession, schema) -> DataFrame:
+def all_hits(parts: list[DataFrame], spark: SparkSession, schema) -> DataFrame:
     out = spark.createDataFrame([], schema) if not parts else parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
-def _hits(queries: DataFrame, corpus: DataFrame) -> T.StructType:
+def hits_schema(queries: DataFrame, corpus: DataFrame) -> T.StructType:
     return T.StructType([queries.schema["sample_id"], corpus.schema["chunk_id"], T.StructField("score", T.DoubleType())])
 
 
-def _numbered(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+def numbered(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
     """(distinct values, which of them each row has)."""
     coded = pa.concat_arrays(column.chunks).dictionary_encode()
     return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -120,11 +120,11 @@ def sparse(queries: DataFrame, corpus: DataFrame, top_k: int = 10, threshold: fl
     a query has several times, weights are added up; null weights are left out, and so are rows that share no
     index with a query.
     """
-    schema, held, found = _hits(queries, corpus), packed_rows(corpus), []
+    schema, held, found = hits_schema(queries, corpus), packed_rows(corpus), []
     asked = queries.select("sample_id", F.col("index").cast("long").alias("index"), F.col("weight").cast("double").alias("weight")).where("weight is not null and index is not null")
-    for own in _blocks(asked, 24):
+    for own in blocks(asked, 24):
         known, dim = np.unique(own.column(1).to_numpy(), return_inverse=True)
-        ids, query = _numbered(own.column(0))
+        ids, query = numbered(own.column(0))
         lists = scoring.Lists(ids, *scoring.entries(query, dim, own.column(2).to_numpy(), len(known)), len(known))
 
         def read(batch: pa.RecordBatch, known: np.ndarray = known) -> scoring.Rows:
@@ -135,7 +135,7 @@ def sparse(queries: DataFrame, corpus: DataFrame, top_k: int = 10, threshold: fl
             return scoring.Rows(batch.column(0).to_pylist(), *scoring.entries(at[of], place[of], weight[of], len(known)))
 
         found.append(scoring.best_rows(held.where("chunk_id is not null and size(indices) > 0"), lists, read, top_k, schema))
-    return top(_all(found, queries.sparkSession, schema), top_k, "sparse", threshold)
+    return top(all_hits(found, queries.sparkSession, schema), top_k, "sparse", threshold)
 
 
 @dataclass(frozen=True)
@@ -203,14 +203,14 @@ def bm25(queries: DataFrame, corpus: DataFrame, top_k: int = 10, tokens=search_t
     in a query. fields read a text in several ways: a query is read as the first, documents are counted by the last,
     and a token's weights in all fields are added. Texts are read twice, for counts of the queries' tokens,
     which are bounded by the queries, and to be scored where they lie; of each query a task hands on top_k. A corpus that
-    is asked again and again is kept as postings (index.Bm25Index).
+    is asked again and again is kept as postings (index.PassageIndex).
     """
     fields = fields or (Field(tokens, mean_length),)
-    schema, found = _hits(queries, corpus), []
+    schema, found = hits_schema(queries, corpus), []
     said = corpus.where("chunk_id is not null").select("chunk_id", *[f.tokens(F.col("text")).alias(f"t{i}") for i, f in enumerate(fields)])
     asked = queries.select("sample_id", F.explode(F.array_distinct(fields[0].tokens(F.col("text")))).alias("token"))
-    for own in _blocks(asked, 64):
-        (wanted, token), (ids, query) = _numbered(own.column(1)), _numbered(own.column(0))
+    for own in blocks(asked, 64):
+        (wanted, token), (ids, query) = numbered(own.column(1)), numbered(own.column(0))
         docs, words, df = _counts(said, wanted, len(fields))
         if not df.any():
             continue
@@ -230,7 +230,7 @@ def bm25(queries: DataFrame, corpus: DataFrame, top_k: int = 10, tokens=search_t
             return scoring.Rows(batch.column(0).to_pylist(), *scoring.entries(*map(np.concatenate, (rows, dims, weights)), len(sent.value)))
 
         found.append(scoring.best_rows(said, lists, read, top_k, schema))
-    return top(_all(found, queries.sparkSession, schema), top_k, "bm25")
+    return top(all_hits(found, queries.sparkSession, schema), top_k, "bm25")
 
 
 def merge_routes(*routes: DataFrame) -> DataFrame:

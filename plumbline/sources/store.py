@@ -10,6 +10,10 @@ from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 from plumbline.operators.aggregate import ALL
+from plumbline.sources.versions import Tables
+
+#: Changes of a table by key after which they are merged into it, and versions that are kept then.
+MANY_CHANGES = 8
 
 
 def merged(old: DataFrame | None, new: DataFrame, key: str) -> DataFrame:
@@ -23,6 +27,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.tables = Tables(spark, f"{self.root}/tables")
 
     def _read(self, table: str) -> DataFrame | None:
         try:
@@ -67,38 +72,22 @@ class Store:
         rows = None if found is None else found.where(F.col("run_id") == run_id)
         return None if rows is None or rows.isEmpty() else rows.drop("run_id")
 
-    def _versions(self, table: str) -> list[tuple[int, str]]:
-        """(number, path) of a table's whole versions, oldest first; one that was cut off has no mark of success."""
-        fs, folder = self._folder(f"{self.root}/{table}")
-        if not fs.exists(folder):
-            return []
-        found = [x.getPath() for x in fs.listStatus(folder)]
-        whole = [x for x in found if x.getName().startswith("v-") and fs.exists(self._folder(f"{x}/_SUCCESS")[1])]
-        return sorted((int(x.getName()[2:]), x.toString()) for x in whole)
-
     def load(self, table: str) -> DataFrame | None:
         """The newest whole version of a table by key; None if there is none."""
-        versions = self._versions(table)
-        return self.spark.read.parquet(versions[-1][1]) if versions else None
+        return self.tables.read(table)
 
     def upsert(self, rows: DataFrame, table: str, key: str) -> DataFrame:
-        """Rows by key into a table of the store.
+        """Rows by key into a table of the store; of equal keys among them one stays.
 
-        A new version is written beside the old one and counts once it is whole, so a crash at any time leaves the last
-        whole one. The version before is kept for those who read it; older ones go.
+        Only what changes is written, and counts once it is whole, so a crash at any time leaves the last whole version.
+        Changes are merged as soon as there are many.
         """
-        versions = self._versions(table)
-        old = self.spark.read.parquet(versions[-1][1]) if versions else None
-        merged(old, rows, key).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").mode("overwrite").parquet(f"{self.root}/{table}/v-{versions[-1][0] + 1 if versions else 0}")
-        for _, path in versions[:-1]:
-            fs, gone = self._folder(path)
-            fs.delete(gone, True)
+        self.tables.change().upsert(table, rows, key).commit()
+        if len(self.tables.manifest()["tables"].get(table, {"entries": []})["entries"]) > MANY_CHANGES:
+            self.tables.compact(table)
+            self.tables.vacuum(MANY_CHANGES)
         return self.load(table)
 
-    def _folder(self, path: str):
-        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), folder
-
 
 class JsonStore:
     """Runs as one JSON file each: a light store without baselines, for results of aggregated size."""

@@ -113,6 +113,11 @@ class Tables:
             return rows
         return rows.join(changed, table["key"], "left").where(F.col("last_").isNull() | (F.col("seq_") >= F.col("last_"))).drop("last_")
 
+    def written_rows(self, change: Change, name: str) -> DataFrame | None:
+        """The rows that a change has written to a table; None if none."""
+        own = [e for e in change.tables.get(name, {"entries": []})["entries"] if e["seq"] > change.version and e["rows"]]
+        return self.spark.read.parquet(f"{self.root}/{own[-1]['rows']}") if own else None
+
     def change(self) -> Change:
         return Change(self)
 

@@ -1,5 +1,7 @@
 """Route filters, fusion and grids."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +72,39 @@ def test_response_order_and_attempts(spark):
     assert [(r["chunk_id"], r["rank"], r["sources"]) for r in fusion.adapt_response(df).orderBy("rank").collect()] == [("c2", 0, ["bm25", "dense"]), ("c1", 1, ["dense"]), ("c3", 2, ["bm25"])]
     tries = spark.createDataFrame([("s", 1, ["dense"], 3), ("s", 2, [], 4), ("s", 3, [], 5), ("t", 1, ["x"], 1), ("t", 2, [], 0)], "sample_id string, attempt int, failed_sources array<string>, n_hits int")
     assert {r["sample_id"]: r["attempt"] for r in fusion.pick_attempts(tries).collect()} == {"s": 2, "t": 2}
+
+
+@pytest.mark.parametrize("strategy", ["rrf", "weighted_score"])
+def test_grid_equals_one_config_at_a_time(spark, strategy):
+    """Over samples with hits of one route, of none, with scores out of order and without expected ids."""
+    from plumbline.operators.metrics import sample_metrics
+
+    rng = random.Random(5)
+    rows = [(f"s{s}", source, rank, f"c{rng.randrange(12)}-{rank}", None, 1, round(rng.random(), 1)) for s in range(8) for source in ("dense", "sparse") for rank in range(rng.choice([0, 3, 9])) if not (s == 1 and source == "dense")]
+    rows = [r[:3] + (f"c{(i * 7) % 15}",) + r[4:] for i, r in enumerate(rows)]
+    rows = list({(r[0], r[1], r[3]): r for r in rows}.values())
+    hits = spark.createDataFrame(rows, "sample_id string, source string, route_rank int, chunk_id string, doc_id long, dataset_id long, score double")
+    golden = spark.createDataFrame([(f"s{s}", [f"c{(s * k) % 15}" for k in range(1, 4)] if s != 3 else [], None) for s in range(9)], "sample_id string, expected_chunk_ids array<string>, expected_doc_ids array<bigint>")
+    configs = fusion.config_grid(spark, [2, 5, 9], [1, 4], [0.0, 0.3, 0.8], [0.0, 0.5])
+    got = {r["config_id"]: r for r in fusion.evaluate_grid(hits, golden, configs, strategy=strategy, top_k=5).collect()}
+    assert len(got) == 36
+    for c in [configs.collect()[i] for i in (0, 7, 17, 35)]:
+        k, t = (F.when(F.col("source") == "dense", c[f"dense_{x}"]).otherwise(c[f"sparse_{x}"]) for x in ("top_k", "threshold"))
+        fused = fusion.fuse(fusion.filter_routes(hits, k, t), strategy, 5)
+        per = sample_metrics(fused, golden, (5,))
+        sums = {(r["metric"], r["k"]): r["total"] for r in per.groupBy("metric", "k").agg(F.sum("value").alias("total")).collect()}
+        for name, key in (("recall", ("recall", 5)), ("hit_rate", ("hit_rate", 5)), ("map", ("map", None)), ("mrr", ("mrr", None))):
+            assert got[c["config_id"]][name] == pytest.approx((sums.get(key) or 0) / 9), (c, name)
+
+
+def test_grid_fuses_each_outcome_once(spark):
+    """Many configs, few outcomes: hits are multiplied by neither configs nor settings that keep the same."""
+    hits = spark.createDataFrame([("s", source, i, f"c{i}", None, 1, 1.0 - i / 100) for source in ("dense", "sparse") for i in range(20)], "sample_id string, source string, route_rank int, chunk_id string, doc_id long, dataset_id long, score double")
+    golden = spark.createDataFrame([("s", ["c1"], None)], "sample_id string, expected_chunk_ids array<string>, expected_doc_ids array<bigint>")
+    configs = fusion.config_grid(spark, [5, 20, 50, 100, 150], [5, 20, 30, 50], [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6], [0, 0.1, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7])
+    assert configs.count() == 1260
+    sets = fusion.kept_sets(hits, golden, configs).collect()
+    assert {(r["source"], len(r["hits"])) for r in sets} == {("dense", 5), ("dense", 20), ("sparse", 5), ("sparse", 20)}
+    assert sum(len(r["settings"]) for r in sets) == 35 + 36
+    results = fusion.evaluate_grid(hits, golden, configs)
+    assert results.count() == 1260 and results.where("recall = 1 and mrr = 0.5").count() == 1260

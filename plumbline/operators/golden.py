@@ -5,9 +5,10 @@ from __future__ import annotations
 import time
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -219,14 +220,37 @@ def has_window(anchor: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([most_alike(a or "", t or "", FUZZY, FUZZY) >= FUZZY for a, t in zip(anchor, text, strict=True)], dtype="bool")
 
 
+def shared_pairs_needed(n: Column, least: float = FUZZY) -> Column:
+    """How many of the n - 1 pairs of neighbouring characters of an anchor a text must have, for any part of it to be least alike.
+
+    Of an anchor of n characters and a part of m <= n, matching blocks have M >= least / 2 * (n + m) characters, so m >= least / (2 - least) * n.
+    n + m - 2 * M characters are in no block, and between two blocks there is one at least, so that there are at most
+    (1 - least) * (n + m) + 1 blocks; all pairs within blocks are shared, which are M less the number of blocks.
+    """
+    return F.ceil((3 * least - 2) * n / (2 - least) - 1 - 1e-9)
+
+
+def may_be_alike(anchor: Column, text: Column, least: float = FUZZY) -> Column:
+    """Whether a text shares as many pairs of characters with an anchor as a part that is least alike would; never false for one that is."""
+    n = F.length(anchor)
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(anchor, i, 2))
+    return F.size(F.filter(pairs, lambda p: F.contains(text, p))) >= shared_pairs_needed(n, least)
+
+
 def match_tiers(pairs: DataFrame, fuzzy: bool = True, compose: bool = True) -> DataFrame:
-    """pairs of (anchor, content) with tier 0 to 3: exact, normalized, fuzzy, miss. Only what misses is compared fuzzily."""
+    """pairs of (anchor, content) with tier 0 to 3: exact, normalized, fuzzy, miss.
+
+    Only what misses and shares enough pairs of characters to be FUZZY alike is compared fuzzily.
+    """
     a, c = normalise(F.col("anchor"), compose), normalise(F.col("content"), compose)
     near = pairs.withColumns({"na": a, "nc": c})
     tier = F.when(F.contains("content", "anchor"), 0).when((F.col("na") != "") & F.contains("nc", "na"), 1)
     if fuzzy:
         near = near.withColumn("tier", tier)
-        found = near.where("tier is not null").unionByName(near.where("tier is null").withColumn("tier", F.when(has_window("na", "nc"), 2).otherwise(3)))
+        possible = F.coalesce(may_be_alike(F.col("na"), F.col("nc")), F.lit(False))
+        open_ = near.where("tier is null").withColumn("possible", possible)
+        compared = open_.where("possible").withColumn("tier", F.when(has_window("na", "nc"), 2).otherwise(3))
+        found = reduce(DataFrame.unionByName, (near.where("tier is not null"), compared.drop("possible"), open_.where("not possible").drop("possible").withColumn("tier", F.lit(3))))
     else:
         found = near.withColumn("tier", F.coalesce(tier, F.lit(3)))
     return found.drop("na", "nc")
@@ -244,11 +268,28 @@ def miss_rates(located: DataFrame, bucket: str) -> DataFrame:
     return located.groupBy(bucket).agg(F.count(F.lit(1)).alias("facts"), F.count_if(F.col("tier") == "miss").alias("misses"), F.try_divide(F.count_if(F.col("tier") == "miss"), F.count(F.lit(1))).alias("miss_rate"))
 
 
+#: Lengths of the runs by which anchors that lie within others are found: powers of two up to this.
+LONGEST_RUN = 64
+
+
 def distinct_facts(facts: DataFrame) -> DataFrame:
-    """facts (doc_id, fact_id, anchor, ..) without those whose anchor holds another fact's of the same document."""
-    other = facts.select("doc_id", F.col("fact_id").alias("other"), F.col("anchor").alias("inner"))
-    nested = facts.join(other, "doc_id").where((F.col("fact_id") != F.col("other")) & F.contains("anchor", "inner") & ((F.col("anchor") != F.col("inner")) | (F.col("fact_id") > F.col("other"))))
-    return facts.join(nested.select("doc_id", "fact_id").distinct(), ["doc_id", "fact_id"], "left_anti")
+    """facts (doc_id, fact_id, anchor, ..) without those whose anchor holds another fact's of the same document; of equal anchors the least fact_id stays.
+
+    An anchor that holds another one holds its first characters, as many as a power of two allows. Anchors list their
+    runs of those lengths, and meet by document and run: rows grow with the characters, not with pairs of facts.
+    """
+    whole = facts.where("anchor is not null").groupBy("doc_id", "anchor").agg(F.min("fact_id").alias("first"))
+    n = F.length("anchor")
+    sizes = F.array(F.lit(0), *[F.lit(1 << i) for i in range(LONGEST_RUN.bit_length())])
+    run = lambda size: F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.substring("anchor", i, size))
+    runs = F.array_distinct(F.flatten(F.transform(F.filter(sizes, lambda s: s <= n), run)))
+    outer = whole.select("doc_id", "anchor", F.explode(runs).alias("run"))
+    key = F.substring(F.col("anchor"), F.lit(1), F.array_max(F.filter(sizes, lambda s: s <= n)))
+    inner = whole.select("doc_id", F.col("anchor").alias("inner"), key.alias("run"))
+    holding = outer.join(inner, ["doc_id", "run"]).where((F.col("anchor") != F.col("inner")) & F.contains("anchor", "inner")).select("doc_id", "anchor").distinct()
+    stay = whole.join(holding, ["doc_id", "anchor"], "left_anti").select("doc_id", "anchor", F.col("first").alias("fact_id"))
+    # A fact_id that a document has twice stays as often as it is there.
+    return facts.join(stay, ["doc_id", "fact_id", "anchor"], "left_semi").unionByName(facts.where("anchor is null or doc_id is null"))
 
 
 def missing_anchors(facts: DataFrame, composed: DataFrame) -> DataFrame:
@@ -298,32 +339,52 @@ def render(fmt: str, markdown: str, title: str = "") -> tuple[bytes, str]:
     return f"<!DOCTYPE html>\n<html><head><meta charset=\"utf-8\"><title>{tell(title)}</title></head>\n<body>\n{chr(10).join(said)}\n</body></html>\n".encode(), ".html"
 
 
-def applied(rows: DataFrame, function: Callable, column: str, to: str, batch: int = 1, retries: int = 3, backoff: float = 3.0, longest: float = 30.0) -> DataFrame:
+#: Faults of a program: calling again can't mend them.
+FINAL = (TypeError, AttributeError, NameError, ImportError, NotImplementedError)
+
+
+def in_order(made: list) -> list:
+    """Answers of a batch; those that tell their index are put in its order, and must tell each index once."""
+    if not made or not all(isinstance(x, dict) and "index" in x for x in made):
+        return made
+    by_index = sorted(made, key=lambda x: x["index"])
+    if [x["index"] for x in by_index] != list(range(len(made))):
+        raise ValueError("answers don't tell each index once")
+    return [x["value"] for x in by_index]
+
+
+def applied(rows: DataFrame, function: Callable, column: str, to: str, batch: int = 1, retries: int = 3, backoff: float = 3.0, longest: float = 30.0, reason: str | None = None) -> DataFrame:
     """rows with what an injected function (a model, an encoder, a parser) makes of a column, as text.
 
-    With batch over 1 the function takes a list of values and returns as many. A call that raises, or returns too few,
-    is tried again after backoff seconds, twice as many each time and longest at most; after retries calls it gives null.
+    With batch over 1 the function takes a list of values and returns as many, in their order or as dicts of index and
+    value. A call that raises, or returns too few, is tried again after backoff seconds, twice as many each time and
+    longest at most; after retries calls, or at once if the program is at fault, it gives null. reason names a column
+    that tells the last call's fault, null where there is none.
     """
     names = rows.columns
-    schema = T.StructType([*rows.schema.fields, T.StructField(to, T.StringType())])
+    schema = T.StructType([*rows.schema.fields, T.StructField(to, T.StringType()), *([T.StructField(reason, T.StringType())] if reason else [])])
 
-    def called(values: list) -> list:
+    def called(values: list) -> list[tuple]:
+        fault = None
         for attempt in range(retries):
             try:
-                made = list(function(values)) if batch > 1 else [function(values[0])]
+                made = in_order(list(function(values))) if batch > 1 else [function(values[0])]
                 if len(made) == len(values):
-                    return made
-            except Exception:  # noqa: BLE001 - a failed call is tried again, then told as null
-                pass
+                    return [(x, None) for x in made]
+                fault = f"{len(made)} answers to {len(values)} values"
+            except Exception as raised:  # noqa: BLE001 - a failed call is tried again, then told as null with its reason
+                fault = f"{type(raised).__name__}: {raised}"
+                if isinstance(raised, FINAL):
+                    break
             if attempt + 1 < retries:
                 time.sleep(min(longest, backoff * 2**attempt))
-        return [None] * len(values)
+        return [(None, fault)] * len(values)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             values = frame[column].tolist()
             made = [x for at in range(0, len(values), batch) for x in called(values[at : at + batch])]
-            yield frame[names].assign(**{to: made})
+            yield frame[names].assign(**{to: [x for x, _ in made]} | ({reason: [f for _, f in made]} if reason else {}))
 
     return rows.mapInPandas(run, schema)
 

@@ -3,6 +3,8 @@ oracles.py. Every table is taken whole."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -78,3 +80,24 @@ def diagnostics(spark: SparkSession, d: str) -> DataFrame:
     """Events as samples: an error is a failed source, props.k what was ranked, value the time."""
     failed = F.when(F.col("event_type") == "error", F.array("event_type")).otherwise(F.array().cast("array<string>"))
     return table(spark, d, "events").select(F.col("event_id").alias("sample_id"), "ts", F.col("event_type").alias("type"), F.col("value").alias("elapsed_ms"), failed.alias("failed_sources"), F.get_json_object("props", "$.k").cast("int").alias("n_ranked"))
+
+
+#: Bytes of rows that are sent to every task at a time.
+SENT = 8 << 20
+
+
+def blocks(rows: DataFrame, column: str) -> list[DataFrame]:
+    """rows in blocks of about SENT bytes of a text column."""
+    many = 1 + (rows.agg(F.sum(F.octet_length(column))).first()[0] or 0) // SENT
+    return [rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(many)) == i) for i in range(many)]
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Where a query may write: the folder that spark.checkpoint.dir names; on one machine, where it is unset, one of its own."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")

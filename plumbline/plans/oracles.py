@@ -131,6 +131,12 @@ asked AS (SELECT item_id AS sample_id, unnest(list_distinct({_TOK})) AS token FR
 tf AS (SELECT chunk_id, token, length, count(*) AS tf FROM e WHERE token IN (SELECT token FROM asked) GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),
 w AS (SELECT chunk_id, token, ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean)) AS part FROM tf JOIN df USING (token), s),
 sc AS (SELECT sample_id, chunk_id, sum(round(part, 12)::DECIMAL(28, 12))::DOUBLE AS score FROM w JOIN asked USING (token) GROUP BY 1, 2)
+SELECT sample_id, route_rank, chunk_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY round(score, 9) DESC, chunk_id) - 1 AS route_rank FROM sc) WHERE route_rank < 10""",
+    "stored_bm25": f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN concat_ws(' ', text, source) ELSE text END AS text FROM documents WHERE doc_id % 7 <> 3), c AS (SELECT doc_id AS chunk_id, {_TOK} AS t FROM d WHERE text IS NOT NULL), s AS (SELECT count(*) AS docs, avg(len(t)) AS mean FROM c),
+asked AS (SELECT item_id AS sample_id, unnest(list_distinct({_TOK})) AS token FROM benchmark), e AS (SELECT chunk_id, len(t) AS length, unnest(t) AS token FROM c),
+tf AS (SELECT chunk_id, token, length, count(*) AS tf FROM e WHERE token IN (SELECT token FROM asked) GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),
+w AS (SELECT chunk_id, token, ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean)) AS part FROM tf JOIN df USING (token), s),
+sc AS (SELECT sample_id, chunk_id, sum(round(part, 12)::DECIMAL(28, 12))::DOUBLE AS score FROM w JOIN asked USING (token) GROUP BY 1, 2)
 SELECT sample_id, route_rank, chunk_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY round(score, 9) DESC, chunk_id) - 1 AS route_rank FROM sc) WHERE route_rank < 10""",
     "route_filter": f"WITH {_VEC} SELECT sample_id, source, chunk_id, kept_rank FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, source ORDER BY route_rank) - 1 AS kept_rank FROM routes WHERE score >= 0.1) WHERE kept_rank < 10",
     "rrf_fusion": _fused("rrf"),

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import columns, text
-from plumbline.operators import aggregate, fusion, golden, metrics, rerank, retrieve, vectors
+from plumbline.operators import aggregate, fusion, golden, index, metrics, rerank, retrieve, vectors
 from plumbline.plans import fixtures as fx
 from plumbline.streaming.run_quality import windowed_quality
 
@@ -37,6 +40,18 @@ def bm25_topk(spark, d):
     return _rounded(retrieve.bm25(asked, corpus, 10, text.token_bag).drop("source"), "score")
 
 
+def stored_bm25(spark, d):
+    """The same over an index of the documents that has changed: every fifth text anew, some deleted, its changes merged."""
+    docs = fx.table(spark, d, "documents")
+    passage = lambda content: [F.col("doc_id").alias("chunk_id"), F.lit("u").alias("user_id"), F.lit(1).cast("long").alias("dataset_id"), F.col("doc_id").cast("string").alias("doc_id"), content.alias("content"), F.array(F.lit(1.0)).alias("vector"), F.array().cast("array<int>").alias("indices"), F.array().cast("array<double>").alias("values")]
+    own = index.PassageIndex(spark, f"{fx.shared_folder(spark)}/index-{uuid.uuid4().hex}", text.token_bag)
+    own.index(docs.select(*passage(F.col("text"))))
+    own.index(docs.where("doc_id % 5 = 0").select(*passage(F.concat_ws(" ", "text", "source"))))
+    own.delete(docs.where("doc_id % 7 = 3").select(F.col("doc_id").alias("chunk_id")))
+    asked = fx.table(spark, d, "benchmark").select(F.col("item_id").alias("sample_id"), "text")
+    return _rounded(own.bm25(asked, 10).drop("source"), "score")
+
+
 def route_filter(spark, d):
     return fusion.filter_routes(fx.route_hits(spark, d), F.lit(10), F.lit(0.1)).select("sample_id", "source", "chunk_id", "kept_rank")
 
@@ -224,7 +239,8 @@ def anchor_locate(spark, d):
     """Benchmark items as anchors, sought in all documents exactly: documents share a word run with each item they hold.
 
     Candidates are documents that hold the item's first words in a row, found by a join on that run; each is then
-    compared in full. Items of fewer words, whose run may not end with a word of theirs, are compared with all documents.
+    compared in full. Items of fewer words, whose run may not end with a word of theirs, are compared with all documents,
+    as many at a time as may be sent.
     """
     first = lambda c: F.array_join(F.slice(F.split(c, r"[\x20\x09-\x0D]+"), 2, 4), " ")
     anchors = fx.table(spark, d, "benchmark").select(F.col("item_id").alias("fact_id"), F.col("text").alias("anchor"), first("text").alias("run"))
@@ -234,8 +250,8 @@ def anchor_locate(spark, d):
     docs = fx.table(spark, d, "documents").select("doc_id", "text")
     words = docs.select("doc_id", "text", F.split("text", r"[\x20\x09-\x0D]+").alias("w"))
     runs = words.select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 4), " ")))).alias("run"))
-    met = runs.join(F.broadcast(items) if items.limit(10001).count() <= 10000 else items, "run").select("fact_id", "doc_id", "anchor")
-    held = docs.join(F.broadcast(short), F.contains("text", "anchor")).select("fact_id", "doc_id", "anchor")
+    met = runs.join(items, "run").select("fact_id", "doc_id", "anchor")
+    held = reduce(DataFrame.unionByName, [docs.join(F.broadcast(own), F.contains("text", "anchor")).select("fact_id", "doc_id", "anchor") for own in fx.blocks(short, "anchor")])
     # A fact of an item in every document that may hold it, each document a chunk.
     facts = met.unionByName(held).distinct().withColumn("fact_id", F.concat_ws(":", "fact_id", "doc_id"))
     chunks = docs.select("doc_id", F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content"))
@@ -285,7 +301,7 @@ def abstention(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    retrieval_headline, dense_topk, sparse_dot_topk, bm25_topk, route_filter, rrf_fusion, weighted_fusion, config_grid, grid_best, doc_dedup_ranks, source_overlap, metric_grouping_sets, ledger_rows, k_pivot,
+    retrieval_headline, dense_topk, sparse_dot_topk, bm25_topk, stored_bm25, route_filter, rrf_fusion, weighted_fusion, config_grid, grid_best, doc_dedup_ranks, source_overlap, metric_grouping_sets, ledger_rows, k_pivot,
     run_quality, failed_source_counts, latency_median, nearest_rank_percentiles, baseline_diff, comparability, trend_lag, noise_floor, bootstrap_interval, windowed_run_quality, model_distinctness, precheck_anti,
     manifest_join, golden_convert_graded, chunk_ids_uuid5, content_hash, stratified_pick, group_adjacent, allot_types, sparse_vector_clean, anchor_locate, gate_cascade, spec_matrix, rerank_delta, pooled_recall, degraded_order, abstention,
 )} | {f"{n}_at_k" if n in ("recall", "precision") else "hit_at_k" if n == "hit_rate" else n: _line_metric(n) for n in ("recall", "hit_rate", "precision", "mrr", "map", "ndcg_binary", "ndcg_graded")}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import dataclasses
 import functools
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,10 +85,30 @@ def assemble(settings: Settings, asked: dict[str, DataFrame], corpus: dict[str,
     return retrieve.merge_routes(*[makers[name](asked[name], corpus[name], depth(name), least(name)) for name in settings.routes])
 
 
-def cache_routes(spark: SparkSession, settings: Settings, asked: dict[str, DataFrame], corpus: dict[str, DataFrame], top_k: int, out: str) -> DataFrame:
-    """The pool of all routes, written once; every setting of a grid is evaluated over it."""
-    assemble(settings, asked, corpus, top_k).write.mode("overwrite").parquet(out)
-    return spark.read.parquet(out)
+def cache_routes(spark: SparkSession, settings: Settings, asked: dict[str, DataFrame], corpus: dict[str, DataFrame], top_k: int, out: str) -> tuple[DataFrame, DataFrame]:
+    """(hits, failed): the pool of all routes, written once; every setting of a grid is evaluated over it.
+
+    Routes are written apart. One that fails leaves the others as they are: its samples are told in failed
+    (sample_id, failed_sources, reasons), which is written, too, and it has no hits.
+    """
+    reasons, paths = {}, []
+    for name in settings.routes:
+        path = f"{out}/hits-{name}"
+        try:
+            assemble(dataclasses.replace(settings, enabled_sources=(name,)), asked, corpus, top_k).write.mode("overwrite").parquet(path)
+            paths.append(path)
+        except NotImplementedError:
+            raise
+        except Exception as raised:  # noqa: BLE001 - a route's failure is a result: it is told, sample by sample
+            reasons[name] = str(raised).splitlines()[0][:500]
+    told = spark.createDataFrame(list(reasons.items()), "source string, reason string")
+    samples = reduce(DataFrame.union, [asked[n].select("sample_id") for n in settings.routes]).distinct()
+    # As many rows of told as routes.
+    failed = samples.withColumn("source", F.explode(F.array(*map(F.lit, settings.routes)))).join(F.broadcast(told), "source")
+    failed = failed.groupBy("sample_id").agg(F.array_sort(F.collect_list("source")).alias("failed_sources"), F.array_sort(F.collect_set("reason")).alias("reasons"))
+    failed.write.mode("overwrite").parquet(f"{out}/failed")
+    hits = spark.read.parquet(*paths) if paths else spark.createDataFrame([], "sample_id string, source string, route_rank int, chunk_id string, score double")
+    return hits, spark.read.parquet(f"{out}/failed")
 
 
 def tune(spark: SparkSession, route_hits: DataFrame, samples: DataFrame, out: str, dense_top_ks: str = "20,50,100,150", sparse_top_ks: str = "5,10,20,30,50", dense_thresholds: str = "0,0.1,0.2,0.3,0.4,0.5", sparse_thresholds: str = "0,0.1,0.2,0.25,0.3,0.4", strategy: str = "rrf", top_k: int = 10) -> DataFrame:

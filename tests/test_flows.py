@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import fusion, golden, retrieve, vectors
+from plumbline.operators import aggregate, fusion, golden, retrieve, vectors
 from plumbline.plans import cli, report, run
 from plumbline.plans.settings import Settings
 from plumbline.sources import providers, readers
@@ -153,8 +153,15 @@ def test_routes_are_assembled_and_cached(spark, tmp_path):
     settings = Settings(route_top_ks={"dense": 2, "bm25": 1}, route_score_thresholds={"sparse": 0.5})
     told = lambda df: sorted((r["source"], r["route_rank"], r["chunk_id"]) for r in df.collect())
     assert told(run.assemble(settings, asked, corpus)) == [("bm25", 0, "c0"), ("dense", 0, "c0"), ("dense", 1, "c1"), ("sparse", 0, "c1")]
-    pool = run.cache_routes(spark, settings, asked, corpus, 3, str(tmp_path / "pool"))
+    pool, failed = run.cache_routes(spark, settings, asked, corpus, 3, str(tmp_path / "pool"))
+    assert failed.count() == 0
     assert told(pool) == [("bm25", 0, "c0"), ("bm25", 1, "c1"), ("dense", 0, "c0"), ("dense", 1, "c1"), ("dense", 2, "c2"), ("sparse", 0, "c1"), ("sparse", 1, "c0")]
+    broken = corpus | {"dense": corpus["dense"].withColumn("vector", F.when(F.col("chunk_id") == "c1", F.raise_error(F.lit("no vectors here")).cast("array<double>")).otherwise(F.col("vector")))}
+    pool, failed = run.cache_routes(spark, settings, asked, broken, 3, str(tmp_path / "pool"))
+    assert {r[0] for r in told(pool)} == {"bm25", "sparse"}  # the others are kept
+    row = failed.collect()
+    assert [(r["sample_id"], r["failed_sources"]) for r in row] == [("q0", ["dense"])] and row[0]["reasons"]
+    assert aggregate.failed_source_counts(failed).collect()[0]["n"] == 1
     with pytest.raises(NotImplementedError, match="other"):
         run.assemble(Settings(enabled_sources=("dense", "other")), asked, corpus)
 

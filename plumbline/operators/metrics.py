@@ -89,6 +89,14 @@ def sample_metrics(hits: DataFrame, golden: DataFrame, k_values: Sequence[int] =
     return per.select("sample_id", F.explode(F.array(*named)).alias("m"), "granularity").select("sample_id", "m.metric", "m.k", "m.value", "granularity").where("value is not null")
 
 
+def first_relevant_ranks(hits: DataFrame, golden: DataFrame) -> DataFrame:
+    """(sample_id, granularity, first_relevant_rank) of samples with expected ids: the rank, from 1 on, of the first that is expected; null if none is."""
+    refs = references(golden).where(F.size("ids") > 0)
+    ranked = ranked_ids(hits, refs.select("sample_id", "granularity")).drop("granularity")
+    found = refs.join(ranked, "sample_id", "left")
+    return found.groupBy("sample_id").agg(F.first("granularity").alias("granularity"), F.min(F.when(F.array_contains("ids", F.col("ref")), F.col("pos"))).cast("int").alias("first_relevant_rank"))
+
+
 def source_overlap(hits: DataFrame) -> DataFrame:
     """(sample_id, metric, k, value): of a sample's hits with sources, the share that only this source found, for
     each source seen in the sample, and the share that all of them found where there are several."""

@@ -157,14 +157,17 @@ UNION ALL SELECT sample_id, 'overlap_all_sources', round(count(*) FILTER (source
     "latency_median": f"WITH {_DIAG} SELECT round(median(elapsed_ms), 6) AS median_ms FROM dg WHERE elapsed_ms <> 0",
     "nearest_rank_percentiles": f"WITH {_DIAG}, s AS (SELECT type, list_sort(list(elapsed_ms)) AS v FROM dg GROUP BY 1) SELECT type, v[round_even(0.5 * (len(v) - 1), 0)::INT + 1] AS p50, v[round_even(0.95::DOUBLE * (len(v) - 1), 0)::INT + 1] AS p95 FROM s",
     "baseline_diff": f"SELECT 'retrieval' AS layer, c.metric, c.k, round(c.value, 6) AS value, round(b.value, 6) AS baseline_value, round(c.value - b.value, 6) AS delta, c.n, c.n >= 1 AND (c.metric = 'recall' OR c.metric LIKE 'ndcg%') AND c.value - b.value < -0.02 AS is_regression FROM ({_totals('weighted_score')}) c JOIN ({_totals('rrf')}) b ON c.metric = b.metric AND c.k IS NOT DISTINCT FROM b.k",
-    "comparability": "SELECT unnest(['top_k', 'fusion_strategy']) AS dimension",
+    "comparability": """WITH s AS (SELECT lang, min(source) AS a, count(*) AS b, count(DISTINCT source) AS c, max(source) AS e FROM documents WHERE lang IN ('en', 'de') GROUP BY 1), x AS (SELECT * FROM s WHERE lang = 'en'), y AS (SELECT * FROM s WHERE lang = 'de')
+SELECT unnest(list_filter([CASE WHEN x.a IS DISTINCT FROM y.a THEN 'sparse_vector_provider' END, CASE WHEN x.b IS DISTINCT FROM y.b THEN 'top_k' END, CASE WHEN x.c IS DISTINCT FROM y.c THEN 'rrf_k' END, CASE WHEN x.e IS DISTINCT FROM y.e THEN 'fusion_strategy' END], lambda v: v IS NOT NULL)) AS dimension FROM x, y""",
+    "first_relevant_rank": f"WITH {_J} SELECT sample_id, (min(pos) FILTER (rel))::INT AS first_relevant_rank FROM j GROUP BY 1",
     "trend_lag": f"WITH v AS (SELECT {_DAYS} AS day, event_type AS metric, avg(value) AS value FROM events GROUP BY ALL), l AS (SELECT *, lag(value) OVER (PARTITION BY metric ORDER BY day) AS previous FROM v) SELECT day, metric, round(value, 5) AS value, round(previous, 5) AS previous, round(value - previous, 5) AS delta FROM l",
     "noise_floor": "WITH v AS (SELECT date_trunc('day', ts) AS run, event_type AS metric, avg(value) AS value FROM events GROUP BY ALL) SELECT metric, round(stddev_samp(value), 5) AS sigma, round(avg(value), 5) AS mean, count(*) AS runs FROM v GROUP BY metric",
     "bootstrap_interval": f"""WITH {_ALL}, own AS (SELECT * FROM per WHERE metric IN ('recall', 'mrr') AND (k = 10 OR k IS NULL)), u AS (SELECT metric, value, r, (('0x' || substr(md5('11:' || sample_id || ':' || r || ':' || metric), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE AS u FROM own, range(1, 51) AS t(r)),
 w AS (SELECT metric, r, value, (u > 0.36787944117144233::DOUBLE)::INT + (u > 0.73575888234288467::DOUBLE)::INT + (u > 0.91969860292860584::DOUBLE)::INT + (u > 0.98101184312384626::DOUBLE)::INT + (u > 0.99634015317265637::DOUBLE)::INT + (u > 0.99940581518241839::DOUBLE)::INT AS n FROM u),
 means AS (SELECT metric, r, sum(value * n) / sum(n) AS mean FROM w GROUP BY 1, 2) SELECT metric, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM means GROUP BY 1""",
     "windowed_run_quality": f"WITH {_DIAG} SELECT {_DAYS} AS day, count(*) AS samples, count(*) FILTER (len(failed) > 0) AS failed_samples, count(*) FILTER (n_ranked = 0) AS zero_ranked FROM dg GROUP BY 1",
-    "model_distinctness": "SELECT 'chat' AS role_a, 'generator' AS role_b, 'm1' AS model",
+    "model_distinctness": """WITH r AS (SELECT n_nationkey AS ord, n_name AS role, CASE WHEN n_nationkey % 4 = 0 THEN '' ELSE r_name END AS model FROM nation JOIN region ON r_regionkey = n_regionkey)
+SELECT a.role AS role_a, b.role AS role_b, a.model FROM r a JOIN r b ON a.model = b.model AND a.ord < b.ord WHERE a.model <> ''""",
     "precheck_anti": f"WITH {_GOLDEN}, e AS (SELECT id, unnest(['c' || item_id, 'c' || (item_id + 1000000)]) AS c FROM gd) SELECT id, string_agg(c, ',' ORDER BY c) AS missing, true AS doc_fallback_available FROM e WHERE c NOT IN (SELECT 'c' || doc_id FROM documents) GROUP BY id",
     "manifest_join": "SELECT l.doc_id + 990000000 AS doc_id, l.doc_id::VARCHAR AS source_id, length(text) AS chars FROM labels l JOIN documents d USING (doc_id) WHERE quality = 1 AND text <> ''",
     "golden_convert_graded": """WITH j AS (SELECT source, doc_id, 2 * quality - toxic AS grade, toxic FROM labels JOIN documents USING (doc_id)), p AS (SELECT * FROM j WHERE grade > 0),
@@ -181,7 +184,8 @@ SELECT chunk_id, index, weight FROM (SELECT *, row_number() OVER (PARTITION BY c
     "anchor_locate": "SELECT item_id AS fact_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)",
     "gate_cascade": """WITH s AS (SELECT doc_id, CASE WHEN length(text) <= 300 THEN 'missing_text' WHEN quality <> 1 THEN 'answerability' WHEN lang <> 'fr' AND toxic <> 0 THEN 'consistency' WHEN length(text) % 2 <> 0 THEN 'retrieval_loop' END AS failed_signal FROM documents JOIN labels USING (doc_id))
 SELECT doc_id, CASE WHEN failed_signal IS NULL THEN 'passed' WHEN failed_signal = 'retrieval_loop' THEN 'hard' ELSE 'dropped' END AS decision, failed_signal FROM s""",
-    "spec_matrix": "WITH m AS (SELECT f.fmt, f.b, l.n FROM (VALUES ('md', NULL), ('html', NULL), ('docx', NULL), ('pdf', 'mineru'), ('pdf', 'opendataloader'), ('pdf', 'naive')) f(fmt, b), (VALUES (3), (6), (10)) l(n), range(9)) SELECT fmt, b AS pdf_backend, count(*) AS n, sum(n)::BIGINT AS facts FROM m GROUP BY ALL",
+    "spec_matrix": """WITH m AS (SELECT f.fmt, f.b, l.n, concat_ws('-', concat_ws('x', f.fmt, f.b), s.s, l.l, c.c) AS key FROM (VALUES ('md', NULL), ('html', NULL), ('docx', NULL), ('pdf', 'mineru'), ('pdf', 'opendataloader'), ('pdf', 'naive')) f(fmt, b), (VALUES ('short', 3), ('medium', 6), ('long', 10)) l(l, n), (VALUES ('headings'), ('tables'), ('lists')) s(s), (VALUES ('concentrated'), ('scattered'), ('cross_section')) c(c)),
+k AS (SELECT *, row_number() OVER (ORDER BY key) - 1 AS nth FROM m) SELECT fmt, b AS pdf_backend, count(*) AS n, sum(n)::BIGINT AS facts FROM documents JOIN k ON nth = doc_id % (SELECT count(*) FROM m) GROUP BY ALL""",
     "rerank_delta": _deltas(),
     "pooled_recall": f"""WITH {HITS}, r0 AS (SELECT DISTINCT l_orderkey AS sample_id, l_partkey AS doc_id FROM lineitem WHERE l_quantity >= 40), r AS (SELECT * FROM r0 UNION SELECT h.sample_id, h.doc_id FROM h JOIN lineitem l ON l.l_orderkey = h.sample_id AND l.l_partkey = h.doc_id WHERE h.rn <= 10 AND l.l_discount > 0.07 AND h.sample_id IN (SELECT sample_id FROM r0)),
 {_ranked()} SELECT n.sample_id, round(count(r.doc_id) FILTER (pos <= 10) / any_value(n_rel), 6) AS value FROM n LEFT JOIN p USING (sample_id) LEFT JOIN r ON r.sample_id = p.sample_id AND r.doc_id = p.doc_id GROUP BY n.sample_id""",

@@ -148,10 +148,17 @@ def baseline_diff(spark, d):
 
 
 def comparability(spark, d):
-    one = spark.range(1)
-    now = one.select(F.lit("bge").alias("sparse_vector_provider"), F.lit(10).alias("top_k"), F.lit(60).alias("rrf_k"), F.lit("rrf").alias("fusion_strategy")).drop("id")
-    old = one.select(F.lit("bge").alias("sparse_vector_provider"), F.lit(20).alias("top_k"), F.lit(60).alias("rrf_k"), F.lit("weighted_score").alias("fusion_strategy")).drop("id")
-    return aggregate.incomparable(now, old).select("dimension")
+    """What the snapshots of two languages' documents differ in: their numbers of documents and sources, their first and last source."""
+    def snapshot(lang: str) -> DataFrame:
+        own = fx.table(spark, d, "documents").where(F.col("lang") == lang)
+        return own.agg(F.min("source").alias("sparse_vector_provider"), F.count(F.lit(1)).alias("top_k"), F.count_distinct("source").alias("rrf_k"), F.max("source").alias("fusion_strategy"))
+
+    return aggregate.incomparable(snapshot("en"), snapshot("de")).select("dimension")
+
+
+def first_relevant_rank(spark, d):
+    found = metrics.first_relevant_ranks(fx.line_hits(spark, d), fx.line_golden(spark, d))
+    return found.select("sample_id", "first_relevant_rank")
 
 
 def trend_lag(spark, d):
@@ -176,8 +183,9 @@ def windowed_run_quality(spark, d):
 
 
 def model_distinctness(spark, d):
-    roles = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(r).alias("role"), F.lit(m).alias("model")) for i, (r, m) in enumerate((("chat", "m1"), ("judge", "m2"), ("generator", "m1")))])))
-    return aggregate.equal_models(roles)
+    """Nations as roles, each with its region for a model; every fourth names none."""
+    nations = fx.table(spark, d, "nation").join(fx.table(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name"), "n_regionkey")
+    return aggregate.equal_models(nations.select(F.col("n_nationkey").alias("ord"), F.col("n_name").alias("role"), F.when(F.col("n_nationkey") % 4 == 0, "").otherwise(F.col("r_name")).alias("model")))
 
 
 def _document_golden(spark, d):
@@ -269,7 +277,10 @@ def gate_cascade(spark, d):
 
 
 def spec_matrix(spark, d):
-    return golden.spec_matrix(spark).groupBy("fmt", "pdf_backend").agg(F.count(F.lit(1)).alias("n"), F.sum("n_facts").alias("facts"))
+    """Specifications dealt out to documents in turn, in the order of their keys: documents and facts by format and backend."""
+    specs = golden.spec_matrix(spark).withColumn("nth", F.row_number().over(Window.orderBy("key")) - 1)  # a fixed, small matrix
+    docs = fx.table(spark, d, "documents").groupBy((F.col("doc_id") % specs.count()).alias("nth")).agg(F.count(F.lit(1)).alias("docs"))
+    return docs.join(specs, "nth").groupBy("fmt", "pdf_backend").agg(F.sum("docs").alias("n"), F.sum(F.col("docs") * F.col("n_facts")).alias("facts"))
 
 
 def rerank_delta(spark, d):
@@ -302,6 +313,6 @@ def abstention(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     retrieval_headline, dense_topk, sparse_dot_topk, bm25_topk, stored_bm25, route_filter, rrf_fusion, weighted_fusion, config_grid, grid_best, doc_dedup_ranks, source_overlap, metric_grouping_sets, ledger_rows, k_pivot,
-    run_quality, failed_source_counts, latency_median, nearest_rank_percentiles, baseline_diff, comparability, trend_lag, noise_floor, bootstrap_interval, windowed_run_quality, model_distinctness, precheck_anti,
+    run_quality, failed_source_counts, latency_median, nearest_rank_percentiles, baseline_diff, comparability, first_relevant_rank, trend_lag, noise_floor, bootstrap_interval, windowed_run_quality, model_distinctness, precheck_anti,
     manifest_join, golden_convert_graded, chunk_ids_uuid5, content_hash, stratified_pick, group_adjacent, allot_types, sparse_vector_clean, anchor_locate, gate_cascade, spec_matrix, rerank_delta, pooled_recall, degraded_order, abstention,
 )} | {f"{n}_at_k" if n in ("recall", "precision") else "hit_at_k" if n == "hit_rate" else n: _line_metric(n) for n in ("recall", "hit_rate", "precision", "mrr", "map", "ndcg_binary", "ndcg_graded")}

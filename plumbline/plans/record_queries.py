@@ -187,9 +187,10 @@ def rerank_applied_rate(spark, d):
 
 
 def rerank_top_n(spark, d):
-    """Deltas of a reranker that returns four: no k beyond that."""
+    """Deltas of a reranker that returns four, by quantity: no k beyond that."""
     hits = fx.line_hits(spark, d)
-    both = hits.withColumn("ordering", F.lit("rrf")).unionByName(hits.withColumn("ordering", F.lit("rerank")))
+    again = Window.partitionBy("sample_id").orderBy(F.desc("quantity"), "rank")
+    both = hits.withColumn("ordering", F.lit("rrf")).unionByName(hits.withColumn("rank", F.row_number().over(again) - 1).withColumn("ordering", F.lit("rerank")))
     return rerank.order_deltas(both, fx.line_golden(spark, d), top_n=4).select("metric", "k", F.round("delta", 6).alias("delta"), "n")
 
 
@@ -227,6 +228,7 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _AT = "a AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS nth FROM lineitem)"
+#: Fixed value: what normalising deletes.
 _DELETED = r"[\s　，。、；：？！“”‘’（）【】《》〈〉,.;:?!\"''()\[\]{}<>—\-_*`#>|\x0b]+"
 _TOKENS = r"list_concat(regexp_extract_all(lower(text), '[a-z0-9]+'), regexp_extract_all(lower(text), '[\x{4e00}-\x{9fff}]'))"
 
@@ -280,7 +282,7 @@ UNION ALL SELECT 'sparse', vec_id, 2, label, n FROM embeddings JOIN w USING (vec
         "judged_scores": """WITH s AS (SELECT ['faithfulness', 'context_recall', 'answer_correctness'][l_linenumber % 3 + 1] AS metric, l_discount AS score, l_returnflag = 'A' AS has FROM lineitem), t AS (SELECT *, metric <> 'faithfulness' AND NOT has AS skip FROM s)
 SELECT metric, round(avg(score) FILTER (NOT skip), 6) AS value, count(*) FILTER (NOT skip) AS n, count(*) FILTER (skip) AS skipped FROM t GROUP BY 1""",
         "rerank_applied_rate": "SELECT round(avg((l_returnflag = 'R')::INT), 6) AS rerank_applied_rate, count(*) AS n FROM lineitem WHERE l_returnflag <> 'N'",
-        "rerank_top_n": "WITH n AS (SELECT count(DISTINCT l_orderkey) AS n FROM lineitem WHERE l_quantity >= 40) SELECT unnest(['mrr', 'ndcg_binary', 'ndcg_binary']) AS metric, unnest([NULL, 1, 3]) AS k, 0.0::DOUBLE AS delta, n FROM n",
+        "rerank_top_n": f"WITH x AS ({ORACLES['rerank_delta']}) SELECT metric, k, delta, n FROM x WHERE coalesce(k, 0) <= 4",
         "rounded_means": "SELECT l_suppkey, round_even(avg(l_quantity), 4)::DOUBLE AS mean, count(*) < 15 AS small FROM lineitem GROUP BY 1",
         "report_cells": """WITH c AS (SELECT (l_discount - 0.05::DOUBLE) * CASE WHEN l_linenumber = 1 THEN 0.001::DOUBLE ELSE 1 END AS c, CASE WHEN l_returnflag <> 'R' THEN l_tax END AS t FROM lineitem)
 SELECT CASE WHEN abs(c) < 0.0005 THEN '±0.000' ELSE printf('%+.3f', c) END AS delta, CASE WHEN t IS NULL THEN '-' ELSE printf('%.3f', t) END AS tax, count(*) AS n FROM c GROUP BY 1, 2""",

@@ -40,7 +40,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.fingerprint_documents(_table(spark, sf_dir, "documents"))
+    return simhash.with_near_docs(simhash.fingerprint_documents(_table(spark, sf_dir, "documents")))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

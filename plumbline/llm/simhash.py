@@ -14,11 +14,14 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import join_uneven, written
+
 BITS = 256
 #: Odd multipliers, one for each 64 bits of a fingerprint.
 LANES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
@@ -28,6 +31,9 @@ _WORDS: dict[bytes, int] = {}
 MEMO = 200_000
 #: Terms whose bits are unpacked at a time.
 CHUNK = 4096
+#: Tables of near_counts, each with another 1 of so many blocks in front; the radius of near documents; fingerprints of a front that are compared in
+#: a task; members of small fronts that share a task.
+TABLES, RADIUS, BLOCK, TOGETHER = 8, 7, 2048, 1 << 16
 #: Bytes of texts of a range, as long as there are no more than so many ranges.
 RANGE_BYTES, MOST_RANGES = 64 << 20, 1 << 13
 
@@ -161,6 +167,69 @@ def within_radius(queries: DataFrame, index: DataFrame, radius: int, spare: int
     )
 
 
+def count_near(rows: pd.DataFrame, radius: int) -> pd.DataFrame:
+    """(id, near) of rows (front, t, side, id, n, fingerprint): how many rows of other fingerprints lie within the radius of each.
+
+    Rows of a front are compared in full, those of side 0 with those of side 1 or, if there are none, with one another.
+    A pair counts in the first of the tables that it meets in.
+    """
+    ids, near = rows["id"].to_numpy(np.int64), np.zeros(len(rows), np.int64)
+    order = np.argsort(rows["front"].to_numpy(), kind="stable")
+    front = rows["front"].to_numpy()[order]
+    words = np.frombuffer(bytes.fromhex("".join(rows["fingerprint"])), np.uint32).reshape(-1, TABLES)
+    n, side, table = (rows[c].to_numpy(np.int64) for c in ("n", "side", "t"))
+    for own in np.split(order, np.flatnonzero(np.diff(front)) + 1):
+        left, right = own[side[own] == 0], own[side[own] == 1]
+        alone = not len(right)
+        right = left if alone else right
+        for at in range(0, len(left), 128):
+            some = left[at : at + 128]
+            apart = words[some][:, None, :] ^ words[right][None, :, :]
+            met = np.bitwise_count(apart).sum(axis=2, dtype=np.int64) <= radius
+            t = table[own[0]]
+            met &= (apart[:, :, t] == 0) & (apart[:, :, :t] != 0).all(axis=2)
+            if alone:
+                met &= some[:, None] != right[None, :]
+            near[some] += met @ n[right]
+            if not alone:
+                near[right] += n[some] @ met
+    held = near > 0
+    return pd.DataFrame({"id": ids[held], "near": near[held]})
+
+
+def near_counts(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fingerprint, n, near): of every distinct fingerprint its number of rows, and of rows of others within the Hamming radius.
+
+    Fingerprints within the radius agree in one of TABLES blocks at least; each table brings another block to the front, and those
+    that share a front are compared in full. A front of many is cut into blocks that meet in pairs, a task each, and
+    only counts come out. A front's hash stands for it; what it mixes up is told apart by the bits.
+    """
+    if not 0 <= radius < TABLES:
+        raise ValueError(f"the radius must be under {TABLES}")
+    classes = fingerprints.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.monotonically_increasing_id())
+    classes = written(classes, "fingerprint-classes")
+    keys = F.array(*[F.xxhash64(F.lit(t), F.substring("fingerprint", t * BITS // 4 // TABLES + 1, BITS // 4 // TABLES)) for t in range(TABLES)])
+    fronts = classes.select("id", F.posexplode(keys).alias("t", "front"))
+    open_ = written(fronts.groupBy("front").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "fronts")
+    members = written(fronts.join(open_, "front").join(classes, "id").withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int")), "front-members")
+    together = 1 + members.count() // TOGETHER
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(
+        F.when(F.col("blocks") > 1, F.col("front")).otherwise(F.pmod(F.xxhash64("front"), F.lit(together))).alias("task"), F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
+        "front", "t", (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "n", "fingerprint",
+    )
+    near = dealt.groupBy("task", "x", "y").applyInPandas(lambda rows: count_near(rows, radius), "id long, near long").groupBy("id").agg(F.sum("near").alias("near"))
+    return written(classes.join(near, "id", "left").select("fingerprint", "n", F.coalesce("near", F.lit(0)).alias("near")), "near-counts")
+
+
+def with_near_docs(found: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """found, rows with a fingerprint, with near_docs: how many other rows' fingerprints lie within the radius, equal ones included."""
+    table = written(found, "fingerprints")
+    counts = near_counts(table.select("fingerprint"), radius)
+    counts = counts.select("fingerprint", "n", (F.col("n") - 1 + F.col("near")).alias("near_docs"))
+    return join_uneven(table, counts, ["fingerprint"], "n", table.count(), "doc_id")
+
+
 def _bits(column, low: int, high: int):
     """The hex digits that hold the bits, with the bits outside masked away at either end."""
     first, last = low // 4, (high - 1) // 4 + 1

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import audit, common, resampling, vectorjoin
+from plumbline.llm import audit, common, resampling, simhash, vectorjoin
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EXTRA = ("row", "part", "score", "rank", "key", "k1", "k2", "n", "d", "id", "kept", "digest", "first", "copies", "good", "A", "E", "slice", "bucket", "gain", "raw", "node", "_sent", "_spread")
@@ -256,3 +256,31 @@ def test_uneven_join_keeps_every_row(spark):
         found = common.join_uneven(rows, groups, ["key"], "n", total, "id")
         want = collections.Counter((i, k, {"hot": "h", "k3": "three"}.get(k)) for i, k in map(tuple, rows.collect()))
         assert collections.Counter(map(tuple, found.select("id", "key", "said").collect())) == want
+
+
+# 6: near fingerprints by block tables
+
+
+@pytest.mark.parametrize(("block", "together", "radius"), [(2048, 1 << 16, 7), (16, 40, 7), (8, 1, 3), (2048, 100, 0)])
+def test_near_documents_equal_all_pairs(spark, monkeypatch, block, together, radius):
+    """Copies, groups of near fingerprints, fronts of many, words that meet in several tables, and rows without ids."""
+    for name, value in (("BLOCK", block), ("TOGETHER", together)):
+        monkeypatch.setattr(simhash, name, value)
+    monkeypatch.setattr(common, "LARGE", 20)
+    rng = random.Random(2)
+    marks = []
+    for _ in range(12):
+        base = rng.getrandbits(256)
+        for _ in range(rng.choice([1, 4, 30])):
+            mark = base
+            for _ in range(rng.randrange(11)):
+                mark ^= 1 << rng.randrange(rng.choice([32, 256]))
+            marks.append(mark)
+    marks += [0] * 40 + [1, 3, 7 << 250, (1 << 256) - 1] + rng.choices(marks, k=20)
+    rows = [(i if i % 9 else None, f"{m:064x}") for i, m in enumerate(marks)]
+    got = simhash.with_near_docs(spark.createDataFrame(rows, "doc_id long, fingerprint string").repartition(3), radius).collect()
+    want = collections.Counter((d, f, sum((a ^ m).bit_count() <= radius for a in marks) - 1) for (d, f), m in zip(rows, marks, strict=True))
+    assert collections.Counter((r["doc_id"], r["fingerprint"], r["near_docs"]) for r in got) == want
+    assert simhash.with_near_docs(spark.createDataFrame([], "doc_id long, fingerprint string")).count() == 0
+    with pytest.raises(ValueError, match="radius"):
+        simhash.near_counts(spark.createDataFrame(rows, "doc_id long, fingerprint string"), 8)

@@ -184,7 +184,8 @@ class Change:
             out = rows
             if table["buckets"]:
                 out = rows.withColumn(BUCKET, F.pmod(F.xxhash64(table["bucket"]), F.lit(table["buckets"])).cast("int"))
-                out = out.repartition(BUCKET).sortWithinPartitions(BUCKET, table["bucket"]).write.partitionBy(BUCKET)
+                # A bucket of one frequent value may be most of all rows: it becomes several files.
+                out = out.hint("rebalance", F.col(BUCKET)).sortWithinPartitions(BUCKET, table["bucket"]).write.partitionBy(BUCKET)
             else:
                 out = out.write
             out.parquet(f"{self.at.root}/{entry['rows']}")

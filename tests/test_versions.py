@@ -87,6 +87,20 @@ def test_what_is_written_grows_with_the_change(spark, tmp_path):
     assert t.read("t").count() == 60_000 and held(t.read("t").where("id in ('5', '7')")) == [("5", 1), ("7", 1)]
 
 
+def test_a_bucket_of_one_value_is_several_files(spark, tmp_path):
+    t, names = Tables(spark, str(tmp_path)), ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    for name, value in zip(names, ("32k", "1k"), strict=True):
+        spark.conf.set(name, value)
+    try:
+        one = spark.range(60_000).repartition(6).select(F.lit("the").alias("token"), F.col("id").cast("string").alias("id"))
+        t.change().upsert("t", one, "id", "token", 8).commit()
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+    files = [f for d, _, names in os.walk(tmp_path / "data") for f in names if f.endswith(".parquet") and "bucket_=" in d]
+    assert len(files) > 1 and t.read("t").count() == 60_000
+
+
 def test_store_upserts_by_key(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     assert store.load("chunks") is None

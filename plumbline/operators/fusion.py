@@ -1,8 +1,8 @@
 """Route filtering, score fusion and parameter grids as one plan.
 
 route_hits: sample_id, source, route_rank (0-based, the order that the route returned), chunk_id, doc_id,
-dataset_id, score. Every function also takes extra leading keys, so that a grid is the same plan with an outcome's
-set_id beside sample_id.
+dataset_id, score. Every function also takes extra leading keys, so that a grid is the same plan with the settings
+beside sample_id.
 """
 
 from __future__ import annotations
@@ -108,25 +108,27 @@ def config_grid(spark: SparkSession, dense_top_ks: Iterable[int], sparse_top_ks:
 GRID_ROUTES = ("dense", "sparse")
 
 
-def _settings(configs: DataFrame, source: str) -> DataFrame:
-    """(source, top_k, threshold): the distinct settings of one route."""
-    return configs.select(F.lit(source).alias("source"), F.col(f"{source}_top_k").alias("top_k"), F.col(f"{source}_threshold").cast("double").alias("threshold")).distinct()
+def grid_settings(configs: DataFrame) -> dict[str, list[tuple[int, float]]]:
+    """The distinct (top_k, threshold) of each route, in order; a setting's number is its place. The driver holds the configs once."""
+    names = [f"{s}_{c}" for s in GRID_ROUTES for c in ("top_k", "threshold")]
+    found = configs.select(*names).collect()
+    return {s: sorted({(int(r[f"{s}_top_k"]), float(r[f"{s}_threshold"])) for r in found}) for s in GRID_ROUTES}
 
 
-def kept_sets(route_hits: DataFrame, samples: DataFrame, configs: DataFrame) -> DataFrame:
-    """(sample_id, source, set_id, settings, hits): what each route's settings keep of a sample's hits, each outcome once.
+def kept_sets(route_hits: DataFrame, samples: DataFrame, settings: dict[str, list[tuple[int, float]]]) -> DataFrame:
+    """(sample_id, source, settings, hits): what each route's settings keep of a sample's hits, each outcome once.
 
-    A sample's hits of a route are one row; every distinct setting cuts it once. settings are those with this outcome;
-    a sample without hits has one outcome of none.
+    A sample's hits of a route are one row; every distinct setting cuts it once. settings are the numbers of those with this
+    outcome; a sample without hits has one outcome of none.
     """
     hit = F.struct("route_rank", "chunk_id", "doc_id", "dataset_id", F.col("score").cast("double").alias("score"))
     pool = route_hits.where(F.col("source").isin(*GRID_ROUTES)).groupBy("sample_id", "source").agg(F.array_sort(F.collect_list(hit)).alias("pool"))
-    settings = reduce(DataFrame.unionByName, (_settings(configs, s) for s in GRID_ROUTES)).groupBy("source").agg(F.collect_list(F.struct("top_k", "threshold")).alias("settings"))
-    each = samples.select("sample_id").distinct().withColumn("source", F.explode(F.array(*map(F.lit, GRID_ROUTES)))).join(F.broadcast(settings), "source")  # a row for each route
-    asked = each.join(pool, ["sample_id", "source"], "left").select("sample_id", "source", "pool", F.explode("settings").alias("setting"))
+    listed = [F.array(*[F.struct(F.lit(i).alias("number"), F.lit(k).alias("top_k"), F.lit(t).alias("threshold")) for i, (k, t) in enumerate(settings[s])]) for s in GRID_ROUTES]
+    each = samples.select("sample_id").distinct().withColumn("source", F.explode(F.array(*map(F.lit, GRID_ROUTES))))
+    asked = each.join(pool, ["sample_id", "source"], "left").select("sample_id", "source", "pool", F.explode(F.when(F.col("source") == GRID_ROUTES[0], listed[0]).otherwise(listed[1])).alias("setting"))
     kept = F.slice(F.filter("pool", lambda h: h["score"] >= F.col("setting.threshold")), F.lit(1), F.col("setting.top_k"))
-    cut = asked.select("sample_id", "source", "setting", F.coalesce(kept, F.array().cast(dict(pool.dtypes)["pool"])).alias("hits")).withColumn("set_id", F.xxhash64(F.transform("hits", lambda h: h["route_rank"])))
-    return cut.groupBy("sample_id", "source", "set_id").agg(F.collect_list("setting").alias("settings"), F.first("hits").alias("hits"))
+    cut = asked.select("sample_id", "source", "setting.number", F.coalesce(kept, F.array().cast(dict(pool.dtypes)["pool"])).alias("hits")).withColumn("outcome", F.xxhash64(F.transform("hits", lambda h: h["route_rank"])))
+    return cut.groupBy("sample_id", "source", "outcome").agg(F.array_sort(F.collect_list("number")).alias("settings"), F.first("hits").alias("hits")).drop("outcome")
 
 
 def evaluate_grid(route_hits: DataFrame, golden: DataFrame, configs: DataFrame, failed: DataFrame | None = None, strategy: str = "rrf", top_k: int = 10, rrf_k: int = RRF_K, weights: dict[str, float] | None = None) -> DataFrame:
@@ -139,36 +141,35 @@ def evaluate_grid(route_hits: DataFrame, golden: DataFrame, configs: DataFrame,
     from plumbline.operators.metrics import ranked_ids, references
 
     refs = references(golden).where(F.size("ids") > 0)
-    sets = kept_sets(route_hits, refs, configs)
-    dense, sparse = (sets.where(F.col("source") == s).select("sample_id", *[F.col(c).alias(f"{s}_{c}") for c in ("set_id", "settings", "hits")]) for s in GRID_ROUTES)
-    both = dense.join(sparse, "sample_id").withColumn("set_id", F.xxhash64("dense_set_id", "sparse_set_id"))
-    keys = ("set_id", "sample_id")
-    listed = [both.select(*keys, F.lit(s).alias("source"), F.posexplode(f"{s}_hits").alias("kept_rank", "h")).select(*keys, "source", "kept_rank", "h.*") for s in GRID_ROUTES]
-    ranked = fuse(reduce(DataFrame.unionByName, listed), strategy, top_k, rrf_k, weights, keys)
-    one = F.concat_ws("\x1f", F.col("set_id").cast("string"), F.col("sample_id").cast("string"))
-    ranked = ranked.withColumns({"of": F.col("sample_id"), "pair": one})
-    # The pair of outcome and sample stands for the sample in the ranking.
-    placed = ranked_ids(ranked.drop("sample_id").withColumnRenamed("pair", "sample_id"), ranked.select("pair", "of").distinct().join(refs.select(F.col("sample_id").alias("of"), "granularity"), "of").select(F.col("pair").alias("sample_id"), "granularity"))
-    placed = placed.withColumns({"set_id": F.split("sample_id", "\x1f")[0].cast("long"), "of": F.split("sample_id", "\x1f")[1]}).join(refs.select(F.col("sample_id").cast("string").alias("of"), "ids"), "of")
+    # Of a sample, the settings that lead to an outcome tell it from others.
+    outcome = F.struct(F.array_join(F.transform("settings", lambda n: n.cast("string")), ",").alias("of"), "hits")
+    settings = grid_settings(configs)
+    sets = kept_sets(route_hits, refs, settings).groupBy("sample_id").agg(*[F.collect_list(F.when(F.col("source") == s, outcome)).alias(s) for s in GRID_ROUTES])  # one outcome a setting at most
+    both = sets.withColumn("d", F.explode("dense")).select("sample_id", "d", F.explode("sparse").alias("s"))
+    keys = ("dense_of", "sparse_of", "sample_id")
+    of = lambda side, source: F.transform(f"{side}.hits", lambda h, i: F.struct(F.lit(source).alias("source"), i.alias("kept_rank"), *[h[c].alias(c) for c in ("chunk_id", "doc_id", "dataset_id", "score")]))
+    listed = both.select(F.col("d.of").alias("dense_of"), F.col("s.of").alias("sparse_of"), "sample_id", F.inline(F.concat(of("d", "dense"), of("s", "sparse"))))
+    ranked = fuse(listed, strategy, top_k, rrf_k, weights, keys)
+    placed = ranked_ids(ranked, refs.select("sample_id", "granularity"), keys).join(refs.select("sample_id", "ids"), "sample_id")
     rel = F.array_contains("ids", F.col("ref"))
-    so_far = Window.partitionBy("sample_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = placed.withColumn("rel", rel).withColumn("so_far", F.sum(F.col("rel").cast("int")).over(so_far))
-    per = placed.groupBy("set_id", "of").agg(
+    per = placed.groupBy(*keys).agg(
         F.first(F.size("ids")).alias("n_rel"), F.count(F.lit(1)).alias("n_ret"), F.sum((F.col("rel") & F.col("fresh") & (F.col("pos") <= top_k)).cast("int")).alias("found"),
         F.min(F.when(F.col("rel"), F.col("pos"))).alias("first_rel"), F.sum(F.when(F.col("rel"), F.col("so_far") / F.col("pos")).otherwise(0.0)).alias("precisions"),
     )
     per = per.select(
-        "set_id", "of", (F.col("found") / F.col("n_rel")).alias("recall"), (F.col("found") > 0).cast("double").alias("hit_rate"), (F.col("precisions") / F.least("n_rel", "n_ret")).alias("map"),
+        *keys, (F.col("found") / F.col("n_rel")).alias("recall"), (F.col("found") > 0).cast("double").alias("hit_rate"), (F.col("precisions") / F.least("n_rel", "n_ret")).alias("map"),
         F.coalesce(1 / F.col("first_rel").cast("double"), F.lit(0.0)).alias("mrr"),
     )
-    reached = both.select("set_id", F.col("sample_id").cast("string").alias("of"), "dense_settings", "sparse_settings").join(per, ["set_id", "of"])
-    # Measures are summed by the pair of settings lists first: samples share few of them.
+    # Measures are summed by the pair of lists of settings first: samples share few of them.
     names = ("recall", "hit_rate", "map", "mrr")
-    summed = reached.groupBy(F.array_sort("dense_settings").alias("d"), F.array_sort("sparse_settings").alias("s")).agg(*[F.sum(c).alias(c) for c in names])
-    listed = summed.withColumn("d", F.explode("d")).withColumn("s", F.explode("s"))
-    listed = listed.select(F.col("d.top_k").alias("dense_top_k"), F.col("d.threshold").alias("dense_threshold"), F.col("s.top_k").alias("sparse_top_k"), F.col("s.threshold").alias("sparse_threshold"), *names)
-    # Settings that no config pairs go with the join.
-    sums = listed.groupBy("dense_top_k", "dense_threshold", "sparse_top_k", "sparse_threshold").agg(*[F.sum(c).alias(c) for c in names])
+    summed = per.groupBy("dense_of", "sparse_of").agg(*[F.sum(c).alias(c) for c in names])
+    summed = summed.withColumn("dense_number", F.explode(F.split("dense_of", ","))).withColumn("sparse_number", F.explode(F.split("sparse_of", ",")))
+    sums = summed.groupBy("dense_number", "sparse_number").agg(*[F.sum(c).alias(c) for c in names])
+    for source in GRID_ROUTES:
+        numbers = [(str(i), k, t) for i, (k, t) in enumerate(settings[source])]
+        sums = sums.join(F.broadcast(configs.sparkSession.createDataFrame(numbers, f"{source}_number string, {source}_top_k int, {source}_threshold double")), f"{source}_number")  # as few as settings
     n = golden.count()
     n_failed = failed.distinct().count() if failed is not None else 0
     share = lambda c: (F.coalesce(c, F.lit(0.0)) / F.lit(n) if n else F.lit(0.0)).alias(c)

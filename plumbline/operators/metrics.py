@@ -31,14 +31,14 @@ def references(golden: DataFrame) -> DataFrame:
     )
 
 
-def ranked_ids(hits: DataFrame, granularity: DataFrame) -> DataFrame:
-    """(sample_id, granularity, ref, pos, fresh): what is ranked, from 1. Documents count where they come first
+def ranked_ids(hits: DataFrame, granularity: DataFrame, keys: Sequence[str] = ("sample_id",)) -> DataFrame:
+    """(keys, granularity, ref, pos, fresh): what is ranked, from 1. Documents count where they come first
     and close ranks; chunks all count, and fresh marks an id's first place."""
     ref = F.when(F.col("granularity") == "doc", F.col("doc_id").cast("string")).otherwise(F.col("chunk_id"))
     placed = hits.join(granularity, "sample_id").withColumn("ref", ref)
-    again = Window.partitionBy("sample_id", "ref").orderBy("rank")
+    again = Window.partitionBy(*keys, "ref").orderBy("rank")
     placed = placed.withColumn("nth", F.row_number().over(again)).where((F.col("granularity") == "chunk") | (F.col("nth") == 1))
-    return placed.select("sample_id", "granularity", "ref", F.row_number().over(Window.partitionBy("sample_id").orderBy("rank")).alias("pos"), (F.col("nth") == 1).alias("fresh"))
+    return placed.select(*keys, "granularity", "ref", F.row_number().over(Window.partitionBy(*keys).orderBy("rank")).alias("pos"), (F.col("nth") == 1).alias("fresh"))
 
 
 def _discounted(gains: Column, k: int) -> Column:

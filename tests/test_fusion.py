@@ -103,7 +103,7 @@ def test_grid_fuses_each_outcome_once(spark):
     golden = spark.createDataFrame([("s", ["c1"], None)], "sample_id string, expected_chunk_ids array<string>, expected_doc_ids array<bigint>")
     configs = fusion.config_grid(spark, [5, 20, 50, 100, 150], [5, 20, 30, 50], [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6], [0, 0.1, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7])
     assert configs.count() == 1260
-    sets = fusion.kept_sets(hits, golden, configs).collect()
+    sets = fusion.kept_sets(hits, golden, fusion.grid_settings(configs)).collect()
     assert {(r["source"], len(r["hits"])) for r in sets} == {("dense", 5), ("dense", 20), ("sparse", 5), ("sparse", 20)}
     assert sum(len(r["settings"]) for r in sets) == 35 + 36
     results = fusion.evaluate_grid(hits, golden, configs)

@@ -36,11 +36,16 @@ def _delete(spark: SparkSession, name: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: lineage ends there, and a lost executor costs one re-read."""
+def written(df: DataFrame, name: str, group: int | None = None) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: lineage ends there, and a lost executor costs one re-read.
+
+    group: bytes after which a row group ends, for rows of many values. Writers hold a row group whole, readers up to 4096
+    rows of one, and neither looks at its size before the hundredth row unless told to.
+    """
     spark = df.sparkSession
     path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    how = {} if group is None else {"parquet.block.size": group, "parquet.page.size.row.check.min": 1}
+    df.write.options(**how).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.written_to = path
     return table

@@ -26,6 +26,8 @@ from plumbline.llm.common import text_bytes, with_columns, written
 BUCKETS, LONGEST, SEED, PERCENT, LEAST_WORDS = 10_000, 1, 2024, 10, 20
 #: A block ends with so many documents or postings; a bucket's postings are dealt out by block. Ranges that buckets are dealt into.
 BLOCK, POSTINGS, RANGES = 4096, 1 << 19, 32
+#: Bytes after which a row group of blocks ends: a task holds a few blocks, however many it writes or reads.
+GROUP = 2 << 20
 #: Word bytes are digits, letters, and all bytes of characters beyond ASCII; others part words. A-Z become a-z.
 _KEPT = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -88,7 +90,7 @@ def document_postings(docs: DataFrame, buckets: int = BUCKETS, longest: int = LO
         if block.ids:
             yield block.batch()
 
-    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes()).mapInArrow(run, _POSTINGS), "postings")
+    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes()).mapInArrow(run, _POSTINGS), "postings", GROUP)
 
 
 def _listed(postings: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -239,6 +240,16 @@ def test_draw_equals_brute_force(spark, monkeypatch, longest, percent):
     assert collections.Counter(map(tuple, found.collect())) == draw_wanted(rows, target, longest, percent)
 
 
+def test_a_task_holds_few_blocks_of_postings(spark, monkeypatch):
+    for name, value in (("BLOCK", 16), ("GROUP", 4096)):
+        monkeypatch.setattr(resampling, name, value, raising=False)
+    rows = [(i, " ".join(f"w{i * 31 + j}" for j in range(60))) for i in range(160)]
+    found = resampling.document_postings(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    groups = [part.row_group(g).num_rows for f in found.inputFiles() for part in [pq.ParquetFile(f.removeprefix("file://")).metadata] for g in range(part.num_row_groups)]
+    assert sum(groups) == 10
+    assert max(groups) <= 2
+
+
 def test_draw_of_empty_tables(spark):
     rows = draw_rows()
     docs, none = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")

@@ -8,15 +8,16 @@ could have been chosen.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import ratio
+from plumbline.functions.text import by_rows, ratio
 
-#: Characters are counted by their last bits; characters that share them only loosen the bound.
-CLASSES = 64
+#: Characters are counted by their last bits; characters that share them only loosen the bound. Of so few texts each is looked at first.
+CLASSES, FEW = 64, 64
 
 
 def bit_masks(text: str) -> dict[str, int]:
@@ -49,7 +50,7 @@ class _Free:
 
     def __init__(self, texts: list[str], least: float):
         self.texts, self.least = texts, least
-        self.free, self.lengths, self.counts = np.ones(len(texts), bool), np.array([len(t) for t in texts], np.int64), None
+        self.free, self.lengths, self.counts = [True] * len(texts), None, None
         self.places: dict[str, list[int]] = {}
         for at, text in enumerate(texts):
             self.places.setdefault(text, []).append(at)
@@ -65,20 +66,34 @@ class _Free:
             places.pop()
         return places[-1] if places else None
 
-    def possible(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(places, bounds) of the free texts that lengths and characters allow, the greatest bound first, later ones of equal ones first."""
+    def _near(self, text: str) -> list[int]:
+        """The places of free texts that have a length that will do and a character of this one."""
+        n, own = len(text), set(text)
+        return [i for i, (free, t) in enumerate(zip(self.free, self.texts, strict=True)) if free and 2.0 * min(len(t), n) >= self.least * (len(t) + n) and not own.isdisjoint(t)]
+
+    def possible(self, text: str) -> list[tuple[int, float]]:
+        """(place, bound) of the free texts that lengths and characters allow, the greatest bound first, later ones of equal ones first."""
+        if self.least > 0 and len(self.texts) <= FEW and len(near := self._near(text)) <= FEW // 8:
+            own, found = Counter(text), []
+            for at in near:
+                other = self.texts[at]
+                bound = 2.0 * sum(min(n, other.count(c)) for c, n in own.items()) / (len(other) + len(text))
+                if bound >= self.least:
+                    found.append((at, bound))
+            return sorted(found, key=lambda x: (-x[1], -x[0]))
         if self.counts is None:
-            self.counts = _counts(self.texts)
+            self.counts, self.lengths = _counts(self.texts), np.array([len(t) for t in self.texts], np.int64)
         n = len(text)
-        at = np.flatnonzero(self.free & (2.0 * np.minimum(self.lengths, n) >= self.least * (self.lengths + n)))
+        at = np.flatnonzero(np.array(self.free, bool) & (2.0 * np.minimum(self.lengths, n) >= self.least * (self.lengths + n)))
         bounds = 2.0 * np.minimum(self.counts[at], _counts([text])[0]).sum(axis=1) / np.maximum(self.lengths[at] + n, 1)
         at, bounds = at[bounds >= self.least], bounds[bounds >= self.least]
         order = np.lexsort((-at, -bounds))
-        return at[order], bounds[order]
+        return list(zip(at[order].tolist(), bounds[order].tolist(), strict=True))
 
     def best(self, text: str) -> int | None:
-        best, found, masks, full = self.least, -1, bit_masks(text), (1 << len(text)) - 1
-        for at, bound in zip(*(x.tolist() for x in self.possible(text)), strict=True):
+        best, found, possible = self.least, -1, self.possible(text)
+        masks, full = bit_masks(text) if possible else {}, (1 << len(text)) - 1
+        for at, bound in possible:
             if bound < best:
                 break
             other = self.texts[at]
@@ -119,22 +134,14 @@ def inversion_count(places: list[int]) -> int:
     return total
 
 
-def _places(ref: pd.Series, made: pd.Series, least: pd.Series) -> pd.Series:
-    return pd.Series([[j for _, j in greedy_pairs(list(a), list(enumerate(b)), m)] for a, b, m in zip(ref, made, least, strict=True)])
-
-
-def _pairs(ref: pd.Series, made: pd.Series, least: pd.Series) -> pd.Series:
-    return pd.Series([[{"i": i, "j": j} for i, j in greedy_pairs(list(a), list(enumerate(b)), m)] for a, b, m in zip(ref, made, least, strict=True)])
-
-
 def aligned(ref: Column, made: Column, least: float) -> Column:
     """The pairs (i, j) of two arrays of texts, by i; a text of ref without a partner has none."""
-    return F.pandas_udf(_pairs, "array<struct<i:int,j:int>>")(ref, made, F.lit(least))
+    return by_rows(lambda a, b: [{"i": i, "j": j} for i, j in greedy_pairs(a, list(enumerate(b)), least)], "array<struct<i:int,j:int>>", ref, made)
 
 
 def aligned_places(ref: Column, made: Column, least: float) -> Column:
     """The j of aligned(), in the order of i."""
-    return F.pandas_udf(_places, "array<int>")(ref, made, F.lit(least))
+    return by_rows(lambda a, b: [j for _, j in greedy_pairs(a, list(enumerate(b)), least)], "array<int>", ref, made)
 
 
 def with_inversions(rows: DataFrame, places: str) -> DataFrame:

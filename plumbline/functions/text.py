@@ -5,12 +5,20 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Callable
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.functions import ArrowUDFType
+from pyspark.sql.pandas.types import to_arrow_type
+
+#: Rows of a batch that are Python's objects at a time; characters of two texts whose ratio is kept for when they meet again.
+ROWS, SHORT = 256, 128
 
 #: What normalising deletes, the CJK block that is read by character, a latin word.
 DELETED = r"[\s　，。、；：？！“”‘’（）【】《》〈〉,.;:?!\"'()\[\]{}<>—\-_*`#>|]+"
@@ -39,20 +47,46 @@ def first_json_object(text: pd.Series) -> pd.Series:
 
 
 def folded(text: str) -> str:
-    return unicodedata.normalize("NFKC", text).lower()
+    return text.lower() if text.isascii() else unicodedata.normalize("NFKC", text).lower()
 
 
 def normalised(text: str) -> str:
-    return _DELETED.sub("", folded(text))
+    low = folded(text)
+    return low if low.isalnum() else _DELETED.sub("", low)  # letters and digits are never deleted
 
 
 def token_list(text: str) -> list[str]:
     low = folded(text)
-    return _WORD.findall(low) + _CJK.findall(low)
+    return _WORD.findall(low) if low.isascii() else _WORD.findall(low) + _CJK.findall(low)
 
 
 def ratio(a: str, b: str) -> float:
-    return SequenceMatcher(None, a, b).ratio() if a or b else 1.0
+    """The share of matching blocks: 1 for equal texts, 0 for those without a common character."""
+    if a == b:
+        return 1.0
+    if set(a).isdisjoint(b):
+        return 0.0
+    return _short_ratio(a, b) if len(a) + len(b) <= SHORT else SequenceMatcher(None, a, b).ratio()
+
+
+@lru_cache(1 << 15)
+def _short_ratio(a: str, b: str) -> float:
+    return SequenceMatcher(None, a, b).ratio()
+
+
+def by_rows(made: Callable, kind: str, *columns: Column) -> Column:
+    """What made makes of each row's values, some rows at a time: no more than those are Python's objects.
+
+    Told as not deterministic, since Spark computes others twice beneath explode: once for the filter that it infers.
+    """
+    arrow = to_arrow_type(T._parse_datatype_string(kind))
+
+    def run(*batch: pa.Array) -> pa.Array:
+        parts = [pa.array([made(*row) for row in zip(*(c.slice(at, ROWS).to_pylist() for c in batch), strict=True)], arrow) for at in range(0, len(batch[0]), ROWS)]
+        return pa.concat_arrays(parts) if parts else pa.array([], arrow)
+
+    run.__annotations__ = {}
+    return F.arrow_udf(run, kind, ArrowUDFType.SCALAR).asNondeterministic()(*columns)
 
 
 def parse_object(text: str) -> dict | None:

@@ -20,8 +20,9 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
     flags = fx.table(spark, d, "lineitem")
     order = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_partkey", "l_suppkey", "l_linenumber")
     line = F.struct((F.row_number().over(order) - 1).alias("rank"), F.col("l_quantity").cast("int").alias("quantity"), F.col("l_returnflag").alias("flag"), F.col("l_partkey").alias("part"))
-    ranked = flags.select(F.col("l_orderkey").alias("sample_id"), line.alias("line"))
-    return ranked.groupBy("sample_id").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    # Grouped by the window's own column, before it is renamed: lines are shuffled once.
+    ranked = flags.select("l_orderkey", line.alias("line")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    return ranked.select(F.col("l_orderkey").alias("sample_id"), "lines")
 
 
 def _told(lines: str | Column, block: Callable[[Column], Column], end: str = "\n\n") -> Column:

@@ -2,6 +2,7 @@
 
 import random
 import time
+from difflib import SequenceMatcher
 from itertools import combinations
 
 import pytest
@@ -117,3 +118,28 @@ def test_plans_over_blocks_equal_the_scores_of_one_pair(spark):
         assert plan.count("ArrowEvalPython") <= (2 if part == "order" else 1) and "MapInArrow" not in plan
     runs = spark.createDataFrame([("a", ["a b", "A, b!", "c"]), ("b", None), ("c", []), ("d", ["x", None]), ("a", ["x"] * 5), (None, ["", " ", "y"])], "sample_id string, repeats array<string>")
     assert sorted(said(*r) for r in md.stability_scores(runs).collect()) == sorted(said(*r) for r in [("a", 0.3333), ("b", 1.0), ("c", 1.0), ("d", 1.0), ("a", 1.0), (None, 0.3333)])
+
+
+def test_far_texts_are_not_counted(monkeypatch):
+    def counted(*_):
+        raise AssertionError("characters of texts that can't be alike were counted")
+
+    monkeypatch.setattr(alignment, "_counts", counted)
+    assert alignment.greedy_pairs(["aaaa", "bbbb", "abcd"], [(0, "zzzz"), (1, "aaaa" * 9), (2, "dbcd"), (3, "abcx")], 0.6) == [(2, 3)]
+
+
+def test_equal_and_disjoint_texts_need_no_blocks(monkeypatch):
+    def compared(*_):
+        raise AssertionError("matching blocks were sought")
+
+    monkeypatch.setattr(text, "SequenceMatcher", compared)
+    assert (text.ratio("x" * 300, "x" * 300), text.ratio("ab", "cd"), text.ratio("", "a"), text.ratio("", "")) == (1.0, 0.0, 0.0, 1.0)
+
+
+def test_ratio_is_that_of_matching_blocks():
+    rng = random.Random(3)
+    for size in (1, 8, 60, 150, 260):
+        for letters in ("ab", "abcdefgh", "abc \u4e00\u00e9xyz" * 3):
+            a, b = ("".join(rng.choice(letters) for _ in range(rng.randint(0, size))) for _ in "ab")
+            for x, y in ((a, b), (a, a), (a + b, b + a)):
+                assert text.ratio(x, y) == (SequenceMatcher(None, x, y).ratio() if x or y else 1.0)

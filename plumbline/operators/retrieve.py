@@ -20,8 +20,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from plumbline.functions.text import search_tokens, tokens
 from plumbline.operators import scoring
 
-#: Bytes of queries that are sent at a time; scores of a step.
-SENT_VECTORS, STEP = 64 << 20, 4 << 20
+#: Bytes of queries that are sent at a time, and of what tasks hold of them; scores of a step; bytes of a query's hit so far.
+SENT_VECTORS, STEP, HELD = 64 << 20, 1 << 20, 16
 #: Fixed values of the BM25 encoder: term saturation, length weight, fixed mean lengths of coarse and fine tokens, and
 #: the weight of coarse ones.
 K1, B, COARSE_LENGTH, FINE_LENGTH, COARSE_BOOST = 1.2, 0.75, 200.0, 220.0, 2.0
@@ -73,7 +73,7 @@ def dense(queries: DataFrame, corpus: DataFrame, top_k: int = 10, threshold: flo
     held = corpus.select("chunk_id", F.col("vector").cast("array<double>").alias("vector")).where("vector is not null")
     size = asked.agg(F.max(8 * F.size("vector"))).first()[0] or 0
     schema, out = hits_schema(queries, corpus), []
-    for own in blocks(asked, size):
+    for own in blocks(asked, size + HELD * top_k):
         vectors = np.concatenate([c.flatten().to_numpy() for c in own.column(1).chunks]).reshape(own.num_rows, -1)
         out.append(_nearest(held, pa.concat_arrays(own.column(0).chunks), vectors, top_k, schema))
     return top(all_hits(out, queries.sparkSession, schema), top_k, "dense", threshold)

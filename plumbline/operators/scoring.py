@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 
 #: Scores of a step, rows times queries; places to which scores are compared; what a bound may be off by.
-STEP, PLACES, OFF = 4 << 20, 9, 1e-6
+STEP, PLACES, OFF = 1 << 20, 9, 1e-6
 
 
 @dataclass

@@ -3,8 +3,10 @@
 import collections
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +100,18 @@ def test_bm25_equals_all_pairs(spark, monkeypatch, sent):
     if sent > 300:
         unread = plan(retrieve.bm25(frame(asked, "sample_id"), frame(corpus, "chunk_id"), 5, token_bag))
         assert unread.count("Exchange") == 1 and "Join" not in unread
+
+
+def test_a_step_of_scores_is_small():
+    rng = np.random.default_rng(4)
+    queries, dims = 1000, 32
+    lists = scoring.Lists(pa.array(range(queries)), np.repeat(np.arange(queries), 4), rng.integers(0, dims, 4 * queries), rng.random(4 * queries), dims)
+    n = scoring.STEP // queries
+    rows = scoring.Rows(list(range(n)), np.repeat(np.arange(n), 4), np.tile(np.arange(4), n), rng.random(4 * n))
+    best = scoring.Best(lists, 5)
+    tracemalloc.start()
+    best.add(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(best.query)
+    assert peak < 64 << 20

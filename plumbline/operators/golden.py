@@ -272,12 +272,31 @@ def miss_rates(located: DataFrame, bucket: str) -> DataFrame:
 LONGEST_RUN = 64
 
 
+#: Facts of a document that are compared one with another; those of larger ones meet by runs.
+FEW_FACTS = 64
+
+
 def distinct_facts(facts: DataFrame) -> DataFrame:
     """facts (doc_id, fact_id, anchor, ..) without those whose anchor holds another fact's of the same document; of equal anchors the least fact_id stays.
 
-    An anchor that holds another one holds its first characters, as many as a power of two allows. Anchors list their
-    runs of those lengths, and meet by document and run: rows grow with the characters, not with pairs of facts.
+    Facts of a document that has at most FEW_FACTS are compared where they lie. Of the others, an anchor that holds another
+    one holds its first characters, as many as a power of two allows. Anchors list their runs of those lengths, and meet
+    by document and run: rows grow with the characters, not with pairs of facts.
     """
+    told = facts.where("anchor is not null and doc_id is not null")
+    rest = facts.where("anchor is null or doc_id is null")
+    many = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
+    few = told.withColumn("_many", many).where(F.col("_many") <= FEW_FACTS).drop("_many").groupBy("doc_id").agg(F.collect_list(F.struct(*facts.columns)).alias("_of"))
+    same = lambda x: F.array_min(F.transform(F.filter("_of", lambda y: y["anchor"] == x["anchor"]), lambda y: y["fact_id"]))
+    holds = lambda x: F.exists("_of", lambda y: (y["anchor"] != x["anchor"]) & F.contains(x["anchor"], y["anchor"]))
+    alone = few.select(F.inline(F.filter("_of", lambda x: (x["fact_id"] == same(x)) & ~holds(x))))
+    if told.groupBy("doc_id").count().where(F.col("count") > FEW_FACTS).isEmpty():
+        return alone.unionByName(rest)
+    crowded = told.withColumn("_many", many).where(F.col("_many") > FEW_FACTS).drop("_many")
+    return alone.unionByName(_distinct_by_runs(crowded)).unionByName(rest)
+
+
+def _distinct_by_runs(facts: DataFrame) -> DataFrame:
     whole = facts.where("anchor is not null").groupBy("doc_id", "anchor").agg(F.min("fact_id").alias("first"))
     n = F.length("anchor")
     sizes = F.array(F.lit(0), *[F.lit(1 << i) for i in range(LONGEST_RUN.bit_length())])
@@ -289,7 +308,7 @@ def distinct_facts(facts: DataFrame) -> DataFrame:
     holding = outer.join(inner, ["doc_id", "run"]).where((F.col("anchor") != F.col("inner")) & F.contains("anchor", "inner")).select("doc_id", "anchor").distinct()
     stay = whole.join(holding, ["doc_id", "anchor"], "left_anti").select("doc_id", "anchor", F.col("first").alias("fact_id"))
     # A fact_id that a document has twice stays as often as it is there.
-    return facts.join(stay, ["doc_id", "fact_id", "anchor"], "left_semi").unionByName(facts.where("anchor is null or doc_id is null"))
+    return facts.join(stay, ["doc_id", "fact_id", "anchor"], "left_semi")
 
 
 def missing_anchors(facts: DataFrame, composed: DataFrame) -> DataFrame:

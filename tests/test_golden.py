@@ -141,3 +141,16 @@ def test_specs_render_and_models(spark):
 def test_search_tokens(spark):
     row = spark.createDataFrame([("BM25 检索。向量 文ABC检",)], "t string").select(text.search_tokens(F.col("t")).alias("x")).first()["x"]
     assert "bm25" in row and "检索" in row and "向量" in row and "索向" not in row and "文检" not in row
+
+
+def test_few_facts_are_compared_where_they_lie(spark, monkeypatch):
+    rows = [(1, 5, "abc", "u"), (1, 4, "abc", "v"), (1, 4, "abc", "w"), (1, 6, "xabcx", "u"), (1, None, "q", "u"), (1, 7, None, "u"), (None, 8, "abc", "u"), (2, 1, "", "u"), (2, 2, "z", "u"), (3, 1, "xabcx", "u")]
+    rows += [(9, i, "y" * (1 + i // 2), "u") for i in range(8)]
+    facts = spark.createDataFrame(rows, "doc_id long, fact_id long, anchor string, other string")
+    wanted = sorted([(1, 4, "abc", "v"), (1, 4, "abc", "w"), (1, 7, None, "u"), (None, 8, "abc", "u"), (2, 1, "", "u"), (3, 1, "xabcx", "u"), (9, 0, "y", "u")], key=str)
+    for few in (64, 6, 0):
+        monkeypatch.setattr(golden, "FEW_FACTS", few, raising=False)
+        found = golden.distinct_facts(facts)
+        assert sorted(map(tuple, found.collect()), key=str) == wanted
+        if few == 64:
+            assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -36,7 +36,7 @@ _A = _RNG.integers(0, 1 << 31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uin
 _B = _RNG.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
 _PLACE = _RNG.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_MEMO = 200_000
+_MEMO = 50_000
 _WORDS: dict[bytes, int] = {}
 #: Shingles hashed at a time; rows of a block at least and at most, the number of a bucket's blocks in between, and
 #: shingles of a block on average; rows of buckets of one block that a task takes together.

@@ -26,7 +26,7 @@ BUCKETS, BINS, RANK = 1 << 13, 12, 8
 SAMPLE = 4000
 #: predicted is 1 from this score on.
 THRESHOLD = 0.3
-_MEMO = 200_000
+_MEMO = 50_000
 _BUCKET: dict[bytes, int] = {}
 _UPPER, _LOWER, _DIGIT = bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58))
 _SPACE, _MARK = b" \t\n\x0b\x0c\r", b"#*$%&|<>"

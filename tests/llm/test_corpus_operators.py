@@ -7,6 +7,7 @@ import hashlib
 import os
 import random
 import re
+import sys
 import time
 import zlib
 from types import SimpleNamespace
@@ -523,6 +524,15 @@ def test_pieces_are_encoded_exactly(reference_encoding):
         bpe.BytePairEncoder({b"a": 0}, public_tokenizers.PATTERN)
 
 
+def test_a_kept_piece_is_a_short_text():
+    with open(VOCABULARY, "rb") as f:
+        encoder = bpe.BytePairEncoder(bpe.read_ranks(f.read()), public_tokenizers.PATTERN)
+    weight = lambda v: sys.getsizeof(v) + (sum(map(weight, v)) if isinstance(v, tuple) else 0)
+    ids, said = encoder.encode(" ".join(f"x{i}qzv" for i in range(3000)))
+    assert said == ",".join(map(str, ids)) and encoder.encode("") == ([], "")
+    assert 3000 < len(encoder._pieces) < 4000 and sum(map(weight, encoder._pieces.values())) < 100 * len(encoder._pieces)
+
+
 # 8: line dedup
 
 

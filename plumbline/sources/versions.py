@@ -73,21 +73,30 @@ class Tables:
             return {"version": 0, "tables": {}}
         return json.loads(self._read_text(f"{self.root}/manifests/{version:09}.json"))
 
-    def read(self, name: str, version: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
-        """The rows of a table in a version, the last one if none is told; only those of some buckets, if they are told. None: no such table."""
+    def read(self, name: str, version: int | None = None, buckets: list[int] | None = None, of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame | None:
+        """The rows of a table in a version, the last one if none is told; only those of some buckets, if they are told. None: no such table.
+
+        of makes of each entry's rows what is wanted of them, with their key, before changes are merged, so that no others are shuffled.
+        """
         table = self.manifest(version)["tables"].get(name)
         if table is None:
             return None
-        rows = self._merged(table, buckets)
+        rows = self._merged(table, buckets, of)
         return rows.drop(BUCKET, "seq_") if table["buckets"] else rows.drop("seq_")
 
-    def _entry_rows(self, table: dict, entry: dict, buckets: list[int] | None) -> DataFrame:
+    def kept(self, rows: DataFrame) -> DataFrame:
+        """The rows, written beside the tables, so that several plans read them; vacuum() deletes them."""
+        path = f"{self.root}/data/{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def _entry_rows(self, table: dict, entry: dict, buckets: list[int] | None, of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
         rows = self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/{entry['rows']}")
         if entry.get("without"):
             rows = rows.where(~F.col(BUCKET).isin(entry["without"]))
         if buckets is not None and table["buckets"]:
             rows = rows.where(F.col(BUCKET).isin(buckets))
-        return rows.withColumn("seq_", F.lit(entry["seq"]))
+        return (rows if of is None else of(rows)).withColumn("seq_", F.lit(entry["seq"]))
 
     def _changed(self, table: dict) -> DataFrame | None:
         """(key, last_): of the keys that were changed the last change. The first entry's keys can't be older than anything."""
@@ -100,14 +109,15 @@ class Tables:
             out = out.unionByName(one)
         return out.groupBy(table["key"]).agg(F.max("last_").alias("last_"))
 
-    def _merged(self, table: dict, buckets: list[int] | None = None) -> DataFrame:
+    def _merged(self, table: dict, buckets: list[int] | None = None, of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
         rows = None
         for entry in table["entries"]:
             if entry["rows"]:
-                own = self._entry_rows(table, entry, buckets)
+                own = self._entry_rows(table, entry, buckets, of)
                 rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
         if rows is None:
-            return self.spark.createDataFrame([], table["schema"]).withColumns({"seq_": F.lit(0)} | ({BUCKET: F.lit(0)} if table["buckets"] else {}))
+            none = self.spark.createDataFrame([], table["schema"]).withColumns({BUCKET: F.lit(0)} if table["buckets"] else {})
+            return (none if of is None else of(none)).withColumn("seq_", F.lit(0))
         changed = self._changed(table)
         if changed is None:
             return rows
@@ -196,16 +206,17 @@ class Change:
             own.select(table["key"]).distinct().write.parquet(f"{self.at.root}/{entry['keys']}")
         table["entries"].append(entry)
 
-    def upsert(self, name: str, rows: DataFrame, key: str, bucket: str | None = None, buckets: int = 0, several: bool = False) -> Change:
+    def upsert(self, name: str, rows: DataFrame, key: str, bucket: str | None = None, buckets: int = 0, several: bool = False, keys: DataFrame | None = None) -> Change:
         """Rows that replace those of their keys. A key has one row, any of those told, or with several all of them.
 
+        keys: those of the rows, and others whose rows go, where they are known; else they are sought among the rows.
         bucket and buckets hold for a new table. No rows: nothing is written.
         """
         table = self.tables.get(name) or {"key": key, "bucket": bucket, "buckets": buckets if bucket else 0, "entries": []}
         if table["key"] != key:
             raise ValueError(f"{name} has the key {table['key']}")
         if not rows.isEmpty():
-            self._write(name, table, rows if several else rows.dropDuplicates([key]))
+            self._write(name, table, rows if several else rows.dropDuplicates([key]), True if keys is None else keys)
             self.tables[name] = table
         return self
 

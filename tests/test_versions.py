@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.text import search_tokens
 from plumbline.operators import index, retrieve
 from plumbline.sources.store import Store
-from plumbline.sources.versions import ChangedMeanwhile, Tables
+from plumbline.sources.versions import Change, ChangedMeanwhile, Tables
 
 
 def rows(spark, *own):
@@ -150,3 +150,29 @@ def test_index_of_passages(spark, tmp_path):
     asked = spark.createDataFrame([("q", [1.0, 0.0])], "sample_id string, vector array<double>")
     assert own.dense(asked, 1).first()["score"] == max(map(len, texts.values()))
     assert own.sparse(spark.createDataFrame([("q", 2, 1.0)], "sample_id string, index int, weight double"), 99).count() == sum(len(t) % 3 > 0 and len(t) % 5 == 2 for t in texts.values())
+
+
+def test_an_index_shuffles_no_texts_and_its_postings_once(spark, tmp_path, monkeypatch):
+    own, written, read = index.PassageIndex(spark, str(tmp_path / "i")), {}, []
+    put, kept, made = Change._write, Tables.kept, lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(Change, "_write", lambda self, name, table, rows, keys=True: (written.update({name: made(rows)} if rows is not None else {}), put(self, name, table, rows, keys))[1])
+    monkeypatch.setattr(Tables, "kept", lambda self, rows: (read.append(made(rows)), kept(self, rows))[1], raising=False)
+    own.index(passages(spark, {"a1": "red red tree", "b1": "blue", "c1": None}))
+    assert set(written) == {index.CHUNKS, index.DENSE, index.SPARSE, index.BM25, index.LENGTHS}
+    assert not [name for name, plan in written.items() if "Aggregate" in plan or "Join" in plan]
+    assert held(own.tables.read(index.BM25).select("token", "chunk_id", "tf", "length")) == [("blue", "b1", 1, 1), ("red", "a1", 2, 3), ("tree", "a1", 1, 3)]
+    own.index(passages(spark, {"a1": "tree"}))
+    found = own.bm25(spark.createDataFrame([("q", "red tree")], "sample_id string, text string"))
+    # Other tokens go before changes are merged.
+    assert len(read) == 1 and read[0].index("LeftOuter") < read[0].index("Inner")
+    assert [r["chunk_id"] for r in found.collect()] == ["a1"]
+
+
+def test_of_passages_with_one_id_the_same_goes_everywhere(spark, tmp_path):
+    own = index.PassageIndex(spark, str(tmp_path / "i"))
+    twice = passages(spark, {"a1": "red red"}).unionByName(passages(spark, {"a1": "blue tree x1"})).unionByName(passages(spark, {"b1": "tree"}))
+    own.index(twice, 2)
+    said = {r["chunk_id"]: r["content"] for r in own.tables.read(index.CHUNKS).collect()}
+    assert set(said) == {"a1", "b1"} and said["a1"] in ("red red", "blue tree x1")
+    assert held(own.tables.read(index.BM25).where("chunk_id = 'a1'").select("token")) == sorted((t,) for t in set(said["a1"].split()))
+    assert own.tables.read(index.DENSE).where("chunk_id = 'a1'").first()["vector"][0] == len(said["a1"])

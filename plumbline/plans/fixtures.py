@@ -15,10 +15,25 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+#: Lines that a task sorts at a time, by counts of a table.
+PART = 100_000
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """A table's rows dealt out by a key of few rows, in as many parts as the table has PART rows, so that no task's part grows with the table.
+
+    Where the cluster has more cores than that, Spark's own number of parts does. Windows, groups and joins by the key that follow keep the parts.
+    """
+    context, parts = rows.sparkSession.sparkContext, -(-rows.count() // PART)
+    if parts <= context.defaultParallelism:
+        return rows
+    return rows.repartition(max(parts, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def line_hits(spark: SparkSession, d: str) -> DataFrame:
     """Orders as samples, their lines as hits by price, parts as documents, two flags as sources."""
     order = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_partkey", "l_suppkey", "l_linenumber")
-    return table(spark, d, "lineitem").select(
+    return dealt(table(spark, d, "lineitem"), "l_orderkey").select(
         F.col("l_orderkey").alias("sample_id"), F.concat_ws("-", "l_partkey", "l_suppkey").alias("chunk_id"), F.col("l_partkey").alias("doc_id"), F.lit(1).cast("long").alias("dataset_id"),
         (F.row_number().over(order) - 1).alias("rank"), F.col("l_extendedprice").alias("score"), F.array_sort(F.array_distinct(F.array("l_returnflag", "l_linestatus"))).alias("sources"), F.col("l_quantity").alias("quantity"),
     )
@@ -26,7 +41,7 @@ def line_hits(spark: SparkSession, d: str) -> DataFrame:
 
 def line_golden(spark: SparkSession, d: str, graded: bool = False) -> DataFrame:
     """Parts of which an order has 40 or more are expected; graded: a grade for each ten, by the most of a part."""
-    lines = table(spark, d, "lineitem").where("l_quantity >= 40").groupBy("l_orderkey", "l_partkey").agg(F.max("l_quantity").alias("q"))
+    lines = dealt(table(spark, d, "lineitem"), "l_orderkey").where("l_quantity >= 40").groupBy("l_orderkey", "l_partkey").agg(F.max("l_quantity").alias("q"))
     grade = F.struct(F.col("l_partkey").cast("string").alias("key"), (F.floor(F.col("q") / 10) - 3).cast("int").alias("value"))
     grades = F.map_from_entries(F.array_sort(F.collect_list(grade))) if graded else F.lit(None).cast("map<string,int>")
     return lines.groupBy(F.col("l_orderkey").alias("sample_id")).agg(F.array_sort(F.collect_list("l_partkey")).alias("expected_doc_ids"), grades.alias("relevance_grades")).withColumn("expected_chunk_ids", F.array().cast("array<string>"))

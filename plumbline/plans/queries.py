@@ -99,7 +99,7 @@ def source_overlap(spark, d):
 
 def _bucketed(spark, d):
     per = metrics.sample_metrics(fx.line_hits(spark, d), fx.line_golden(spark, d))
-    orders, customers = fx.table(spark, d, "orders"), fx.table(spark, d, "customer")
+    orders, customers = fx.dealt(fx.table(spark, d, "orders"), "o_custkey"), fx.table(spark, d, "customer")
     kinds = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("sample_id"), F.col("o_orderpriority").alias("type"), F.col("c_nationkey").cast("long").alias("dataset_id"))
     domains = fx.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("dataset_id"), F.col("n_name").alias("domain"))
     return aggregate.metric_buckets(per.join(aggregate.with_domain(kinds, domains), "sample_id"))

@@ -17,7 +17,7 @@ from plumbline.plans import fixtures as fx
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     """(sample_id, lines): an order's lines in order of price, each with its letter, flag, quantity and part."""
-    flags = fx.table(spark, d, "lineitem")
+    flags = fx.dealt(fx.table(spark, d, "lineitem"), "l_orderkey")
     order = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_partkey", "l_suppkey", "l_linenumber")
     line = F.struct((F.row_number().over(order) - 1).alias("rank"), F.col("l_quantity").cast("int").alias("quantity"), F.col("l_returnflag").alias("flag"), F.col("l_partkey").alias("part"))
     # Grouped by the window's own column, before it is renamed: lines are shuffled once.

@@ -157,7 +157,7 @@ def test_an_index_shuffles_no_texts_and_its_postings_once(spark, tmp_path, monke
     put, kept, made = Change._write, Tables.kept, lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     monkeypatch.setattr(Change, "_write", lambda self, name, table, rows, keys=True: (written.update({name: made(rows)} if rows is not None else {}), put(self, name, table, rows, keys))[1])
     monkeypatch.setattr(Tables, "kept", lambda self, rows: (read.append(made(rows)), kept(self, rows))[1], raising=False)
-    own.index(passages(spark, {"a1": "red red tree", "b1": "blue", "c1": None}))
+    own.index(passages(spark, {"a1": "red red tree", "b1": "blue", "c1": ""}))
     assert set(written) == {index.CHUNKS, index.DENSE, index.SPARSE, index.BM25, index.LENGTHS}
     assert not [name for name, plan in written.items() if "Aggregate" in plan or "Join" in plan]
     assert held(own.tables.read(index.BM25).select("token", "chunk_id", "tf", "length")) == [("blue", "b1", 1, 1), ("red", "a1", 2, 3), ("tree", "a1", 1, 3)]
